@@ -11,6 +11,8 @@ from roadloom.llm.common import written
 
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
 RANGES = 1 << 16
+#: Under tokens of more lines, a line first meets the earliest line alone.
+CROWD = 1000
 #: Bits of the filter that passes the documents whose lines must be compared in full.
 BLOOM_BITS = 1 << 22
 
@@ -27,8 +29,8 @@ def literal_longs(values: list[int]) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text_hash, line, tokens): one row a line with words. doc orders null ids last."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), (F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF)).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-    return keyed.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("text_hash")).alias("at"), line_tokens(F.col("words")).alias("tokens")).where(F.size("tokens") > 0)
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_col).bitwiseAND(0xFFFF).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
+    return keyed.select("doc", F.shiftleft(F.col("line").cast("long"), 16).bitwiseOR(F.col("text_hash")).alias("at"), line_tokens(F.col("words")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def token_order(lines: DataFrame) -> Column:
@@ -46,8 +48,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     threshold. Tokens are ordered by the frequency of their hash range over all lines, rare first; a line is
     found by its first n - ceil(threshold * n) + 1 tokens, and pairs must pass the length and positional
     filters and a bound from 64-bit token maps before their full sets are compared. Lines with equal sets are one
-    class. A line is first compared with the earliest line under each of its tokens; only lines that this leaves
-    undecided meet all earlier lines, so a group of thousands of near copies makes a few pairs for each line.
+    class. Under a token of more than CROWD lines, a line is first compared with the earliest one; only lines that
+    this leaves undecided meet all earlier lines, so thousands of near copies make a few pairs for each line.
 
     Defined cases: null text stays null; lines without letters or digits stay; a document may lose all lines and
     keeps its row; null ids come last; rows that repeat id and text get the same verdicts; an empty table gives
@@ -66,25 +68,32 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
     table = written(table, "lines")
     first = written(table.groupBy("class", "n").agg(F.min(F.struct("doc", "at", "map", "prefix")).alias("f"), F.count("*").alias("times")).select("class", "n", "f.*", "times"), "line-classes")
-    entries = first.select("doc", "at", "n", "map", F.posexplode("prefix").alias("pos", "token"))
-
-    # the earliest line under each token
-    w = Window.partitionBy("token").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = entries.select("*", *[F.first(c).over(w).alias(f"h_{c}") for c in ("doc", "at", "n", "map", "pos")])
-    hub = heads.where((F.col("doc") != F.col("h_doc")) | (F.col("at") != F.col("h_at"))).where(_may_match("", "h_", num, den)).select("doc", "at", "h_doc", "h_at").distinct()
-    hubs = written(_verified(docs, hub, id_col, text_col, num, den), "line-hubs")
-    # lines that no such line decides meet every earlier line
-    open_ = entries.join(hubs.select("doc", "at").distinct(), ["doc", "at"], "left_anti")
-    left, right = open_.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "at", "n", "map", "pos")]), entries.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc", "at", "n", "map", "pos")])
-    earlier = (F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_at") < F.col("y_at")))
-    rest = left.join(right, (left.token == right.token) & earlier & _may_match("y_", "x_", num, den)).select(F.col("y_doc").alias("doc"), F.col("y_at").alias("at"), F.col("x_doc").alias("h_doc"), F.col("x_at").alias("h_at")).distinct()
-    gone = hubs.unionByName(_verified(docs, rest, id_col, text_col, num, den)).select("doc", "at").distinct()
+    entries = first.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map").select("token", "doc", "at", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
+
+    # one exchange by token serves both sides of the join and the hubs of crowded tokens
+    w = Window.partitionBy("token")
+    met = entries.withColumns({"crowd": F.count("*").over(w), "hub": F.min(F.struct("doc", "at", "meta", "map")).over(w)}).where("crowd > 1")
+    few, many = met.where(F.col("crowd") <= CROWD), met.where(F.col("crowd") > CROWD)
+    pairs = _pairs(few, few, num, den).unionByName(_hub_pairs(many, num, den))
+    crowded = many.groupBy("doc", "at").agg(F.count("*").alias("crowded"))
+    pairs = pairs.groupBy("doc", "at", "h_doc", "h_at", "n", "h_n").agg(F.sum(F.when(F.col("hubbed"), 0).otherwise(1)).alias("shared"), F.max("hubbed").alias("hubbed"))
+    # the count of shared first tokens bounds the overlap; tokens of crowds weren't counted
+    need = F.ceil((F.col("n") + F.col("h_n")) * num / (num + den) - 1e-9)
+    behind = F.greatest(F.floor((F.col("n") * num + den - 1) / den), F.floor((F.col("h_n") * num + den - 1) / den)) - 1
+    pairs = written(pairs.join(crowded, ["doc", "at"], "left").where(F.col("hubbed") | (F.col("shared") + F.coalesce("crowded", F.lit(0)) >= need - behind)).select("doc", "at", "h_doc", "h_at"), "line-pairs")
+    gone = written(_verified(docs, pairs, id_col, text_col, num, den).select("doc", "at").distinct(), "line-gone")
+
+    # lines of crowds that their hubs don't decide meet all earlier lines of the crowd
+    open_ = written(many.join(gone, ["doc", "at"], "left_anti").select("token", "doc", "at", "meta", "map"), "line-open")
+    crowds = open_.select("token").distinct()
+    rest = _pairs(open_, entries.where(_bloom(crowds, "token", F.col("token"))), num, den).select("doc", "at", "h_doc", "h_at").distinct()
+    gone = gone.unionByName(_verified(docs, written(rest, "line-rest"), id_col, text_col, num, den).select("doc", "at")).distinct()
 
     # a class that an earlier line matches goes wholly; else all but its first line
     verdict = first.join(gone.withColumn("all", F.lit(True)), ["doc", "at"], "left").where("all or times > 1").select("class", "n", F.col("doc").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("all", F.lit(False)).alias("all"))
     removed = table.select("doc", "at", "class", "n").join(verdict, ["class", "n"]).where("all or doc <> f_doc or at <> f_at")
-    per_doc = removed.groupBy("doc", F.col("at").bitwiseAND(0xFFFFFFFF).alias("text_hash")).agg(F.array_sort(F.collect_set(F.shiftrightunsigned("at", 32).cast("int"))).alias("_removed"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text_hash": F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF), "_n_lines": F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))})
+    per_doc = removed.groupBy("doc", F.col("at").bitwiseAND(0xFFFF).alias("text_hash")).agg(F.array_sort(F.collect_set(F.shiftrightunsigned("at", 16).cast("int"))).alias("_removed"))
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text_hash": F.xxhash64(text_col).bitwiseAND(0xFFFF), "_n_lines": F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))})
     out = keyed.join(per_doc, (F.col("_doc") == F.col("doc")) & (F.col("_text_hash") == F.col("text_hash")), "left")
     removed_lines = F.coalesce("_removed", F.array().cast("array<int>"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n"))
@@ -93,25 +102,51 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(*[cols[c] for c in docs.columns if c in cols], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"), removed_lines.alias("removed_lines"))
 
 
-def _may_match(y: str, x: str, num: int, den: int) -> Column:
+def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -> Column:
     """Length and positional filters, and a bound on differing tokens from the 64-bit maps."""
-    c = lambda name, side: F.col(f"{side}{name}")
-    total = c("n", y) + c("n", x)
+    ny, nx = (F.shiftrightunsigned(s["meta"], 32) for s in (y, x))
+    py, px = (s["meta"].bitwiseAND(0xFFFFFFFF) for s in (y, x))
+    total = ny + nx
     need = F.ceil(total * num / (num + den) - 1e-9)
-    apart = F.bit_count(c("map", y).bitwiseXOR(c("map", x)))
-    return (c("n", y) * den >= c("n", x) * num) & (c("n", x) * den >= c("n", y) * num) & (F.least(c("n", y) - c("pos", y), c("n", x) - c("pos", x)) + F.least(c("pos", y), c("pos", x)) >= need) & (apart <= total - 2 * need)
+    apart = F.bit_count(y["map"].bitwiseXOR(x["map"]))
+    return (ny * den >= nx * num) & (nx * den >= ny * num) & (F.least(ny - py, nx - px) + F.least(py, px) >= need) & (apart <= total - 2 * need)
+
+
+def _named(y: dict[str, Column], x: dict[str, Column], hubbed: bool) -> list[Column]:
+    length = lambda s: F.shiftrightunsigned(s["meta"], 32)
+    return [y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"), F.lit(hubbed).alias("hubbed")]
+
+
+def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
+    """Lines with all earlier lines under a token that pass the filters; a row for each shared token."""
+    names = ("doc", "at", "meta", "map")
+    a = later.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    b = earlier.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
+    before = (x["doc"] < y["doc"]) | ((x["doc"] == y["doc"]) & (x["at"] < y["at"]))
+    return a.join(b, (a.token == b.token) & before & _may_match(y, x, num, den)).select(*_named(y, x, False))
+
+
+def _hub_pairs(crowd: DataFrame, num: int, den: int) -> DataFrame:
+    """Lines with the earliest line under a token."""
+    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
+    return crowd.where((y["doc"] != x["doc"]) | (y["at"] != x["at"])).where(_may_match(y, x, num, den)).select(*_named(y, x, True))
+
+
+def _bloom(keys: DataFrame, key: str, col: Column) -> Column:
+    """May col be among the keys? Always true for those that are. The map has BLOOM_BITS bits whatever the keys."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS))
+    bit = place(F.col(key))
+    words = {r.w: r.v for r in keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("v")).collect()}
+    table = literal_longs([words.get(i, 0) for i in range(BLOOM_BITS // 64)])
+    return F.call_function("getbit", F.get(table, F.floor(place(col) / 64).cast("int")), (place(col) % 64).cast("int")) == 1
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     """The pairs (doc, at, h_doc, h_at) whose full token sets have Jaccard >= num / den."""
-    pairs = written(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array("doc", "h_doc")).alias("doc")).distinct()
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS))
-    words = {r.w: r.v for r in ids.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("v")).collect()}
-    table = literal_longs([words.get(i, 0) for i in range(BLOOM_BITS // 64)])
     source = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    hash_ = F.pmod(F.xxhash64("_doc"), F.lit(BLOOM_BITS))
-    some = source.where(F.call_function("getbit", F.get(table, F.floor(hash_ / 64).cast("int")), (hash_ % 64).cast("int")) == 1).drop("_doc")
+    some = source.where(_bloom(ids, "doc", F.col("_doc"))).drop("_doc")
     wanted = pairs.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("h_doc").alias("doc"), F.col("h_at").alias("at")))).alias("k")).select("k.*").distinct()
     sets = written(_lines(some, id_col, text_col).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     both = pairs.join(sets, ["doc", "at"]).withColumnRenamed("tokens", "y").join(sets.select(F.col("doc").alias("h_doc"), F.col("at").alias("h_at"), F.col("tokens").alias("x")), ["h_doc", "h_at"])
