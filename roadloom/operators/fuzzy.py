@@ -25,6 +25,6 @@ def fuzzy_match(texts: DataFrame, words: list[str], col: str = "text", cutoff: f
         for t in s.dropna().unique():
             bare = _OTHER.sub("", t).lower()
             known[t] = (difflib.get_close_matches(bare, clean, n=1, cutoff=cutoff) or [bare])[0]
-        return s.map(known)
+        return pd.Series([known.get(t) for t in s], dtype=object)
 
     return texts.withColumn("matched", nearest(col))
