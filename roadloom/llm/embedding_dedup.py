@@ -16,24 +16,24 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _CODE = pa.schema([("rep", pa.int64()), ("code", pa.int64())])
 
 
-def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): principal directions turned so that their signs lose least (iterative quantisation).
+def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 11) -> np.ndarray:
+    """A projection: principal directions turned so that their signs lose least (iterative quantisation).
 
-    Directions beyond the vectors' width are random, so short vectors still get codes of `bits` bits.
+    Signs are taken about the origin, as cosines are: about the mean, a group of copies that holds much of the
+    table would draw the mean to itself and lose its own links. Directions beyond the vectors' width are random, so
+    short vectors still get codes of `bits` bits.
     """
     rng = np.random.default_rng(seed)
-    mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-    z = x - mean
-    _, v = np.linalg.eigh(z.T @ z)
+    _, v = np.linalg.eigh(x.T @ x)
     v = v[:, ::-1][:, :bits]
     own = v.shape[1]
-    z = z @ v
+    z = x @ v
     turn = np.linalg.qr(rng.normal(size=(own, own)))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(z @ turn > 0, 1.0, -1.0).T @ z)
         turn = (u @ w).T
     extra = rng.normal(size=(x.shape[1], bits - own))
-    return mean, np.hstack([v @ turn, extra])
+    return np.hstack([v @ turn, extra])
 
 
 def hamming_edges(codes: np.ndarray, radius: int, chunk: int = 512) -> list[tuple[int, int]]:
@@ -73,15 +73,15 @@ def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_
     good = rows.where(usable)
     reps = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "itq-reps")
     fit = unit(matrix(pa.array([r.v for r in bounded_sample(reps.select("rep", "v"), "rep", sample).collect()] or [[0.0]])))
-    mean, turn = learn_rotation(fit, 64)
+    turn = learn_rotation(fit, 64)
 
     def encode(batches):
         for b in batches:
             x = unit(matrix(b.column("v")))
-            w = max(x.shape[1], len(mean))
-            m, t = np.zeros(w), np.zeros((w, 64))
-            m[: len(mean)], t[: len(mean)] = mean, turn
-            x = np.pad(x, ((0, 0), (0, w - x.shape[1]))) - m
+            w = max(x.shape[1], len(turn))
+            t = np.zeros((w, 64))
+            t[: len(turn)] = turn
+            x = np.pad(x, ((0, 0), (0, w - x.shape[1])))
             bits = np.packbits(x @ t > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(bits)], schema=_CODE)
 
