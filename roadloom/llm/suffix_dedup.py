@@ -6,25 +6,35 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import mix64, out_batches, partitions, window_hashes, word_hashes, written
 
 _WORD = re.compile(r"\S+")
-_SEED = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
-_SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32())])
+_SEED = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+_SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32()), ("leads", pa.int64())])
 _MATCH = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64())])
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest hash in each run of `window` grams, the leftmost of equals."""
-    if not len(grams):
-        return np.empty(0, np.int64)
+def minimisers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the smallest hash in each run of `window` grams, the leftmost of equals.
+
+    Also the least and most grams by which the runs that choose a place start before it.
+    """
     if len(grams) <= window:
-        return np.array([int(grams.argmin())])
+        at = np.array([int(grams.argmin())] if len(grams) else [], np.int64)
+        return at, at, at
     views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(np.concatenate([np.arange(at, at + len(v)) + v.argmin(axis=1) for at in range(0, len(views), 1 << 16) for v in (views[at : at + (1 << 16)],)]))
+    chosen = np.concatenate([np.arange(at, at + len(v)) + v.argmin(axis=1) for at in range(0, len(views), 1 << 16) for v in (views[at : at + (1 << 16)],)])
+    places, first, n = np.unique(chosen, return_index=True, return_counts=True)
+    return places, places - first - n + 1, places - first
+
+
+def bits(low: int, high: int) -> int:
+    """A number with the bits low to high set."""
+    return (1 << (high + 1)) - (1 << max(low, 0)) if high >= max(low, 0) else 0
 
 
 def short_hashes(text: str) -> np.ndarray:
@@ -49,6 +59,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     range sort, so a passage that a third of all documents hold is spread over tasks; neighbours across task
     ends are compared as well. Each suffix carries least_words words to either side; longer passages are the
     union of their suffixes' matches. other_doc_id is one document (or the same) that holds it too.
+    Among more than neighbours + 1 suffixes of one start, two that agree most on the left may not be neighbours.
+    There the passages of least_words words around a suffix that neighbours leave open, and that could stand
+    elsewhere by the suffix's longest match to the right, are looked up by a hash of the whole passage, so none is lost.
     Texts that are equal throughout are one representative; its copies get its spans and name each other.
 
     A passage of L >= least_words words has a minimiser within its first `window` grams, and at least
@@ -69,24 +82,27 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                doc, key, pos = [], [], []
+                doc, key, pos, low, high = [], [], [], [], []
                 for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     w = word_hashes(_WORD.findall(t))
                     if len(w) < least_words:
                         continue
-                    places = minimisers(window_hashes(w, gram), window)
+                    places, least, most = minimisers(window_hashes(w, gram), window)
                     starts = window_hashes(w, shared)
-                    places = places[places < len(starts)]
-                    doc.append(np.full(len(places), d))
-                    key.append(starts[places].view(np.int64))
-                    pos.append(places.astype(np.int32))
+                    use = places < len(starts)
+                    doc.append(np.full(int(use.sum()), d))
+                    key.append(starts[places[use]].view(np.int64))
+                    for held, x in ((pos, places), (low, least), (high, most)):
+                        held.append(x[use].astype(np.int32))
                 if doc:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, key, pos)], schema=_SEED)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, key, pos, low, high)], schema=_SEED)
 
-    found = written(base.select("doc_id", "text").mapInArrow(seeds, "doc long, key long, pos int"), "suffix-seeds")
+    found = written(base.select("doc_id", "text").mapInArrow(seeds, "doc long, key long, pos int, low int, high int"), "suffix-seeds")
     one_each = found.join(copies.select("doc"), "doc", "left_semi")
-    often = one_each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alive = one_each.join(often, "key", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places"))
+    often = one_each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > neighbours + 1).alias("crowd"))
+    # leads: how many words before the suffix its passages may start, as bits; only where neighbours may not be enough
+    lead = F.when(F.col("crowd"), F.col("high") * 64 + F.col("low")).otherwise(-1)
+    alive = one_each.join(often, "key").groupBy("doc").agg(F.collect_set(F.struct("pos", lead.alias("lead"))).alias("places"))
     texts = base.withColumnRenamed("doc_id", "doc").join(alive, "doc")
 
     def suffixes(batches):
@@ -98,11 +114,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     words = _WORD.findall(t)
                     long_, w = word_hashes(words), short_hashes(t)
                     starts = window_hashes(long_, shared).view(np.int64)
-                    for p in sorted(p for p in places if p < len(starts)):
-                        rows.append((int(starts[p]), w[p : p + least_words].tobytes(), w[max(0, p - least_words) : p][::-1].tobytes(), d, p))
+                    for p, lead in sorted((x["pos"], x["lead"]) for x in places if x["pos"] < len(starts)):
+                        leads = 0 if lead < 0 else bits(max(lead % 64, least_words + p - len(w)), min(lead // 64, p))
+                        rows.append((int(starts[p]), w[p : p + least_words].tobytes(), w[max(0, p - least_words) : p][::-1].tobytes(), d, p, leads))
                 yield from out_batches(rows, _SUFFIX)
 
-    ordered = texts.mapInArrow(suffixes, "key long, right binary, left binary, doc long, pos int").repartitionByRange(partitions(docs.sparkSession), "key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
+    ordered = texts.mapInArrow(suffixes, "key long, right binary, left binary, doc long, pos int, leads long").repartitionByRange(partitions(docs.sparkSession), "key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
 
     def compare(batches):
         def rows():
@@ -110,32 +127,57 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             first: list[dict] = []
             for b in batches:
                 for r in b.to_pylist():
+                    # known: leads of passages that a neighbour shares; before: that an earlier one shares
+                    r |= {"known": 0, "before": 0, "reach": 0 if first else least_words}
                     if len(first) < neighbours:
                         first.append(r)
-                    for o in reversed(window_):
-                        yield from pair(o, r)
-                    window_ = [*window_[-(neighbours - 1) :], r] if neighbours > 1 else [r]
+                    for k, o in enumerate(reversed(window_)):
+                        yield from pair(o, r, k == 0)
+                    window_.append(r)
+                    if len(window_) > neighbours:
+                        yield from passages(window_.pop(0))
+            if window_:
+                window_[-1]["reach"] = least_words
+            for r in window_:
+                yield from passages(r)
             # the ends of a task, for the comparison across tasks
             for r in first + [r for r in window_ if r not in first]:
-                yield None, None, None, None, r["key"], r["right"], r["left"], r["doc"], r["pos"]
+                yield None, None, None, None, r["key"], r["right"], r["left"], r["doc"], r["pos"], None, None
 
         yield from out_batches(rows(), _BOTH)
 
-    def pair(o, r):
+    def pair(o, r, adjacent=False):
         if o["key"] != r["key"] or (o["doc"], o["pos"]) == (r["doc"], r["pos"]):
             return
         right, left = common_start(o["right"], r["right"]), common_start(o["left"], r["left"])
+        if adjacent:
+            o["reach"], r["reach"] = max(o["reach"], right), max(r["reach"], right)
         if right + left >= least_words:
+            if o["leads"] or r["leads"]:
+                both = bits(least_words - right, left)
+                o["known"] |= both
+                r["known"] |= both
+                r["before"] |= both
             for x, y in ((o, r), (r, o)):
-                yield x["doc"], x["pos"] - left, x["pos"] + right, y["doc"], None, None, None, None, None
+                yield x["doc"], x["pos"] - left, x["pos"] + right, y["doc"], None, None, None, None, None, None, None
+
+    def passages(r):
+        """Hashes of a suffix's open passages, and of known ones by the first of those that share them."""
+        open_ = r["leads"] & ~r["known"] & bits(least_words - r["reach"], least_words)
+        fresh = r["leads"] & r["known"] & ~r["before"]
+        for j in range((open_ | fresh).bit_length()):
+            if (open_ | fresh) >> j & 1:
+                h = xxhash.xxh64_intdigest(np.frombuffer(r["left"], ">u4", j)[::-1].tobytes() + r["right"][: 4 * (least_words - j)])
+                yield r["doc"], r["pos"] - j, r["pos"] - j + least_words, None, None, None, None, None, None, h - (1 << 63), bool(open_ >> j & 1)
 
-    met = written(ordered.mapInArrow(compare, "doc long, start int, stop int, other long, key long, right binary, left binary, at_doc long, at_pos int"), "suffix-matches")
+    met = written(ordered.mapInArrow(compare, "doc long, start int, stop int, other long, key long, right binary, left binary, at_doc long, at_pos int, passage long, open boolean"), "suffix-matches")
 
     def across(batches):
         def rows():
             window_: list[dict] = []
             for b in batches:
                 for r in b.to_pylist():
+                    r |= {"leads": 0}
                     for o in window_:
                         if o["key"] == r["key"]:
                             yield from (m[:4] for m in pair(o, r))
@@ -145,7 +187,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # a few rows of each task; in one task, in the same order
     ends = met.where("key is not null").select("key", "right", "left", F.col("at_doc").alias("doc"), F.col("at_pos").alias("pos")).coalesce(1).sortWithinPartitions("key", "right", "left", "doc", "pos").mapInArrow(across, "doc long, start int, stop int, other long")
-    matches = met.where("key is null").select("doc", "start", "stop", "other").union(ends)
+    looked = met.where("passage is not null").select("passage", "open", "doc", "start", "stop")
+    twice = looked.groupBy("passage").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("n > 1")
+    opened = looked.where("open").join(twice, "passage").select("doc", "start", "stop", F.when(F.col("doc") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
+    matches = met.where("other is not null").select("doc", "start", "stop", "other").union(ends).union(opened)
 
     # union of overlapping spans: a span starts where nothing before it reaches
     spans = matches.groupBy("doc", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other"))
@@ -158,7 +203,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.unionByName(every)
 
 
-_BOTH = pa.schema([*_MATCH, ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("at_doc", pa.int64()), ("at_pos", pa.int32())])
+_BOTH = pa.schema([*_MATCH, ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("at_doc", pa.int64()), ("at_pos", pa.int32()), ("passage", pa.int64()), ("open", pa.bool_())])
 
 
 def _merge_spans(spans):
