@@ -19,8 +19,11 @@ BLOOM_BITS = 1 << 22
 
 def line_tokens(line: Column) -> Column:
     """Hashes of a line's distinct words: runs of letters and digits, in lower case."""
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def literal_longs(values: list[int]) -> Column:
@@ -30,12 +33,14 @@ def literal_longs(values: list[int]) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text_hash, line, tokens): one row a line with words. doc orders null ids last."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_col).bitwiseAND(0xFFFF).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-    return keyed.select("doc", F.shiftleft(F.col("line").cast("long"), 16).bitwiseOR(F.col("text_hash")).alias("at"), line_tokens(F.col("words")).alias("tokens")).where(F.size("tokens") > 0)
+    keyed = keyed.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
+    return keyed.select("doc", F.shiftleft(F.col("line").cast("long"), 16).bitwiseOR(F.col("text_hash")).alias("at"), line_tokens(F.col("words")).alias("tokens"))
 
 
-def token_order(lines: DataFrame) -> Column:
-    """A table of RANGES numbers: the rank of a hash range by how often its tokens stand in lines."""
-    seen = lines.select(F.explode("tokens").alias("t")).groupBy(F.shiftrightunsigned("t", 48).cast("int").alias("r")).agg(F.count("*").alias("n"))
+def token_order(docs: DataFrame, text_col: str) -> Column:
+    """A table of RANGES numbers: the rank of a hash range by how often its words stand in texts."""
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
+    seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("r")).agg(F.count("*").alias("n"))
     counts = {r.r: r.n for r in seen.collect()}
     ranks = {r: i for i, r in enumerate(sorted(range(RANGES), key=lambda r: (counts.get(r, 0), r)))}
     return literal_longs([ranks[r] for r in range(RANGES)])
@@ -58,8 +63,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(threshold).limit_denominator(1000)
     num, den = t.numerator, t.denominator
     lines = _lines(docs, id_col, text_col)
-    order = token_order(lines)
-    ranked = F.array_sort(F.transform("tokens", lambda x: F.shiftleft(F.get(order, F.shiftrightunsigned(x, 48).cast("int")), 48).bitwiseOR(x.bitwiseAND((1 << 48) - 1))))
+    order = token_order(docs, text_col)
+    ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(order, F.shiftrightunsigned(x, 48).cast("int")), 48).bitwiseOR(x.bitwiseAND((1 << 48) - 1))))
     n = F.size("tokens")
     table = lines.select("doc", "at", ranked.alias("tokens")).select(
         "doc", "at", n.cast("long").alias("n"), F.xxhash64("tokens").alias("class"),
