@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import written
 
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
 RANGES = 1 << 16
-#: Under tokens of more lines, a line first meets the earliest line alone.
-CROWD = 1000
+#: Pairs of neighbouring rare tokens under which a line meets the earliest line alone, before all others.
+HUB_KEYS = 4
 #: Bits of the filter that passes the documents whose lines must be compared in full.
 BLOOM_BITS = 1 << 22
 
@@ -53,7 +53,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     threshold. Tokens are ordered by the frequency of their hash range over all lines, rare first; a line is
     found by its first n - ceil(threshold * n) + 1 tokens, and pairs must pass the length and positional
     filters and a bound from 64-bit token maps before their full sets are compared. Lines with equal sets are one
-    class. Under a token of more than CROWD lines, a line is first compared with the earliest one; only lines that
+    class. Under pairs of neighbouring rare tokens, a line is first compared with the earliest one; only lines that
     this leaves undecided meet all earlier lines, so thousands of near copies make a few pairs for each line.
 
     Defined cases: null text stays null; lines without letters or digits stay; a document may lose all lines and
@@ -65,7 +65,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(docs, id_col, text_col)
     order = token_order(docs, text_col)
     ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(order, F.shiftrightunsigned(x, 48).cast("int")), 48).bitwiseOR(x.bitwiseAND((1 << 48) - 1))))
-    n = F.size("tokens")
+    n, n_prefix = F.size("tokens"), F.size("prefix")
     table = lines.select("doc", "at", ranked.alias("tokens")).select(
         "doc", "at", n.cast("long").alias("n"), F.xxhash64("tokens").alias("class"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("map"),
@@ -73,26 +73,24 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
     table = written(table, "lines")
     first = written(table.groupBy("class", "n").agg(F.min(F.struct("doc", "at", "map", "prefix")).alias("f"), F.count("*").alias("times")).select("class", "n", "f.*", "times"), "line-classes")
-    entries = first.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map").select("token", "doc", "at", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
-
-    # one exchange by token serves both sides of the join and the hubs of crowded tokens
-    w = Window.partitionBy("token")
-    met = entries.withColumns({"crowd": F.count("*").over(w), "hub": F.min(F.struct("doc", "at", "meta", "map")).over(w)}).where("crowd > 1")
-    few, many = met.where(F.col("crowd") <= CROWD), met.where(F.col("crowd") > CROWD)
-    pairs = _pairs(few, few, num, den).unionByName(_hub_pairs(many, num, den))
-    crowded = many.groupBy("doc", "at").agg(F.count("*").alias("crowded"))
-    pairs = pairs.groupBy("doc", "at", "h_doc", "h_at", "n", "h_n").agg(F.sum(F.when(F.col("hubbed"), 0).otherwise(1)).alias("shared"), F.max("hubbed").alias("hubbed"))
-    # the count of shared first tokens bounds the overlap; tokens of crowds weren't counted
+    # near copies of thousands share pairs of rare tokens: each line first meets the earliest line under a few of these
+    neighbours_ = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
+    keyed = first.select(F.explode(F.array_distinct(neighbours_)).alias("key"), "doc", "at", F.shiftleft("n", 32).alias("meta"), "map").where("key is not null")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", "map")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
+    near = keyed.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
+    gone = written(_verified(docs, written(near, "line-near"), id_col, text_col, num, den).select("doc", "at").distinct(), "line-gone")
+
+    # what these don't decide meets all earlier lines under each of its first tokens; one exchange serves both sides
+    marked = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left")
+    entries = marked.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map", F.col("gone").isNull().alias("asks")).select("token", "doc", "at", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map", "asks")
+    pairs = _pairs(entries.where("asks").drop("asks"), entries.drop("asks"), num, den)
+    pairs = pairs.groupBy("doc", "at", "h_doc", "h_at", "n", "h_n").agg(F.count("*").alias("shared"))
+    # the count of shared first tokens bounds the overlap
     need = F.ceil((F.col("n") + F.col("h_n")) * num / (num + den) - 1e-9)
     behind = F.greatest(F.floor((F.col("n") * num + den - 1) / den), F.floor((F.col("h_n") * num + den - 1) / den)) - 1
-    pairs = written(pairs.join(crowded, ["doc", "at"], "left").where(F.col("hubbed") | (F.col("shared") + F.coalesce("crowded", F.lit(0)) >= need - behind)).select("doc", "at", "h_doc", "h_at"), "line-pairs")
-    gone = written(_verified(docs, pairs, id_col, text_col, num, den).select("doc", "at").distinct(), "line-gone")
-
-    # lines of crowds that their hubs don't decide meet all earlier lines of the crowd
-    open_ = written(many.join(gone, ["doc", "at"], "left_anti").select("token", "doc", "at", "meta", "map"), "line-open")
-    crowds = open_.select("token").distinct()
-    rest = _pairs(open_, entries.where(_bloom(crowds, "token", F.col("token"))), num, den).select("doc", "at", "h_doc", "h_at").distinct()
-    gone = gone.unionByName(_verified(docs, written(rest, "line-rest"), id_col, text_col, num, den).select("doc", "at")).distinct()
+    pairs = written(pairs.where(F.col("shared") >= need - behind).select("doc", "at", "h_doc", "h_at"), "line-pairs")
+    gone = gone.unionByName(_verified(docs, pairs, id_col, text_col, num, den).select("doc", "at")).distinct()
 
     # a class that an earlier line matches goes wholly; else all but its first line
     verdict = first.join(gone.withColumn("all", F.lit(True)), ["doc", "at"], "left").where("all or times > 1").select("class", "n", F.col("doc").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("all", F.lit(False)).alias("all"))
@@ -117,11 +115,6 @@ def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -
     return (ny * den >= nx * num) & (nx * den >= ny * num) & (F.least(ny - py, nx - px) + F.least(py, px) >= need) & (apart <= total - 2 * need)
 
 
-def _named(y: dict[str, Column], x: dict[str, Column], hubbed: bool) -> list[Column]:
-    length = lambda s: F.shiftrightunsigned(s["meta"], 32)
-    return [y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"), F.lit(hubbed).alias("hubbed")]
-
-
 def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
     """Lines with all earlier lines under a token that pass the filters; a row for each shared token."""
     names = ("doc", "at", "meta", "map")
@@ -129,13 +122,9 @@ def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFram
     b = earlier.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
     before = (x["doc"] < y["doc"]) | ((x["doc"] == y["doc"]) & (x["at"] < y["at"]))
-    return a.join(b, (a.token == b.token) & before & _may_match(y, x, num, den)).select(*_named(y, x, False))
-
-
-def _hub_pairs(crowd: DataFrame, num: int, den: int) -> DataFrame:
-    """Lines with the earliest line under a token."""
-    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
-    return crowd.where((y["doc"] != x["doc"]) | (y["at"] != x["at"])).where(_may_match(y, x, num, den)).select(*_named(y, x, True))
+    length = lambda s: F.shiftrightunsigned(s["meta"], 32)
+    met = a.join(b, (a.token == b.token) & before & _may_match(y, x, num, den))
+    return met.select(y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"))
 
 
 def _bloom(keys: DataFrame, key: str, col: Column) -> Column:

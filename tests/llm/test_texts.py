@@ -42,10 +42,10 @@ def some_lines(words, seed=1, n=40):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [1000, 3])
-def test_lines_same_as_all_pairs(spark, docs, words, monkeypatch, crowd):
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
-    rows = some_lines(words)
+@pytest.mark.parametrize("hub_keys", [4, 1])
+def test_lines_same_as_all_pairs(spark, docs, words, monkeypatch, hub_keys):
+    monkeypatch.setattr(line_dedup, "HUB_KEYS", hub_keys)
+    rows = some_lines(words, hub_keys)
     got = line_dedup.line_dedup(docs(rows)).collect()
     want = brute_lines(rows)
     assert {r.doc_id: r.removed_lines for r in got} == want
