@@ -44,10 +44,9 @@ def short_hashes(text: str) -> np.ndarray:
 
 def common_start(a: bytes, b: bytes) -> int:
     """Words at the start of both."""
-    n = min(len(a), len(b)) // 4
-    x, y = np.frombuffer(a, ">u4", n), np.frombuffer(b, ">u4", n)
-    differs = np.nonzero(x != y)[0]
-    return int(differs[0]) if len(differs) else n
+    n = min(len(a), len(b))
+    apart = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return (8 * n - apart.bit_length()) // 32
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, gram: int = 8, window: int = 28, neighbours: int = 3) -> DataFrame:
@@ -128,18 +127,18 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for b in batches:
                 for r in b.to_pylist():
                     # known: leads of passages that a neighbour shares; before: that an earlier one shares
-                    r |= {"known": 0, "before": 0, "reach": 0 if first else least_words}
+                    r |= {"known": 0, "before": 0, "reach": 0 if first else least_words, "back": 0, "on": 0, "other": None}
                     if len(first) < neighbours:
                         first.append(r)
                     for k, o in enumerate(reversed(window_)):
-                        yield from pair(o, r, k == 0)
+                        pair(o, r, k == 0)
                     window_.append(r)
                     if len(window_) > neighbours:
-                        yield from passages(window_.pop(0))
+                        yield from told(window_.pop(0))
             if window_:
                 window_[-1]["reach"] = least_words
             for r in window_:
-                yield from passages(r)
+                yield from told(r)
             # the ends of a task, for the comparison across tasks
             for r in first + [r for r in window_ if r not in first]:
                 yield None, None, None, None, r["key"], r["right"], r["left"], r["doc"], r["pos"], None, None
@@ -147,6 +146,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         yield from out_batches(rows(), _BOTH)
 
     def pair(o, r, adjacent=False):
+        """Note on both suffixes how far they match; a suffix's matches all hold its place, so their union is one span."""
         if o["key"] != r["key"] or (o["doc"], o["pos"]) == (r["doc"], r["pos"]):
             return
         right, left = common_start(o["right"], r["right"]), common_start(o["left"], r["left"])
@@ -159,7 +159,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 r["known"] |= both
                 r["before"] |= both
             for x, y in ((o, r), (r, o)):
-                yield x["doc"], x["pos"] - left, x["pos"] + right, y["doc"], None, None, None, None, None, None, None
+                x["back"], x["on"] = max(x["back"], left), max(x["on"], right)
+                x["other"] = y["doc"] if x["other"] is None else min(x["other"], y["doc"])
+
+    def told(r):
+        if r["other"] is not None:
+            yield r["doc"], r["pos"] - r["back"], r["pos"] + r["on"], r["other"], None, None, None, None, None, None, None
+        if r["leads"]:
+            yield from passages(r)
 
     def passages(r):
         """Hashes of a suffix's open passages, and of known ones by the first of those that share them."""
@@ -177,11 +184,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             window_: list[dict] = []
             for b in batches:
                 for r in b.to_pylist():
-                    r |= {"leads": 0}
+                    r |= {"leads": 0, "known": 0, "before": 0, "reach": 0, "back": 0, "on": 0, "other": None}
                     for o in window_:
-                        if o["key"] == r["key"]:
-                            yield from (m[:4] for m in pair(o, r))
-                    window_ = [*window_[-2 * neighbours :], r]
+                        pair(o, r)
+                    window_.append(r)
+                    if len(window_) > 2 * neighbours + 1:
+                        yield from (m[:4] for m in told(window_.pop(0)))
+            for r in window_:
+                yield from (m[:4] for m in told(r))
 
         yield from out_batches(rows(), _MATCH)
 
