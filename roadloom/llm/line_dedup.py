@@ -7,12 +7,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import written
+from roadloom.llm.common import forget, written
 
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
 RANGES = 1 << 16
 #: Pairs of neighbouring rare tokens under which a line meets the earliest line alone, before all others.
 HUB_KEYS = 4
+#: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
+GONE = 1 << 30
 #: Bits of the filter that passes the documents whose lines must be compared in full.
 BLOOM_BITS = 1 << 22
 
@@ -38,12 +40,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_order(docs: DataFrame, text_col: str) -> Column:
-    """A table of RANGES numbers: the rank of a hash range by how often its words stand in texts."""
+    """For each of RANGES hash ranges, what turns the first bits of its hashes into its rank by frequency in texts."""
     words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
     seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("r")).agg(F.count("*").alias("n"))
     counts = {r.r: r.n for r in seen.collect()}
     ranks = {r: i for i, r in enumerate(sorted(range(RANGES), key=lambda r: (counts.get(r, 0), r)))}
-    return literal_longs([ranks[r] for r in range(RANGES)])
+    return literal_longs([_signed(((ranks[r] ^ r ^ RANGES >> 1) << 48) & (1 << 64) - 1) for r in range(RANGES)])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -64,7 +70,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     num, den = t.numerator, t.denominator
     lines = _lines(docs, id_col, text_col)
     order = token_order(docs, text_col)
-    ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(order, F.shiftrightunsigned(x, 48).cast("int")), 48).bitwiseOR(x.bitwiseAND((1 << 48) - 1))))
+    ranked = F.sort_array(F.transform("tokens", lambda x: F.get(order, F.shiftrightunsigned(x, 48).cast("int")).bitwiseXOR(x)))
     n, n_prefix = F.size("tokens"), F.size("prefix")
     table = lines.select("doc", "at", ranked.alias("tokens")).select(
         "doc", "at", n.cast("long").alias("n"), F.xxhash64("tokens").alias("class"),
@@ -79,18 +85,18 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", "map")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
     y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
     near = keyed.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
-    gone = written(_verified(docs, written(near, "line-near"), id_col, text_col, num, den).select("doc", "at").distinct(), "line-gone")
+    gone = _verified(docs, written(near, "line-near"), id_col, text_col, num, den)
 
     # what these don't decide meets all earlier lines under each of its first tokens; one exchange serves both sides
     marked = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left")
-    entries = marked.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map", F.col("gone").isNull().alias("asks")).select("token", "doc", "at", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map", "asks")
-    pairs = _pairs(entries.where("asks").drop("asks"), entries.drop("asks"), num, den)
+    entries = marked.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map", F.col("gone").isNull().alias("asks")).select("token", "doc", "at", F.shiftleft(F.when(F.col("asks"), F.col("n")).otherwise(F.col("n") + GONE), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
+    pairs = _pairs(entries, num, den)
     pairs = pairs.groupBy("doc", "at", "h_doc", "h_at", "n", "h_n").agg(F.count("*").alias("shared"))
     # the count of shared first tokens bounds the overlap
     need = F.ceil((F.col("n") + F.col("h_n")) * num / (num + den) - 1e-9)
     behind = F.greatest(F.floor((F.col("n") * num + den - 1) / den), F.floor((F.col("h_n") * num + den - 1) / den)) - 1
     pairs = written(pairs.where(F.col("shared") >= need - behind).select("doc", "at", "h_doc", "h_at"), "line-pairs")
-    gone = gone.unionByName(_verified(docs, pairs, id_col, text_col, num, den).select("doc", "at")).distinct()
+    gone = gone.unionByName(_verified(docs, pairs, id_col, text_col, num, den)).distinct()
 
     # a class that an earlier line matches goes wholly; else all but its first line
     verdict = first.join(gone.withColumn("all", F.lit(True)), ["doc", "at"], "left").where("all or times > 1").select("class", "n", F.col("doc").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("all", F.lit(False)).alias("all"))
@@ -105,9 +111,13 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(*[cols[c] for c in docs.columns if c in cols], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"), removed_lines.alias("removed_lines"))
 
 
+def length(s: dict[str, Column]) -> Column:
+    return F.shiftrightunsigned(s["meta"], 32).bitwiseAND(GONE - 1)
+
+
 def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -> Column:
     """Length and positional filters, and a bound on differing tokens from the 64-bit maps."""
-    ny, nx = (F.shiftrightunsigned(s["meta"], 32) for s in (y, x))
+    ny, nx = length(y), length(x)
     py, px = (s["meta"].bitwiseAND(0xFFFFFFFF) for s in (y, x))
     total = ny + nx
     need = F.ceil(total * num / (num + den) - 1e-9)
@@ -115,15 +125,18 @@ def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -
     return (ny * den >= nx * num) & (nx * den >= ny * num) & (F.least(ny - py, nx - px) + F.least(py, px) >= need) & (apart <= total - 2 * need)
 
 
-def _pairs(later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
-    """Lines with all earlier lines under a token that pass the filters; a row for each shared token."""
+def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Lines that aren't gone with all earlier lines under a token that pass the filters; a row for each shared token.
+
+    Both sides are one table, so that one exchange serves both; a filter of one side alone would make it two.
+    """
     names = ("doc", "at", "meta", "map")
-    a = later.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
-    b = earlier.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    a = entries.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    b = entries.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
     before = (x["doc"] < y["doc"]) | ((x["doc"] == y["doc"]) & (x["at"] < y["at"]))
-    length = lambda s: F.shiftrightunsigned(s["meta"], 32)
-    met = a.join(b, (a.token == b.token) & before & _may_match(y, x, num, den))
+    asks = y["meta"] < F.when(length(x) > 0, GONE << 32).otherwise(0)
+    met = a.join(b, (a.token == b.token) & before & asks & _may_match(y, x, num, den))
     return met.select(y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"))
 
 
@@ -137,7 +150,7 @@ def _bloom(keys: DataFrame, key: str, col: Column) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
-    """The pairs (doc, at, h_doc, h_at) whose full token sets have Jaccard >= num / den."""
+    """The later lines (doc, at) of the written pairs whose full token sets have Jaccard >= num / den; the pairs' files go."""
     ids = pairs.select(F.explode(F.array("doc", "h_doc")).alias("doc")).distinct()
     source = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
     some = source.where(_bloom(ids, "doc", F.col("_doc"))).drop("_doc")
@@ -145,4 +158,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, num
     sets = written(_lines(some, id_col, text_col).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     both = pairs.join(sets, ["doc", "at"]).withColumnRenamed("tokens", "y").join(sets.select(F.col("doc").alias("h_doc"), F.col("at").alias("h_at"), F.col("tokens").alias("x")), ["h_doc", "h_at"])
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("doc", "at", "h_doc", "h_at")
+    true = written(both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("doc", "at").distinct(), "line-gone")
+    for used in (sets, pairs):
+        forget(used)
+    return true
