@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import window_hashes, word_hashes, written
+from roadloom.llm.line_dedup import bloom
 
 #: Hashed n-gram features; the models are two vectors of this length, whatever the corpus.
 BUCKETS = 10_000
@@ -68,7 +69,9 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
     raw = shares(base)
     target = known.where("_y = 1")
     totals = known.agg(F.count("*").alias("n"), F.sum("_y").alias("y")).first()
-    ratio = np.log(shares(base.join(target, base.doc_id == target._id, "left_semi")) / raw) if totals.y else np.zeros(buckets)
+    # labels may be too many to broadcast: a filter of fixed size passes what may be target, so only that is shuffled
+    may_be = base.where(bloom(target, "_id", F.col("doc_id"))) if totals.y else base
+    ratio = np.log(shares(may_be.join(target, may_be.doc_id == target._id, "left_semi")) / raw) if totals.y else np.zeros(buckets)
     table = spark.sparkContext.broadcast(ratio)
 
     def weigh(batches):

@@ -140,7 +140,7 @@ def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"))
 
 
-def _bloom(keys: DataFrame, key: str, col: Column) -> Column:
+def bloom(keys: DataFrame, key: str, col: Column) -> Column:
     """May col be among the keys? Always true for those that are. The map has BLOOM_BITS bits whatever the keys."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS))
     bit = place(F.col(key))
@@ -153,7 +153,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, num
     """The later lines (doc, at) of the written pairs whose full token sets have Jaccard >= num / den; the pairs' files go."""
     ids = pairs.select(F.explode(F.array("doc", "h_doc")).alias("doc")).distinct()
     source = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    some = source.where(_bloom(ids, "doc", F.col("_doc"))).drop("_doc")
+    some = source.where(bloom(ids, "doc", F.col("_doc"))).drop("_doc")
     wanted = pairs.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("h_doc").alias("doc"), F.col("h_at").alias("at")))).alias("k")).select("k.*").distinct()
     sets = written(_lines(some, id_col, text_col).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     both = pairs.join(sets, ["doc", "at"]).withColumnRenamed("tokens", "y").join(sets.select(F.col("doc").alias("h_doc"), F.col("at").alias("h_at"), F.col("tokens").alias("x")), ["h_doc", "h_at"])
