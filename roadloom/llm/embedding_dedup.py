@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.cluster_links import Forest, cluster_links
+from roadloom.llm.cluster_links import cluster_links
 from roadloom.llm.common import by_sorted_groups, out_batches, rows_in_groups, written
 from roadloom.llm.graph import components
 from roadloom.llm.vectors import bounded_sample, matrix, unit, valid_vector
@@ -36,29 +36,93 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 11) -
     return np.hstack([v @ turn, extra])
 
 
-def hamming_edges(codes: np.ndarray, radius: int, chunk: int = 512) -> list[tuple[int, int]]:
+def hamming_edges(codes: np.ndarray, radius: int, chunk: int = 512, left: np.ndarray | None = None, right: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect all pairs of codes within radius as those pairs do, at most one for each code.
 
-    One pass joins what lies near the first code; only the others are compared with everything.
+    One pass joins what lies near the first code; only the others are compared with everything. With left and
+    right, only pairs of one from each count.
     """
-    forest, near = Forest(len(codes)), np.bitwise_count(codes ^ codes[0]) <= radius
-    for i in np.nonzero(near)[0]:
-        forest.join(0, int(i))
-    rest = np.nonzero(~near)[0]
-    for at in range(0, len(rest), chunk):
-        rows = rest[at : at + chunk]
-        close = np.bitwise_count(codes[rows][:, None] ^ codes[None, :]) <= radius
-        for i, j in zip(*np.nonzero(close)):
-            forest.join(int(rows[i]), int(j))
-    return [(i, r) for i in range(len(codes)) if (r := forest.find(i)) != i]
-
-
-def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = 4, radius: int = 14, sample: int = 20_000, block: int = 512) -> DataFrame:
+    root = np.arange(len(codes))
+    if left is None:
+        near = np.bitwise_count(codes ^ codes[0]) <= radius
+        root[near] = 0
+        left, right = np.nonzero(~near)[0], np.arange(len(codes))
+    for at in range(0, len(left), chunk):
+        rows = left[at : at + chunk]
+        close = np.bitwise_count(codes[rows][:, None] ^ codes[right][None, :]) <= radius
+        for i in np.nonzero(close.any(axis=1))[0]:
+            met = np.append(root[right[close[i]]], root[rows[i]])
+            if (met != (least := met.min())).any():
+                hit = np.zeros(len(codes), bool)
+                hit[met] = True
+                root[hit[root]] = least
+    return [(int(i), int(root[i])) for i in np.nonzero(root != np.arange(len(codes)))[0]]
+
+
+def bucket_cells(codes: DataFrame, tables: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (t, at, p, q, part, rep, code) of distinct codes to compare, and edges (a, b) found without comparing.
+
+    A code stands under each of its substrings and under every neighbour of one that the table holds. A group of up
+    to `bucket` codes is one cell. In a larger one, codes within radius of the group's least code are edges to it; the
+    rest is split by a hash of rep into parts of about `bucket`, as are the near ones, and each pair of parts with a
+    rest in it is a cell of its own, so no task holds more than two parts whatever the group's size.
+    """
+    width = 64 // tables
+    # substrings are counted in a table of fixed size while they have 16 bits
+    fixed = F.broadcast if width <= 16 else (lambda df: df)
+    mask = (1 << width) - 1
+    subs = codes.select("rep", "code", F.posexplode(F.array(*[F.shiftrightunsigned("code", width * i).bitwiseAND(mask) for i in range(tables)])).alias("t", "sub"))
+    probes = F.explode(F.array(F.col("sub"), *[F.col("sub").bitwiseXOR(1 << i) for i in range(width)])).alias("at")
+    lived = written(subs.groupBy("t", "sub").agg(F.count("*").alias("n"), F.min(F.struct("rep", "code")).alias("hub")), "itq-lived")
+    sizes = lived.select("t", probes, "n").groupBy("t", "at").agg(F.sum("n").alias("n"))
+    groups = written(lived.select("t", F.col("sub").alias("at"), "hub").join(sizes, ["t", "at"]).where("n > 1"), "itq-groups")
+    met = subs.select("t", probes, "rep", "code")
+    none = F.lit(0)
+    small = met.join(fixed(groups.where(F.col("n") <= bucket).select("t", "at")), ["t", "at"])
+    cells = small.select("t", "at", none.alias("p"), none.alias("q"), none.alias("part"), "rep", "code")
+    crowded = groups.where(F.col("n") > bucket)
+    if crowded.isEmpty():
+        return cells, cells.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    large = met.join(fixed(crowded.select("t", "at", "hub")), ["t", "at"]).withColumn("near", F.bit_count(F.col("code").bitwiseXOR(F.col("hub.code"))) <= radius)
+    parts = lambda c: F.ceil(F.count_if(c) / bucket).cast("int")
+    counts = large.groupBy("t", "at").agg(parts(~F.col("near")).alias("r"), parts(F.col("near")).alias("n")).where("r > 0")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    # rest parts are 0 to r - 1 and meet all; near ones follow and meet the rest only
+    placed = large.join(fixed(counts), ["t", "at"]).withColumn("part", F.when(F.col("near"), F.col("r") + part("n")).otherwise(part("r")))
+    placed = placed.withColumn("other", F.explode(F.sequence(none, F.when(F.col("near"), F.col("r") - 1).otherwise(F.col("r") + F.col("n") - 1))))
+    split = placed.select("t", "at", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "code")
+    return cells.unionByName(split), large.where("near").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).where("a <> b")
+
+
+def candidate_edges(codes: DataFrame, tables: int, radius: int, bucket: int) -> DataFrame:
+    """Edges (a, b) that connect codes (rep, code) which meet in a table and lie within radius."""
+    heads = written(codes.groupBy("code").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "itq-heads")
+    equal = codes.select(F.col("rep").alias("a"), "code").join(heads.where("n > 1"), "code").select("a", F.col("rep").alias("b")).where("a <> b")
+    cells, known = bucket_cells(heads.select("rep", "code"), tables, radius, bucket)
+
+    def retrieve(batches):
+        def edges():
+            for (_, _, p, q), group in rows_in_groups(batches, ["t", "at", "p", "q"]):
+                code = np.array([r["code"] for r in group], np.int64).view(np.uint64)
+                sides = ()
+                if p != q:
+                    part = np.array([r["part"] for r in group])
+                    sides = np.nonzero(part == p)[0], np.nonzero(part == q)[0]
+                for i, j in hamming_edges(code, radius, 512, *sides):
+                    yield group[i]["rep"], group[j]["rep"]
+
+        yield from out_batches(edges(), _EDGE)
+
+    return by_sorted_groups(cells, ["t", "at", "p", "q"], [], retrieve, "a long, b long").union(known).union(equal)
+
+
+def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = 4, radius: int = 14, sample: int = 20_000, block: int = 512, bucket: int = 2048) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
     A rotation for balanced 64-bit codes is learned on `sample` vectors (the documented bound). All codes go
     to `tables` substring tables, each looked up with every substring at distance 0 or 1; codes that meet
-    and lie within `radius` bits join a candidate cluster. Inside each cluster the original vectors are
+    and lie within `radius` bits join a candidate cluster; a crowded substring is compared in parts of about `bucket`
+    codes. Inside each cluster the original vectors are
     compared in double precision, so a link has cosine >= threshold, and copies count by their number.
     Equal vectors are one representative throughout.
 
@@ -85,27 +149,8 @@ def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_
             bits = np.packbits(x @ t > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(bits)], schema=_CODE)
 
-    width = 64 // tables
-    codes = reps.select("rep", "v").mapInArrow(encode, "rep long, code long")
-    mask = (1 << width) - 1
-    subs = codes.select("rep", "code", F.posexplode(F.array(*[F.shiftrightunsigned("code", width * i).bitwiseAND(mask) for i in range(tables)])).alias("t", "sub"))
-    probes = F.array(F.col("sub"), *[F.col("sub").bitwiseXOR(1 << i) for i in range(width)])
-    # looked up under every neighbour of the substring; `home` marks the table's own entries
-    met = subs.select("t", F.posexplode(probes).alias("k", "at"), "rep", "code").select("t", "at", (F.col("k") == 0).alias("home"), "rep", "code")
-    lived = met.where("home").select("t", "at").distinct()
-    met = met.join(lived, ["t", "at"], "left_semi")
-
-    def retrieve(batches):
-        def edges():
-            for _, group in rows_in_groups(batches, ["t", "at"]):
-                if len(group) > 1 and any(r["home"] for r in group):
-                    code = np.array([r["code"] for r in group], np.int64).view(np.uint64)
-                    for i, j in hamming_edges(code, radius):
-                        yield group[i]["rep"], group[j]["rep"]
-
-        yield from out_batches(edges(), _EDGE)
-
-    near = by_sorted_groups(met, ["t", "at"], ["home"], retrieve, "a long, b long")
+    codes = written(reps.select("rep", "v").mapInArrow(encode, "rep long, code long"), "itq-codes")
+    near = candidate_edges(codes, tables, radius, bucket)
     clusters = components(near, "itq-candidates")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "component").join(reps, clusters.node == reps.rep).select(F.col("component").alias("cluster"), "size", "rep", "weight", F.col("v").alias("item"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from roadloom.llm import embedding_dedup, topk_search
+from roadloom.llm.graph import components
 from roadloom.llm.queries import ORACLE, QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int"
@@ -72,6 +73,32 @@ def test_near_dedup_of_blocks(spark):
     assert result(embedding_dedup.near_dedup_embeddings(table(spark, rows), block=16, radius=40)) == want
 
 
+def test_crowded_buckets_are_split_and_lose_no_pair(spark):
+    """Codes of which most share a substring: no cell holds the bucket, and what meets stays connected."""
+    r = np.random.default_rng(6)
+    flips = r.random((700, 64)) < np.where(np.arange(64) < 40, 0.03, 0.5)
+    codes = np.unique(np.packbits(flips, axis=1, bitorder="little").view(np.uint64)[:, 0])
+    n, radius, bucket = len(codes), 8, 50
+    subs = [(codes >> np.uint64(16 * t)) & np.uint64(0xFFFF) for t in range(4)]
+    met = np.zeros((n, n), bool)
+    for s in subs:
+        for at in np.unique(s):
+            under = np.bitwise_count(s ^ at) <= 1
+            met |= under[:, None] & under[None, :]
+    near = met & (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius)
+    want = np.arange(n)
+    while (new := np.where(near, want[None, :], n).min(axis=1)).tolist() != want.tolist():
+        want = new
+    table_ = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes.view(np.int64))], "rep long, code long")
+    cells, _ = embedding_dedup.bucket_cells(table_, 4, radius, bucket)
+    largest = max(x["count"] for x in cells.groupBy("t", "at", "p", "q").count().collect())
+    assert largest <= 2 * 2 * bucket < max(int((np.bitwise_count(s ^ at) <= 1).sum()) for s in subs for at in np.unique(s))
+    for size in (bucket, 10_000):
+        got = {x.node: x.component for x in components(embedding_dedup.candidate_edges(table_, 4, radius, size)).collect()}
+        assert [got.get(i, i) for i in range(n)] == want.tolist()
+    assert 1 < len(set(want.tolist())) < n
+
+
 def test_near_dedup_empty(spark):
     assert embedding_dedup.near_dedup_embeddings(table(spark, [])).count() == 0
 
