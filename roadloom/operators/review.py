@@ -36,9 +36,21 @@ def counters(recs: DataFrame) -> DataFrame:
 
 
 def neighbours(recs: DataFrame, order: list[str]) -> DataFrame:
-    """prev_id and next_id of each record; the ends point at themselves."""
-    w = Window.orderBy(*order)
-    return recs.select("id", F.coalesce(F.lag("id").over(w), F.col("id")).alias("prev_id"), F.coalesce(F.lead("id").over(w), F.col("id")).alias("next_id"))
+    """prev_id and next_id of each record; the ends point at themselves, and ties go by id.
+
+    Records are dealt by range and looked up inside their range; only the first and last of each range meet in one group.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = recs.select(F.struct("id").alias("_r"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    n = int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *keys, "_r").withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range").orderBy(*keys, "_r")
+    near = ranged.withColumns({"_prev": F.lag("_r").over(inside), "_next": F.lead("_r").over(inside)})
+    ends = near.withColumn("_group", F.when(F.col("_prev").isNull() | F.col("_next").isNull(), -1).otherwise(F.col("_range")))
+    # a range's first record comes before its last
+    across = Window.partitionBy("_group").orderBy("_range", F.col("_prev").isNotNull())
+    met = ends.withColumns({"_before": F.lag("_r").over(across), "_after": F.lead("_r").over(across)})
+    return met.select("_r.id", F.coalesce("_prev", F.when(F.col("_group") == -1, F.col("_before")), "_r")["id"].alias("prev_id"), F.coalesce("_next", F.when(F.col("_group") == -1, F.col("_after")), "_r")["id"].alias("next_id"))
 
 
 def apply_edits(features: DataFrame, edits: DataFrame, codes: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.operators import align, clean, dedup, features, fuzzy, lanes, tracker, tracks
+from roadloom.operators import align, clean, dedup, features, fuzzy, lanes, review, tracker, tracks
 from roadloom.params import Params
 
 
@@ -120,3 +120,15 @@ def test_drives_are_apart(spark):
     one = [(1, f, f, "a", 900, 300) for f in range(1, 7)]
     two = one + [(2, f, 100 + f, "a", 900, 300) for f in range(1, 7)]
     assert tracker.track(drive(spark, two)).where("drive_id = 1").drop("drive_id").collect() == tracker.track(drive(spark, one)).drop("drive_id").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 500])
+def test_neighbours_across_ranges(spark, n):
+    """Ties, and a key that half of the records share; no window puts all records in one task."""
+    recs = spark.createDataFrame([(i, None if i % 50 == 9 else 0 if i % 2 else i * 7 % 90) for i in range(n)], "id long, k long").repartition(4)
+    got = review.neighbours(recs, ["k"])
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    ids = [r.id for r in sorted(recs.collect(), key=lambda r: (r.k is not None, r.k, r.id))]
+    want = {i: (ids[max(j - 1, 0)], ids[min(j + 1, len(ids) - 1)]) for j, i in enumerate(ids)}
+    assert {r.id: (r.prev_id, r.next_id) for r in got.collect()} == want
+    assert got.count() == n
