@@ -74,15 +74,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         raise ValueError("gram + window must not exceed least_words + 1")
     shared = least_words - window + 1  # words right of the first minimiser in a passage
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    hashed = base.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.regexp_count("text", F.lit(r"\S+")).alias("words"))
-    copies = written(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.first("words").alias("words")), "suffix-texts")
+    hashed = base.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    copies = written(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "suffix-texts")
 
     def seeds(batches):
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 doc, key, pos, low, high = [], [], [], [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for d, t, h1, h2 in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "h1", "h2"))):
                     w = word_hashes(_WORD.findall(t))
                     if len(w) < least_words:
                         continue
@@ -93,11 +93,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     key.append(starts[places[use]].view(np.int64))
                     for held, x in ((pos, places), (low, least), (high, most)):
                         held.append(x[use].astype(np.int32))
+                    # a text's words, under its hashes
+                    for held, x, kind in ((doc, h1, np.int64), (key, h2, np.int64), (pos, len(w), np.int32), (low, -1, np.int32), (high, -1, np.int32)):
+                        held.append(np.array([x], kind))
                 if doc:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, key, pos, low, high)], schema=_SEED)
 
-    found = written(base.select("doc_id", "text").mapInArrow(seeds, "doc long, key long, pos int, low int, high int"), "suffix-seeds")
-    one_each = found.join(copies.select("doc"), "doc", "left_semi")
+    found = written(base.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).mapInArrow(seeds, "doc long, key long, pos int, low int, high int"), "suffix-seeds")
+    words = found.where("low < 0").groupBy(F.col("doc").alias("h1"), F.col("key").alias("h2")).agg(F.max("pos").alias("words"))
+    one_each = found.where("low >= 0").join(copies.select("doc"), "doc", "left_semi")
     often = one_each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > neighbours + 1).alias("crowd"))
     # leads: how many words before the suffix its passages may start, as bits; only where neighbours may not be enough
     lead = F.when(F.col("crowd"), F.col("high") * 64 + F.col("low")).otherwise(-1)
@@ -205,11 +209,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # union of overlapping spans: a span starts where nothing before it reaches
     spans = matches.groupBy("doc", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other"))
     merged = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "other"))).alias("s")).select("doc", F.explode(_merge_spans(F.col("s"))).alias("m")).select("doc", "m.*")
-    whole = copies.where((F.col("n") > 1) & (F.col("words") >= least_words))
+    whole = copies.where("n > 1").join(words, ["h1", "h2"])
     alone = merged.join(whole.select("doc"), "doc", "left_anti").select("doc", "start", "stop", "other")
     out = alone.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_doc_id"))
     members = hashed.select("doc_id", "h1", "h2").join(whole, ["h1", "h2"])
-    every = members.select("doc_id", F.lit(0).alias("start_word"), F.col("words").cast("int").alias("n_words"), F.when(F.col("doc_id") == F.col("doc"), F.col("last")).otherwise(F.col("doc")).alias("other_doc_id"))
+    every = members.select("doc_id", F.lit(0).alias("start_word"), F.col("words").alias("n_words"), F.when(F.col("doc_id") == F.col("doc"), F.col("last")).otherwise(F.col("doc")).alias("other_doc_id"))
     return out.unionByName(every)
 
 

@@ -186,6 +186,14 @@ def test_passages_that_many_hold_and_few_go_on(docs, words, n):
     assert covered(suffix_dedup.repeated_passages(docs(rows, 5))) == brute_words(rows)
 
 
+@pytest.mark.parametrize("space", ["\u3000", "\u00a0", "\u0085"])
+def test_passages_of_copies_parted_by_other_spaces(docs, words, space):
+    """Whole copies count words as passages do, whatever white space parts them."""
+    rows = [(i, space.join(words[:60])) for i in (1, 2, 3)] + [(4, space.join(words[100:149])), (5, space.join(words[100:149]))]
+    got = suffix_dedup.repeated_passages(docs(rows)).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words, r.other_doc_id) for r in got) == [(1, 0, 60, 3), (2, 0, 60, 1), (3, 0, 60, 1)]
+
+
 def test_passages_odd_texts_and_empty(docs, odd_texts):
     got = suffix_dedup.repeated_passages(docs(odd_texts))
     assert set(covered(got)) == {5}
