@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain, groupby
 
 import numpy as np
@@ -12,28 +13,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where a session names no shared folder, as in local tests.
+#: Where a local session (tests, a laptop) that names no shared folder keeps intermediate tables.
 LOCAL_CHECKPOINTS = "/tmp/roadloom-checkpoints"
+#: Spark's switch that deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[DataFrame]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The shared folder that the cluster names in spark.checkpoint.dir; only a local master may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{checkpoint_root(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the tables that written() made inside, but for those with keep=True."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for table in _SCOPES.pop():
+            forget(table)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of this one query go when it ends, as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(table)
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def private(*taken: str) -> str:
+    """A prefix that none of these column names starts with."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in taken):
+        mark += "_"
+    return mark
 
 
 def partitions(spark: SparkSession) -> int:

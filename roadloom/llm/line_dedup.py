@@ -7,16 +7,17 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import forget, written
+from roadloom.llm.common import forget, private, written
 
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
-RANGES = 1 << 16
+RANGES = 1 << 18
 #: Pairs of neighbouring rare tokens under which a line meets the earliest line alone, before all others.
 HUB_KEYS = 4
 #: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
 GONE = 1 << 30
-#: Bits of the filter that passes the documents whose lines must be compared in full.
-BLOOM_BITS = 1 << 22
+#: Most bits of a filter of keys: 2 MB. It has at least 8 bits a key up to two million keys and passes more beyond.
+MOST_BITS = 1 << 24
+_LAST = 2**63 - 1  # stands for a null id
 
 
 def line_tokens(line: Column) -> Column:
@@ -32,83 +33,113 @@ def literal_longs(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text_hash, line, tokens): one row a line with words. doc orders null ids last."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_col).bitwiseAND(0xFFFF).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-    keyed = keyed.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
-    return keyed.select("doc", F.shiftleft(F.col("line").cast("long"), 16).bitwiseOR(F.col("text_hash")).alias("at"), line_tokens(F.col("words")).alias("tokens"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text): doc orders null ids last."""
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
 
-def token_order(docs: DataFrame, text_col: str) -> Column:
-    """For each of RANGES hash ranges, what turns the first bits of its hashes into its rank by frequency in texts."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
-    seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("r")).agg(F.count("*").alias("n"))
-    counts = {r.r: r.n for r in seen.collect()}
-    ranks = {r: i for i, r in enumerate(sorted(range(RANGES), key=lambda r: (counts.get(r, 0), r)))}
-    return literal_longs([_signed(((ranks[r] ^ r ^ RANGES >> 1) << 48) & (1 << 64) - 1) for r in range(RANGES)])
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(doc, at, tokens) of (doc, text): one row a line with words. at holds the line's number above the text's hash."""
+    parts = keyed.select("doc", _text_hash("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    parts = parts.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
+    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), line_tokens(F.col("words")).alias("tokens"))
+
+
+def token_levels(texts: DataFrame) -> Column:
+    """For each of RANGES hash ranges of words, the frequency of its words in texts as four times its binary logarithm.
+
+    The array has the same length whatever the texts, and its strings are made on the executors.
+    """
+    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
+    seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 46).alias("r")).agg(F.count("*").alias("n"))
+    every = texts.sparkSession.range(RANGES).select(F.col("id").alias("r")).join(seen, "r", "left")
+    level = F.coalesce(F.floor(4 * F.log2(F.col("n"))), F.lit(0)).cast("int")
+    runs = every.groupBy(F.expr("r div 1024").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", level.alias("v")))), lambda x: x["v"].cast("string")), ",").alias("levels"))
+    levels = ",".join(x.levels for x in sorted(runs.collect(), key=lambda x: x.run))
+    return F.expr(f"cast(split('{levels}', ',') as array<tinyint>)")
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs with n_lines and removed_lines (numbers from 0), and the text without those lines.
 
     A line goes if a line before it, by (doc_id, line number, hash of the text), has word sets with Jaccard >=
-    threshold. Tokens are ordered by the frequency of their hash range over all lines, rare first; a line is
+    threshold. Tokens are ordered by the frequency of their hash range over all texts, rare first; a line is
     found by its first n - ceil(threshold * n) + 1 tokens, and pairs must pass the length and positional
-    filters and a bound from 64-bit token maps before their full sets are compared. Lines with equal sets are one
-    class. Under pairs of neighbouring rare tokens, a line is first compared with the earliest one; only lines that
-    this leaves undecided meet all earlier lines, so thousands of near copies make a few pairs for each line.
+    filters and a bound from 64-bit token maps before their full sets are compared. Lines with equal sets (by two
+    hashes and their size) are one class. Under pairs of neighbouring rare tokens, a class is first compared with the
+    earliest one; only classes that this leaves undecided meet all others, so thousands of near copies make a few
+    pairs for each line. A crowded token is one key of a sort-merge join, which adaptive execution splits.
 
     Defined cases: null text stays null; lines without letters or digits stay; a document may lose all lines and
     keeps its row; null ids come last; rows that repeat id and text get the same verdicts; an empty table gives
-    no rows; extra columns stay, but n_lines and removed_lines replace columns of these names.
+    no rows; extra columns stay whatever their names, but n_lines and removed_lines replace columns of these names.
     """
     t = Fraction(threshold).limit_denominator(1000)
     num, den = t.numerator, t.denominator
-    lines = _lines(docs, id_col, text_col)
-    order = token_order(docs, text_col)
-    ranked = F.sort_array(F.transform("tokens", lambda x: F.get(order, F.shiftrightunsigned(x, 48).cast("int")).bitwiseXOR(x)))
+    keyed = _keyed(docs, id_col, text_col)
+    levels = token_levels(keyed)
+    ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(levels, F.shiftrightunsigned(x, 46).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
     n, n_prefix = F.size("tokens"), F.size("prefix")
-    table = lines.select("doc", "at", ranked.alias("tokens")).select(
-        "doc", "at", n.cast("long").alias("n"), F.xxhash64("tokens").alias("class"),
+    lines = _lines(keyed).select("doc", "at", ranked.alias("tokens")).select(
+        "doc", "at", n.alias("n"), F.xxhash64("tokens").alias("class"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("map"),
-        F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")).alias("prefix"),
+        F.transform(F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")), lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     )
-    table = written(table, "lines")
-    first = written(table.groupBy("class", "n").agg(F.min(F.struct("doc", "at", "map", "prefix")).alias("f"), F.count("*").alias("times")).select("class", "n", "f.*", "times"), "line-classes")
+    lines = written(lines, "lines")
+    same = ["class", "n", "map"]
+    classes = written(lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times"), "line-classes")
+    members = written(lines.select("doc", "at", *same), "line-members")
+    forget(lines)
+
     # near copies of thousands share pairs of rare tokens: each line first meets the earliest line under a few of these
-    neighbours_ = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
-    keyed = first.select(F.explode(F.array_distinct(neighbours_)).alias("key"), "doc", "at", F.shiftleft("n", 32).alias("meta"), "map").where("key is not null")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", "map")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    pairs_of_rare = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
+    asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).alias("meta"), "map").where("key is not null")
+    hubs = asked.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", "map")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
     y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
-    near = keyed.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
-    gone = _verified(docs, written(near, "line-near"), id_col, text_col, num, den)
-
-    # what these don't decide meets all earlier lines under each of its first tokens; one exchange serves both sides
-    marked = first.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left")
-    entries = marked.select("doc", "at", F.posexplode("prefix").alias("pos", "token"), "n", "map", F.col("gone").isNull().alias("asks")).select("token", "doc", "at", F.shiftleft(F.when(F.col("asks"), F.col("n")).otherwise(F.col("n") + GONE), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
-    pairs = _pairs(entries, num, den)
-    pairs = pairs.groupBy("doc", "at", "h_doc", "h_at", "n", "h_n").agg(F.count("*").alias("shared"))
+    near = asked.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
+    gone = _verified(keyed, written(near, "line-near"), num, den)
+    marked = written(classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "line-marked")
+    forget(classes)
+
+    # what these don't decide meets all others under each of its first tokens; one exchange serves both sides
+    entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "class", "n", "map", "gone")
+    entries = entries.select("token", "class", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
+    met = _pairs(entries, num, den).groupBy("y_class", "x_class", "y_n", "x_n", "y_map", "x_map").agg(F.count("*").alias("shared"))
     # the count of shared first tokens bounds the overlap
-    need = F.ceil((F.col("n") + F.col("h_n")) * num / (num + den) - 1e-9)
-    behind = F.greatest(F.floor((F.col("n") * num + den - 1) / den), F.floor((F.col("h_n") * num + den - 1) / den)) - 1
-    pairs = written(pairs.where(F.col("shared") >= need - behind).select("doc", "at", "h_doc", "h_at"), "line-pairs")
-    gone = gone.unionByName(_verified(docs, pairs, id_col, text_col, num, den)).distinct()
+    need = F.ceil((F.col("y_n") + F.col("x_n")) * num / (num + den) - 1e-9)
+    behind = F.greatest(F.floor((F.col("y_n") * num + den - 1) / den), F.floor((F.col("x_n") * num + den - 1) / den)) - 1
+    met = written(met.where(F.col("shared") >= need - behind).drop("shared"), "line-met")
+    heads = marked.select(*same, "gone", F.struct("doc", "at").alias("f"))
+    side = lambda s: heads.select(*[F.col(c).alias(f"{s}_{c}") for c in (*same, "f", "gone")])
+    both = met.join(side("y"), [f"y_{c}" for c in same]).join(side("x"), [f"x_{c}" for c in same])
+    later = lambda c: F.when(F.col("y_f") > F.col("x_f"), F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
+    pairs = both.where(~later("gone")).select(later("f").alias("f"), F.least("y_f", "x_f").alias("h")).select("f.doc", "f.at", F.col("h.doc").alias("h_doc"), F.col("h.at").alias("h_at"))
+    pairs = written(pairs, "line-pairs")
+    forget(met)
+    gone = gone.unionByName(_verified(keyed, pairs, num, den)).distinct()
 
     # a class that an earlier line matches goes wholly; else all but its first line
-    verdict = first.join(gone.withColumn("all", F.lit(True)), ["doc", "at"], "left").where("all or times > 1").select("class", "n", F.col("doc").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("all", F.lit(False)).alias("all"))
-    removed = table.select("doc", "at", "class", "n").join(verdict, ["class", "n"]).where("all or doc <> f_doc or at <> f_at")
-    per_doc = removed.groupBy("doc", F.col("at").bitwiseAND(0xFFFF).alias("text_hash")).agg(F.array_sort(F.collect_set(F.shiftrightunsigned("at", 16).cast("int"))).alias("_removed"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text_hash": F.xxhash64(text_col).bitwiseAND(0xFFFF), "_n_lines": F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))})
-    out = keyed.join(per_doc, (F.col("_doc") == F.col("doc")) & (F.col("_text_hash") == F.col("text_hash")), "left")
-    removed_lines = F.coalesce("_removed", F.array().cast("array<int>"))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-    kept = [c for c in docs.columns if c not in (text_col, "n_lines", "removed_lines")]
-    cols = {c: F.col(f"`{c}`") for c in kept} | {text_col: text.alias(text_col)}
-    return out.select(*[cols[c] for c in docs.columns if c in cols], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"), removed_lines.alias("removed_lines"))
+    verdict = marked.join(gone.withColumn("all", F.lit(True)), ["doc", "at"], "left").where("all or times > 1").select(*same, F.col("doc").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("all", F.lit(False)).alias("all"))
+    removed = members.join(verdict, same).where("all or doc <> f_doc or at <> f_at")
+    m = private(*docs.columns)
+    per_doc = removed.groupBy(F.col("doc").alias(f"{m}doc"), F.col("at").bitwiseAND(0xFFFFFFFF).alias(f"{m}hash")).agg(F.array_sort(F.collect_set(F.shiftrightunsigned("at", 32).cast("int"))).alias(f"{m}removed"))
+    per_doc = written(per_doc, "line-removed")
+    forget(marked, members)
+    return _without_lines(docs, per_doc, m, id_col, text_col)
+
+
+def _without_lines(docs: DataFrame, per_doc: DataFrame, m: str, id_col: str, text_col: str) -> DataFrame:
+    """docs without the lines of per_doc (doc, hash, removed under private names)."""
+    text, split = F.col(f"`{text_col}`"), F.split(f"`{text_col}`", "\n")
+    out = docs.withColumns({f"{m}doc": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), f"{m}hash": _text_hash(f"`{text_col}`"), f"{m}lines": F.when(text.isNull(), 0).otherwise(F.size(split))}).join(per_doc, [f"{m}doc", f"{m}hash"], "left")
+    removed = F.col(f"{m}removed")
+    kept = F.when(removed.isNull(), text).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(removed, i)), "\n"))
+    cols = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    return out.select(*cols, F.col(f"{m}lines").alias("n_lines"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def length(s: dict[str, Column]) -> Column:
@@ -126,39 +157,39 @@ def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -
 
 
 def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Lines that aren't gone with all earlier lines under a token that pass the filters; a row for each shared token.
+    """Pairs of classes under a token that pass the filters, unless both are gone; a row for each shared token.
 
     Both sides are one table, so that one exchange serves both; a filter of one side alone would make it two.
     """
-    names = ("doc", "at", "meta", "map")
+    names = ("class", "meta", "map")
     a = entries.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
-    b = entries.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    b = entries.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
-    before = (x["doc"] < y["doc"]) | ((x["doc"] == y["doc"]) & (x["at"] < y["at"]))
-    asks = y["meta"] < F.when(length(x) > 0, GONE << 32).otherwise(0)
-    met = a.join(b, (a.token == b.token) & before & asks & _may_match(y, x, num, den))
-    return met.select(y["doc"].alias("doc"), y["at"].alias("at"), x["doc"].alias("h_doc"), x["at"].alias("h_at"), length(y).alias("n"), length(x).alias("h_n"))
+    once = (x["class"] < y["class"]) | ((x["class"] == y["class"]) & (x["map"] < y["map"]))
+    asks = F.least(y["meta"], x["meta"]) < GONE << 32
+    met = a.join(b, (F.col("token") == F.col("x_token")) & once & asks & _may_match(y, x, num, den))
+    return met.select(y["class"], x["class"], length(y).cast("int").alias("y_n"), length(x).cast("int").alias("x_n"), y["map"], x["map"])
 
 
 def bloom(keys: DataFrame, key: str, col: Column) -> Column:
-    """May col be among the keys? Always true for those that are. The map has BLOOM_BITS bits whatever the keys."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS))
+    """May col be among the keys? Always true for those that are. Bits are 8 a key, MOST_BITS at most."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(1 << 12, 1 << (8 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     bit = place(F.col(key))
     words = {r.w: r.v for r in keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("v")).collect()}
-    table = literal_longs([words.get(i, 0) for i in range(BLOOM_BITS // 64)])
+    table = literal_longs([words.get(i, 0) for i in range(bits // 64)])
     return F.call_function("getbit", F.get(table, F.floor(place(col) / 64).cast("int")), (place(col) % 64).cast("int")) == 1
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+def _verified(keyed: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines (doc, at) of the written pairs whose full token sets have Jaccard >= num / den; the pairs' files go."""
     ids = pairs.select(F.explode(F.array("doc", "h_doc")).alias("doc")).distinct()
-    source = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    some = source.where(bloom(ids, "doc", F.col("_doc"))).drop("_doc")
+    some = keyed.where(bloom(ids, "doc", F.col("doc")))
     wanted = pairs.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("h_doc").alias("doc"), F.col("h_at").alias("at")))).alias("k")).select("k.*").distinct()
-    sets = written(_lines(some, id_col, text_col).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
+    sets = written(_lines(some).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     both = pairs.join(sets, ["doc", "at"]).withColumnRenamed("tokens", "y").join(sets.select(F.col("doc").alias("h_doc"), F.col("at").alias("h_at"), F.col("tokens").alias("x")), ["h_doc", "h_at"])
     shared = F.size(F.array_intersect("x", "y"))
     true = written(both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("doc", "at").distinct(), "line-gone")
-    for used in (sets, pairs):
-        forget(used)
+    forget(sets, pairs)
     return true

@@ -68,6 +68,25 @@ def test_lines_empty_table(docs):
     assert line_dedup.line_dedup(docs([], 1)).count() == 0
 
 
+def test_lines_whole_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = QUERIES["op5_line_dedup"](spark, sf_dir).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == brute_lines(rows)
+    assert all(r.n_removed == len(r.removed_lines) for r in got)
+
+
+@pytest.mark.parametrize("names", [("doc", "text_hash", "_removed"), ("_doc", "_hash", "_lines"), ("__doc", "at", "n_lines"), ("class", "h", "removed_lines")])
+def test_lines_of_columns_with_clashing_names(spark, names):
+    rows = [(i, "one two three\nfour five" if i % 2 else f"line {i}\none two three", i, i + 1, i + 2) for i in range(12)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} long' for n in names)}")
+    got = line_dedup.line_dedup(df).collect()
+    want = brute_lines([(r[0], r[1]) for r in rows])
+    assert {r.doc_id: r.removed_lines for r in got} == want
+    for r in got:
+        for k, n in enumerate(names):
+            assert n in ("n_lines", "removed_lines") or r[n] == r.doc_id + k
+
+
 # -- documents
 
 
