@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ RANGES = 1 << 18
 HUB_KEYS = 4
 #: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
 GONE = 1 << 30
+#: Parts of the range of document ids in the order of lines; the last is of null ids.
+PLACES = 1 << 20
 #: Most bits of a filter of keys: 2 MB. It has at least 8 bits a key up to two million keys and passes more beyond.
 MOST_BITS = 1 << 24
 _LAST = 2**63 - 1  # stands for a null id
@@ -42,11 +45,11 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
+def _lines(keyed: DataFrame, tokens: Callable[[Column], Column] = line_tokens) -> DataFrame:
     """(doc, at, tokens) of (doc, text): one row a line with words. at holds the line's number above the text's hash."""
     parts = keyed.select("doc", _text_hash("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     parts = parts.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
-    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), line_tokens(F.col("words")).alias("tokens"))
+    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), tokens(F.col("words")).alias("tokens"))
 
 
 def token_levels(texts: DataFrame) -> Column:
@@ -69,7 +72,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A line goes if a line before it, by (doc_id, line number, hash of the text), has word sets with Jaccard >=
     threshold. Tokens are ordered by the frequency of their hash range over all texts, rare first; a line is
     found by its first n - ceil(threshold * n) + 1 tokens, and pairs must pass the length and positional
-    filters and a bound from 64-bit token maps before their full sets are compared. Lines with equal sets (by two
+    filters and a bound from maps of token parities (128 bits) before their full sets are compared. Lines with equal sets (by two
     hashes and their size) are one class. Under pairs of neighbouring rare tokens, a class is first compared with the
     earliest one; only classes that this leaves undecided meet all others, so thousands of near copies make a few
     pairs for each line. A crowded token is one key of a sort-merge join, which adaptive execution splits.
@@ -82,40 +85,45 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     num, den = t.numerator, t.denominator
     keyed = _keyed(docs, id_col, text_col)
     levels = token_levels(keyed)
-    ranked = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(levels, F.shiftrightunsigned(x, 46).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    level = lambda h: F.get(levels, F.shiftrightunsigned(h, 46).cast("int")).cast("long")
+    rank = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    ranked = lambda line: F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: rank(F.xxhash64(w)))))
     n, n_prefix = F.size("tokens"), F.size("prefix")
-    lines = _lines(keyed).select("doc", "at", ranked.alias("tokens")).select(
-        "doc", "at", n.alias("n"), F.xxhash64("tokens").alias("class"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("map"),
-        F.transform(F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")), lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
+    lines = _lines(keyed, ranked).select(
+        "doc", "at", n.alias("n"), F.xxhash64("tokens").alias("class"), *[_parity(i).alias(f"map{i}") for i in (0, 1)],
+        F.transform(F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")), lambda x: F.shiftrightunsigned(x, 7).bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     )
     lines = written(lines, "lines")
-    same = ["class", "n", "map"]
-    classes = written(lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times"), "line-classes")
+    same, maps = ["class", "n", "map0"], ["map0", "map1"]
+    classes = written(lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "map1", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times"), "line-classes")
     members = written(lines.select("doc", "at", *same), "line-members")
     forget(lines)
 
     # near copies of thousands share pairs of rare tokens: each line first meets the earliest line under a few of these
     pairs_of_rare = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
-    asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).alias("meta"), "map").where("key is not null")
-    hubs = asked.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", "map")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", "map")} for s in ("", "hub."))
+    asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).alias("meta"), *maps).where("key is not null")
+    hubs = asked.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", *maps)).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", *maps)} for s in ("", "hub."))
     near = asked.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
     gone = _verified(keyed, written(near, "line-near"), num, den)
-    marked = written(classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "line-marked")
+    # a class's id begins with a coarse place in the order of documents, so that pairs whose later line is gone needn't meet
+    low, high = classes.where(F.col("doc") < _LAST).agg(F.min("doc").cast("double"), F.max("doc").cast("double")).first()
+    place = F.when(F.col("doc") == _LAST, PLACES - 1).otherwise(F.floor((F.col("doc").cast("double") - (low or 0.0)) * ((PLACES - 2) / max(1.0, (high or 0.0) - (low or 0.0)))))
+    class_id = F.shiftleft(place.cast("long"), 43).bitwiseOR(F.col("class").bitwiseAND((1 << 43) - 1))
+    marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumns({"gone": F.coalesce("gone", F.lit(False)), "id": class_id})
+    marked = written(marked, "line-marked")
     forget(classes)
 
     # what these don't decide meets all others under each of its first tokens; one exchange serves both sides
-    entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "class", "n", "map", "gone")
-    entries = entries.select("token", "class", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "map")
-    met = _pairs(entries, num, den).groupBy("y_class", "x_class", "y_n", "x_n", "y_map", "x_map").agg(F.count("*").alias("shared"))
+    entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", *maps, "gone")
+    entries = entries.select("token", "id", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), *maps)
+    met = _pairs(entries, num, den).groupBy("y_id", "x_id", "y_n", "x_n").agg(F.count("*").alias("shared"))
     # the count of shared first tokens bounds the overlap
     need = F.ceil((F.col("y_n") + F.col("x_n")) * num / (num + den) - 1e-9)
     behind = F.greatest(F.floor((F.col("y_n") * num + den - 1) / den), F.floor((F.col("x_n") * num + den - 1) / den)) - 1
     met = written(met.where(F.col("shared") >= need - behind).drop("shared"), "line-met")
-    heads = marked.select(*same, "gone", F.struct("doc", "at").alias("f"))
-    side = lambda s: heads.select(*[F.col(c).alias(f"{s}_{c}") for c in (*same, "f", "gone")])
-    both = met.join(side("y"), [f"y_{c}" for c in same]).join(side("x"), [f"x_{c}" for c in same])
+    side = lambda s: marked.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.struct("doc", "at").alias(f"{s}_f"), F.col("gone").alias(f"{s}_gone"))
+    both = met.join(side("y"), ["y_id", "y_n"]).join(side("x"), ["x_id", "x_n"])
     later = lambda c: F.when(F.col("y_f") > F.col("x_f"), F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
     pairs = both.where(~later("gone")).select(later("f").alias("f"), F.least("y_f", "x_f").alias("h")).select("f.doc", "f.at", F.col("h.doc").alias("h_doc"), F.col("h.at").alias("h_at"))
     pairs = written(pairs, "line-pairs")
@@ -142,33 +150,44 @@ def _without_lines(docs: DataFrame, per_doc: DataFrame, m: str, id_col: str, tex
     return out.select(*cols, F.col(f"{m}lines").alias("n_lines"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"))
 
 
+def _parity(half: int) -> Column:
+    """64 bits, each the parity of the number of tokens that fall on it; half of the tokens, by one bit, belong to each map.
+
+    A token that only one of two sets holds turns one bit, so differing bits bound differing tokens.
+    """
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(64) == 64 * half, m.bitwiseXOR(one(x))).otherwise(m))
+
+
 def length(s: dict[str, Column]) -> Column:
     return F.shiftrightunsigned(s["meta"], 32).bitwiseAND(GONE - 1)
 
 
 def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -> Column:
-    """Length and positional filters, and a bound on differing tokens from the 64-bit maps."""
+    """Length and positional filters, and a bound on differing tokens from the bits of the two maps."""
     ny, nx = length(y), length(x)
     py, px = (s["meta"].bitwiseAND(0xFFFFFFFF) for s in (y, x))
     total = ny + nx
     need = F.ceil(total * num / (num + den) - 1e-9)
-    apart = F.bit_count(y["map"].bitwiseXOR(x["map"]))
+    apart = F.bit_count(y["map0"].bitwiseXOR(x["map0"])) + F.bit_count(y["map1"].bitwiseXOR(x["map1"]))
     return (ny * den >= nx * num) & (nx * den >= ny * num) & (F.least(ny - py, nx - px) + F.least(py, px) >= need) & (apart <= total - 2 * need)
 
 
 def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes under a token that pass the filters, unless both are gone; a row for each shared token.
+    """Pairs of classes under a token that pass the filters, unless the later is gone; a row for each shared token.
 
-    Both sides are one table, so that one exchange serves both; a filter of one side alone would make it two.
+    Ids are in the order of lines but for lines of one place. Both sides are one table, so that one exchange serves
+    both; a filter of one side alone would make it two.
     """
-    names = ("class", "meta", "map")
+    names = ("id", "meta", "map0", "map1")
     a = entries.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
     b = entries.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
-    once = (x["class"] < y["class"]) | ((x["class"] == y["class"]) & (x["map"] < y["map"]))
-    asks = F.least(y["meta"], x["meta"]) < GONE << 32
-    met = a.join(b, (F.col("token") == F.col("x_token")) & once & asks & _may_match(y, x, num, den))
-    return met.select(y["class"], x["class"], length(y).cast("int").alias("y_n"), length(x).cast("int").alias("x_n"), y["map"], x["map"])
+    once = (x["id"] < y["id"]) | ((x["id"] == y["id"]) & (length(x) < length(y)))
+    one_place = F.shiftrightunsigned(x["id"], 43) == F.shiftrightunsigned(y["id"], 43)
+    stays = lambda s: s["meta"] < GONE << 32
+    met = a.join(b, (F.col("token") == F.col("x_token")) & once & (stays(y) | (one_place & stays(x))) & _may_match(y, x, num, den))
+    return met.select(y["id"], x["id"], length(y).cast("int").alias("y_n"), length(x).cast("int").alias("x_n"))
 
 
 def bloom(keys: DataFrame, key: str, col: Column) -> Column:
