@@ -13,7 +13,7 @@ from roadloom.llm.common import forget, private, written
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
 RANGES = 1 << 18
 #: Pairs of neighbouring rare tokens under which a line meets the earliest line alone, before all others.
-HUB_KEYS = 4
+HUB_KEYS = 8
 #: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
 GONE = 1 << 30
 #: Parts of the range of document ids in the order of lines; the last is of null ids.
@@ -95,22 +95,25 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
     lines = written(lines, "lines")
     same, maps = ["class", "n", "map0"], ["map0", "map1"]
-    classes = written(lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "map1", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times"), "line-classes")
+    # a class's id begins with a coarse place in the order of documents, so that pairs whose later line is gone needn't meet
+    low, high = keyed.where(F.col("doc") < _LAST).agg(F.min("doc").cast("double"), F.max("doc").cast("double")).first()
+    place = F.when(F.col("doc") == _LAST, PLACES - 1).otherwise(F.floor((F.col("doc").cast("double") - (low or 0.0)) * ((PLACES - 2) / max(1.0, (high or 0.0) - (low or 0.0)))))
+    class_id = F.shiftleft(place.cast("long"), 43).bitwiseOR(F.col("class").bitwiseAND((1 << 43) - 1))
+    classes = lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "map1", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times")
+    classes = written(classes.withColumn("id", class_id), "line-classes")
     members = written(lines.select("doc", "at", *same), "line-members")
     forget(lines)
 
     # near copies of thousands share pairs of rare tokens: each line first meets the earliest line under a few of these
     pairs_of_rare = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
-    asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "doc", "at", F.shiftleft(F.col("n").cast("long"), 32).alias("meta"), *maps).where("key is not null")
-    hubs = asked.groupBy("key").agg(F.min(F.struct("doc", "at", "meta", *maps)).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    y, x = ({c: F.col(f"{s}{c}") for c in ("doc", "at", "meta", *maps)} for s in ("", "hub."))
-    near = asked.join(hubs, "key").where(((y["doc"] != x["doc"]) | (y["at"] != x["at"])) & _may_match(y, x, num, den)).select("doc", "at", x["doc"].alias("h_doc"), x["at"].alias("h_at")).distinct()
-    gone = _verified(keyed, written(near, "line-near"), num, den)
-    # a class's id begins with a coarse place in the order of documents, so that pairs whose later line is gone needn't meet
-    low, high = classes.where(F.col("doc") < _LAST).agg(F.min("doc").cast("double"), F.max("doc").cast("double")).first()
-    place = F.when(F.col("doc") == _LAST, PLACES - 1).otherwise(F.floor((F.col("doc").cast("double") - (low or 0.0)) * ((PLACES - 2) / max(1.0, (high or 0.0) - (low or 0.0)))))
-    class_id = F.shiftleft(place.cast("long"), 43).bitwiseOR(F.col("class").bitwiseAND((1 << 43) - 1))
-    marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumns({"gone": F.coalesce("gone", F.lit(False)), "id": class_id})
+    asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "id").where("key is not null")
+    hubs = asked.groupBy("key").agg(F.min("id").alias("x_id"), F.count("*").alias("c")).where("c > 1").select("key", "x_id")
+    near = written(asked.join(hubs, "key").where("id <> x_id").select(F.col("id").alias("y_id"), "x_id").distinct(), "line-near")
+    met = _both(near, classes.withColumn("gone", F.lit(False)), ["id"]).withColumns({f"{s}_meta": F.shiftleft(F.col(f"{s}_n").cast("long"), 32) for s in "yx"})
+    y, x = ({c: F.col(f"{s}_{c}") for c in ("meta", *maps)} for s in "yx")
+    gone = _verified(keyed, written(_later_first(met.where(_may_match(y, x, num, den))), "line-hubs"), num, den)
+    forget(near)
+    marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     marked = written(marked, "line-marked")
     forget(classes)
 
@@ -122,11 +125,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     need = F.ceil((F.col("y_n") + F.col("x_n")) * num / (num + den) - 1e-9)
     behind = F.greatest(F.floor((F.col("y_n") * num + den - 1) / den), F.floor((F.col("x_n") * num + den - 1) / den)) - 1
     met = written(met.where(F.col("shared") >= need - behind).drop("shared"), "line-met")
-    side = lambda s: marked.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.struct("doc", "at").alias(f"{s}_f"), F.col("gone").alias(f"{s}_gone"))
-    both = met.join(side("y"), ["y_id", "y_n"]).join(side("x"), ["x_id", "x_n"])
-    later = lambda c: F.when(F.col("y_f") > F.col("x_f"), F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
-    pairs = both.where(~later("gone")).select(later("f").alias("f"), F.least("y_f", "x_f").alias("h")).select("f.doc", "f.at", F.col("h.doc").alias("h_doc"), F.col("h.at").alias("h_at"))
-    pairs = written(pairs, "line-pairs")
+    pairs = written(_later_first(_both(met, marked, ["id", "n"])), "line-pairs")
     forget(met)
     gone = gone.unionByName(_verified(keyed, pairs, num, den)).distinct()
 
@@ -140,6 +139,19 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return _without_lines(docs, per_doc, m, id_col, text_col)
 
 
+def _both(met: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of classes (y_id, x_id, ...) with what both classes are."""
+    side = lambda s: classes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "map0", "map1", "gone")], F.struct("doc", "at").alias(f"{s}_f"))
+    return met.join(side("y"), [f"y_{c}" for c in keys]).join(side("x"), [f"x_{c}" for c in keys])
+
+
+def _later_first(both: DataFrame) -> DataFrame:
+    """(doc, at, h_doc, h_at): the first line of the later class of a pair, unless it is gone, and that of the earlier."""
+    later = lambda c: F.when(F.col("y_f") > F.col("x_f"), F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
+    rows = both.where(~later("gone")).select(later("f").alias("f"), F.least("y_f", "x_f").alias("h"))
+    return rows.select("f.doc", "f.at", F.col("h.doc").alias("h_doc"), F.col("h.at").alias("h_at")).distinct()
+
+
 def _without_lines(docs: DataFrame, per_doc: DataFrame, m: str, id_col: str, text_col: str) -> DataFrame:
     """docs without the lines of per_doc (doc, hash, removed under private names)."""
     text, split = F.col(f"`{text_col}`"), F.split(f"`{text_col}`", "\n")
