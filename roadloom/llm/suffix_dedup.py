@@ -10,8 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import mix64, out_batches, partitions, window_hashes, word_hashes, written
+from roadloom.llm.common import forget, out_batches, partitions, window_hashes, word_hashes, written
 
+#: Keys that more than one row in so many holds are joined by a broadcast of them: there can be no more than this.
+HOT_KEYS = 1000
 _WORD = re.compile(r"\S+")
 _SEED = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 _SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32()), ("leads", pa.int64())])
@@ -56,11 +58,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     share no start with another go first. The rest is sorted by content and compared with its neighbours:
     matches extend right along the suffix and left before it, and count from least_words words. Sorting is one
     range sort, so a passage that a third of all documents hold is spread over tasks; neighbours across task
-    ends are compared as well. Each suffix carries least_words words to either side; longer passages are the
+    ends are compared as well, in one task that gets 2 * neighbours rows of each. Each suffix carries least_words words to either side; longer passages are the
     union of their suffixes' matches. other_doc_id is one document (or the same) that holds it too.
     Among more than neighbours + 1 suffixes of one start, two that agree most on the left may not be neighbours.
     There the passages of least_words words around a suffix that neighbours leave open, and that could stand
-    elsewhere by the suffix's longest match to the right, are looked up by a hash of the whole passage, so none is lost.
+    elsewhere by the suffix's longest match to the right, are looked up by a 128-bit hash of the whole passage, so none is lost.
     Texts that are equal throughout are one representative; its copies get its spans and name each other.
 
     A passage of L >= least_words words has a minimiser within its first `window` grams, and at least
@@ -100,12 +102,18 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (doc, key, pos, low, high)], schema=_SEED)
 
     found = written(base.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).mapInArrow(seeds, "doc long, key long, pos int, low int, high int"), "suffix-seeds")
-    words = found.where("low < 0").groupBy(F.col("doc").alias("h1"), F.col("key").alias("h2")).agg(F.max("pos").alias("words"))
-    one_each = found.where("low >= 0").join(copies.select("doc"), "doc", "left_semi")
-    often = one_each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > neighbours + 1).alias("crowd"))
+    words = written(found.where("low < 0").groupBy(F.col("doc").alias("h1"), F.col("key").alias("h2")).agg(F.max("pos").alias("words")), "suffix-words")
+    one_each = written(found.where("low >= 0").join(copies.select("doc"), "doc", "left_semi"), "suffix-one-each")
+    forget(found)
+    often = written(one_each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-often")
+    # a thousand keys at most hold more than a thousandth of the rows each; only these are broadcast, the rest is even
+    most = one_each.count() // HOT_KEYS
+    hot, crowd = F.broadcast(often.where(F.col("n") > most)), F.col("n") > neighbours + 1
+    even = one_each.join(hot.select("key"), "key", "left_anti").join(often.where(F.col("n") <= most), "key")
+    held = one_each.join(hot, "key").unionByName(even)
     # leads: how many words before the suffix its passages may start, as bits; only where neighbours may not be enough
-    lead = F.when(F.col("crowd"), F.col("high") * 64 + F.col("low")).otherwise(-1)
-    alive = one_each.join(often, "key").groupBy("doc").agg(F.collect_set(F.struct("pos", lead.alias("lead"))).alias("places"))
+    lead = F.when(crowd, F.col("high") * 64 + F.col("low")).otherwise(-1)
+    alive = held.groupBy("doc").agg(F.collect_set(F.struct("pos", lead.alias("lead"))).alias("places"))
     texts = base.withColumnRenamed("doc_id", "doc").join(alive, "doc")
 
     def suffixes(batches):
@@ -122,7 +130,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         rows.append((int(starts[p]), w[p : p + least_words].tobytes(), w[max(0, p - least_words) : p][::-1].tobytes(), d, p, leads))
                 yield from out_batches(rows, _SUFFIX)
 
-    ordered = texts.mapInArrow(suffixes, "key long, right binary, left binary, doc long, pos int, leads long").repartitionByRange(partitions(docs.sparkSession), "key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
+    # written first, as finding the ranges reads the rows once more than sorting them
+    rows_ = written(texts.mapInArrow(suffixes, "key long, right binary, left binary, doc long, pos int, leads long"), "suffix-rows")
+    forget(one_each, often)
+    ordered = rows_.repartitionByRange(partitions(docs.sparkSession), "key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
 
     def compare(batches):
         def rows():
@@ -178,10 +189,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         fresh = r["leads"] & r["known"] & ~r["before"]
         for j in range((open_ | fresh).bit_length()):
             if (open_ | fresh) >> j & 1:
-                h = xxhash.xxh64_intdigest(np.frombuffer(r["left"], ">u4", j)[::-1].tobytes() + r["right"][: 4 * (least_words - j)])
-                yield r["doc"], r["pos"] - j, r["pos"] - j + least_words, None, None, None, None, None, None, h - (1 << 63), bool(open_ >> j & 1)
+                h = xxhash.xxh3_128_digest(np.frombuffer(r["left"], ">u4", j)[::-1].tobytes() + r["right"][: 4 * (least_words - j)])
+                yield r["doc"], r["pos"] - j, r["pos"] - j + least_words, None, None, None, None, None, None, h, bool(open_ >> j & 1)
 
-    met = written(ordered.mapInArrow(compare, "doc long, start int, stop int, other long, key long, right binary, left binary, at_doc long, at_pos int, passage long, open boolean"), "suffix-matches")
+    met = written(ordered.mapInArrow(compare, "doc long, start int, stop int, other long, key long, right binary, left binary, at_doc long, at_pos int, passage binary, open boolean"), "suffix-matches")
+    forget(rows_)
 
     def across(batches):
         def rows():
@@ -199,7 +211,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
         yield from out_batches(rows(), _MATCH)
 
-    # a few rows of each task; in one task, in the same order
+    # 2 * neighbours rows of each task at most; in one task, in the same order
     ends = met.where("key is not null").select("key", "right", "left", F.col("at_doc").alias("doc"), F.col("at_pos").alias("pos")).coalesce(1).sortWithinPartitions("key", "right", "left", "doc", "pos").mapInArrow(across, "doc long, start int, stop int, other long")
     looked = met.where("passage is not null").select("passage", "open", "doc", "start", "stop")
     twice = looked.groupBy("passage").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("n > 1")
@@ -207,7 +219,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     matches = met.where("other is not null").select("doc", "start", "stop", "other").union(ends).union(opened)
 
     # union of overlapping spans: a span starts where nothing before it reaches
-    spans = matches.groupBy("doc", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other"))
+    spans = written(matches.groupBy("doc", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other")), "suffix-spans")
+    forget(met)
     merged = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "other"))).alias("s")).select("doc", F.explode(_merge_spans(F.col("s"))).alias("m")).select("doc", "m.*")
     whole = copies.where("n > 1").join(words, ["h1", "h2"])
     alone = merged.join(whole.select("doc"), "doc", "left_anti").select("doc", "start", "stop", "other")
@@ -217,7 +230,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.unionByName(every)
 
 
-_BOTH = pa.schema([*_MATCH, ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("at_doc", pa.int64()), ("at_pos", pa.int32()), ("passage", pa.int64()), ("open", pa.bool_())])
+_BOTH = pa.schema([*_MATCH, ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("at_doc", pa.int64()), ("at_pos", pa.int32()), ("passage", pa.binary()), ("open", pa.bool_())])
 
 
 def _merge_spans(spans):
