@@ -12,8 +12,8 @@ from roadloom.llm.common import forget, private, written
 
 #: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
 RANGES = 1 << 18
-#: Pairs of neighbouring rare tokens under which a line meets the earliest line alone, before all others.
-HUB_KEYS = 8
+#: Of so many rarest tokens, each pair is a key under which a line meets the earliest line alone, before all others.
+HUB_TOKENS = 5
 #: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
 GONE = 1 << 30
 #: Parts of the range of document ids in the order of lines; the last is of null ids.
@@ -73,7 +73,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     threshold. Tokens are ordered by the frequency of their hash range over all texts, rare first; a line is
     found by its first n - ceil(threshold * n) + 1 tokens, and pairs must pass the length and positional
     filters and a bound from maps of token parities (128 bits) before their full sets are compared. Lines with equal sets (by two
-    hashes and their size) are one class. Under pairs of neighbouring rare tokens, a class is first compared with the
+    hashes and their size) are one class. Under pairs of its rarest tokens, a class is first compared with the
     earliest one; only classes that this leaves undecided meet all others, so thousands of near copies make a few
     pairs for each line. A crowded token is one key of a sort-merge join, which adaptive execution splits.
 
@@ -105,14 +105,15 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     forget(lines)
 
     # near copies of thousands share pairs of rare tokens: each line first meets the earliest line under a few of these
-    pairs_of_rare = F.array(*[F.when(n_prefix > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(HUB_KEYS)])
+    pairs_of_rare = F.array(*[F.when(n_prefix > j, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(j)))) for j in range(HUB_TOKENS) for i in range(j)])
     asked = classes.select(F.explode(F.array_distinct(pairs_of_rare)).alias("key"), "id").where("key is not null")
     hubs = asked.groupBy("key").agg(F.min("id").alias("x_id"), F.count("*").alias("c")).where("c > 1").select("key", "x_id")
+    hubs = written(hubs, "line-keys")  # before the join, as most keys are of one line
     near = written(asked.join(hubs, "key").where("id <> x_id").select(F.col("id").alias("y_id"), "x_id").distinct(), "line-near")
     met = _both(near, classes.withColumn("gone", F.lit(False)), ["id"]).withColumns({f"{s}_meta": F.shiftleft(F.col(f"{s}_n").cast("long"), 32) for s in "yx"})
     y, x = ({c: F.col(f"{s}_{c}") for c in ("meta", *maps)} for s in "yx")
     gone = _verified(keyed, written(_later_first(met.where(_may_match(y, x, num, den))), "line-hubs"), num, den)
-    forget(near)
+    forget(near, hubs)
     marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "at"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     marked = written(marked, "line-marked")
     forget(classes)

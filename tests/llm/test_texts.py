@@ -42,10 +42,10 @@ def some_lines(words, seed=1, n=40):
     return rows
 
 
-@pytest.mark.parametrize("hub_keys", [4, 1])
-def test_lines_same_as_all_pairs(spark, docs, words, monkeypatch, hub_keys):
-    monkeypatch.setattr(line_dedup, "HUB_KEYS", hub_keys)
-    rows = some_lines(words, hub_keys)
+@pytest.mark.parametrize("hub_tokens", [5, 2])
+def test_lines_same_as_all_pairs(spark, docs, words, monkeypatch, hub_tokens):
+    monkeypatch.setattr(line_dedup, "HUB_TOKENS", hub_tokens)
+    rows = some_lines(words, hub_tokens)
     got = line_dedup.line_dedup(docs(rows)).collect()
     want = brute_lines(rows)
     assert {r.doc_id: r.removed_lines for r in got} == want
