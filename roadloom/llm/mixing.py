@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import written
+from roadloom.llm.common import forget, private, written
 
 #: A hash of 64 bits is cut into this many ranges to find a threshold without sorting a source.
 RANGES = 4096
@@ -119,27 +119,14 @@ def _chosen(keys: DataFrame, want: DataFrame) -> DataFrame:
     return first.union(whole)
 
 
-def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, costs: Sequence[int] = (0, 1, 3), seed: int = 7, rounds: int = 4) -> DataFrame:
-    """docs with _size, _source_size, _target and _times (how often the mix reads the document).
-
-    source_col is a string, or an array of strings where documents belong to several sources. Documents are
-    aggregated by membership pattern; a min-cost flow routes pattern words to source targets with
-    costs that rise with each repetition (len(costs) readings at most). A pattern's whole readings go to all its
-    documents; the remainder goes to documents in the order of a seeded hash of id, text and size, and the
-    last gap is filled from the documents that still fit, `rounds` times. Whole documents only.
-
-    Decisions are a few thresholds for each pattern, so the documents themselves are never shuffled. Patterns
-    are small configuration-like sets: more than MOST_PATTERNS raises an error.
-
-    Defined cases: null text has size 0 and is never read; a null source is a source of its own, last in
-    order; repeated rows share their fate; an empty table gives no rows; other columns stay as they are.
-    """
+def _plan(docs: DataFrame, m: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, costs: Sequence[int] = (0, 1, 3), seed: int = 7, rounds: int = 4) -> DataFrame:
+    """docs with size, source_size, target and times under names that begin with m."""
     spark = docs.sparkSession
     kind = docs.schema[source_col].dataType.typeName()
-    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(source_col), F.array(F.lit(None).cast("string"))))) if kind == "array" else F.array(F.col(source_col))
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    mark = lambda df: df.withColumns({"_pattern": pattern, "_size": word_count(F.col(text_col)), "_h": h})
-    keys = written(mark(docs).select(F.col("_pattern").alias("pattern"), F.col("_h").alias("h"), F.col("_size").alias("size")), "mix-keys")
+    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(f"`{source_col}`"), F.array(F.lit(None).cast("string"))))) if kind == "array" else F.array(F.col(f"`{source_col}`"))
+    h = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    mark = lambda df: df.withColumns({f"{m}pattern": pattern, f"{m}size": word_count(F.col(f"`{text_col}`")), f"{m}h": h})
+    keys = written(mark(docs).select(F.col(f"{m}pattern").alias("pattern"), F.col(f"{m}h").alias("h"), F.col(f"{m}size").alias("size")), "mix-keys")
     found = keys.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -166,11 +153,34 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         got = {tuple(r.pattern): r for r in _chosen(keys, want).collect()}
         ask = [_next(p, room, low, most, got.get(tuple(p)), per_pattern) for p, room, low, most in ask]
         ask = [a for a in ask if a]
-    table = spark.createDataFrame([(list(p), sum(sizes[s] for s in p), float(sum(targets[s] for s in p)), v[0], v[2]) for p, v in per_pattern.items()] or [([], 0, 0.0, 0, [])], "_pattern array<string>, _source_size long, _target double, _base int, _cuts array<struct<low:long,high:long,most:long>>")
-    out = mark(docs).join(F.broadcast(table), "_pattern")
-    extra = F.exists("_cuts", lambda c: (F.col("_h") >= c["low"]) & (F.col("_h") < c["high"]) & (F.col("_size") <= c["most"]))
-    times = F.when(F.col("_size") == 0, 0).otherwise(F.col("_base") + F.when(extra, 1).otherwise(0))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", times.cast("int").alias("_times"))
+    table = spark.createDataFrame([(list(p), sum(sizes[s] for s in p), float(sum(targets[s] for s in p)), v[0], v[2]) for p, v in per_pattern.items()] or [([], 0, 0.0, 0, [])], f"{m}pattern array<string>, {m}source_size long, {m}target double, {m}base int, {m}cuts array<struct<low:long,high:long,most:long>>")
+    forget(keys)
+    size = F.col(f"{m}size")
+    out = mark(docs).join(F.broadcast(table), f"{m}pattern")
+    extra = F.exists(f"{m}cuts", lambda c: (F.col(f"{m}h") >= c["low"]) & (F.col(f"{m}h") < c["high"]) & (size <= c["most"]))
+    times = F.when(size == 0, 0).otherwise(F.col(f"{m}base") + F.when(extra, 1).otherwise(0))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, f"{m}source_size", f"{m}target", times.cast("int").alias(f"{m}times"))
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
+    """docs with _size, _source_size, _target and _times (how often the mix reads the document).
+
+    source_col is a string, or an array of strings where documents belong to several sources. Documents are
+    aggregated by membership pattern; a min-cost flow routes pattern words to source targets with
+    costs that rise with each repetition (len(costs) readings at most). A pattern's whole readings go to all its
+    documents; the remainder goes to documents in the order of a seeded hash of id, text and size, and the
+    last gap is filled from the documents that still fit, `rounds` times. Whole documents only.
+
+    Decisions are a few thresholds for each pattern, so the documents themselves are never shuffled. Patterns
+    are small configuration-like sets: more than MOST_PATTERNS raises an error.
+
+    Defined cases: null text has size 0 and is never read; a null source is a source of its own, last in
+    order; repeated rows share their fate; an empty table gives no rows; other columns stay as they
+    are, but the four columns replace columns of their names.
+    """
+    m, names = private(*docs.columns), ("size", "source_size", "target", "times")
+    made = _plan(docs, m, **options)
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {f"_{n}" for n in names}], *[F.col(f"{m}{n}").alias(f"_{n}") for n in names])
 
 
 def _next(p, room, low, most, got, per_pattern):
@@ -182,12 +192,21 @@ def _next(p, room, low, most, got, per_pattern):
     return (p, left, got.high, left) if left > 0 and got.high < 2**63 - 1 else None
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken."""
-    return mix_plan(docs, **options).select(F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+def mix_report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken (size times how often the mix reads it).
+
+    Defined cases: as mix_plan(); null ids and repeated rows get a row each.
+    """
+    m = private(*docs.columns)
+    made = _plan(docs, m, id_col=id_col, **options)
+    return made.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"{m}{n}").alias(n) for n in ("size", "source_size", "target")], (F.col(f"{m}size") * F.col(f"{m}times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as the mix reads it."""
-    plan = mix_plan(docs, **options).where("_times > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: the columns of docs, each row as often as the mix reads it.
+
+    Defined cases: as mix_plan(); texts without words, null ones too, are never read; columns of any name stay.
+    """
+    m = private(*docs.columns)
+    made = _plan(docs, m, **options).where(F.col(f"{m}times") > 0)
+    return made.withColumn(f"{m}copy", F.explode(F.sequence(F.lit(1), F.col(f"{m}times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
