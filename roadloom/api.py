@@ -62,6 +62,21 @@ def sign_types(spark: SparkSession, text: str = "") -> DataFrame:
     return both.select("type", "name", F.col("code").cast("long").alias("code")).orderBy("type")
 
 
+def export(features: DataFrame, path: str) -> str:
+    """Write the layer as one collection under path and say where; an empty layer is an error, as there is nothing to give."""
+    from roadloom.sources.geojson import write_geojson
+
+    if features.isEmpty():
+        raise FileNotFoundError("no features to export")
+    write_geojson(features, path)
+    return path
+
+
+def push(stream: DataFrame, send, checkpoint: str):
+    """Start a query that hands each micro-batch of a stream to send(batch, number): sinks for positions and new signs."""
+    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
+
+
 def jump(frame_seconds: int, frames_per_second: int = 60) -> int:
     """The absolute frame that a position in seconds means."""
     return frame_seconds * frames_per_second

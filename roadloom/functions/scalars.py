@@ -62,6 +62,11 @@ def is_true(text: Column) -> Column:
     return F.coalesce(F.lower(text) == "true", F.lit(False))
 
 
+def says_true(text: Column) -> Column:
+    """Does a stored list of flags hold True?"""
+    return F.coalesce(F.contains(text, F.lit("True")), F.lit(False))
+
+
 def image_id(text: Column) -> Column:
     """Type and text of an icon id, split at the first hyphen."""
     parts = F.split(text, "-", 2)

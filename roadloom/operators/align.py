@@ -30,6 +30,24 @@ def align(frames: DataFrame, gps: DataFrame, start: int = 0, ahead: int = 1, par
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in values})
 
 
+def previous(frames: DataFrame, gps: DataFrame) -> DataFrame:
+    """frames (drive_id, gps_index) with prev_lat and prev_lon: the point max(0, index), (0, 0) past the end."""
+    at = gps.select("drive_id", F.col("idx").alias("_i"), F.col("lat").alias("prev_lat"), F.col("lon").alias("prev_lon"))
+    out = frames.withColumn("_i", F.greatest(F.lit(0), "gps_index")).join(at, ["drive_id", "_i"], "left").drop("_i")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("prev_lat", "prev_lon")})
+
+
+def throughput(frames: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
+    """Frames, moving frames and the progress in percent of a video's frames, for each of the keys."""
+    seen = frames.groupBy(*keys).agg(F.count("*").alias("frames"), F.sum((F.col("speed") >= params.stationary_speed).cast("int")).alias("moving"), F.max("frame_number").alias("_last"))
+    return seen.withColumn("progress", progress(F.col("_last"), F.lit(params.frames_per_video))).drop("_last")
+
+
+def progress(at: Column, total: Column) -> Column:
+    """Percent of total, cut to an integer; 0 without a total."""
+    return F.when(F.coalesce(total, F.lit(0)) > 0, F.floor(at * 100.0 / total)).otherwise(0).cast("int")
+
+
 def every_nth(frames: DataFrame, step: int, params: Params = DEFAULT) -> DataFrame:
     """Each video's frames number step, 2 * step, ..."""
     return frames.where(F.col("frame_number") % step == 0)

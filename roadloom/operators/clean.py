@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.catalog import DROPPED_CLASS, LANE_CLASS, RENAMED_CLASSES, TYPES_WITH_TEXT, CITY_CLASSES
@@ -10,9 +10,20 @@ from roadloom.functions.scalars import box_overlap, top_class
 from roadloom.params import DEFAULT, Params
 
 
+def inside(at: str, size: str, limit: int) -> Column:
+    """How much of a box lies between 0 and the frame's limit, along one axis."""
+    return F.least(F.col(at) + F.col(size), F.lit(limit)) - F.greatest(F.col(at), F.lit(0))
+
+
+def detected(raw: DataFrame) -> DataFrame:
+    """The stored detection of raw ones (box struct of x, y, w, h; other columns): null texts are empty, a null side is false."""
+    b = F.col("box")
+    return raw.select(*[c for c in ("det_id", "drive_id") if c in raw.columns], *[b[c].cast("int").alias(c) for c in "xywh"], "name_sign", "number_sign", "frame_number", "absolute_frame_number", "car_e", "car_n", F.coalesce("text", F.lit("")).alias("text_on_sign"), F.coalesce("is_side", F.lit(False)).alias("is_side"))
+
+
 def confident(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Boxes and coarse classes that are sure enough, with an area inside the frame."""
-    return raw.where((F.col("box_confidence") >= params.box_confidence) & (F.col("coarse_confidence") >= params.coarse_confidence) & (F.col("w") > 0) & (F.col("h") > 0))
+    return raw.where((F.col("box_confidence") >= params.box_confidence) & (F.col("coarse_confidence") >= params.coarse_confidence) & (inside("x", "w", params.screen_width) > 0) & (inside("y", "h", params.screen_height) > 0))
 
 
 def boxes(raw: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ def grid_dedup(features: DataFrame, params: Params = DEFAULT) -> DataFrame:
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         held: dict[tuple, int] = {}
         keep: list[int] = []
+        place: dict[int, int] = {}  # of a kept row in keep
         rows = pdf.sort_values("seq", kind="stable").to_dict("records")
         for i, r in enumerate(rows):
             twin = None
@@ -56,10 +57,12 @@ def grid_dedup(features: DataFrame, params: Params = DEFAULT) -> DataFrame:
                             twin = at
             if twin is None:
                 held[r["_ce"], r["_cn"]] = i
+                place[i] = len(keep)
                 keep.append(i)
             elif r["length"] > rows[held[twin]]["length"]:
-                if params.documented and held[twin] in keep:
-                    keep[keep.index(held[twin])] = i
+                if params.documented:
+                    place[i] = place.pop(held[twin])
+                    keep[place[i]] = i
                 held[twin] = i
         return pd.DataFrame([rows[i] for i in keep], columns=columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.catalog import LANE_CLASS, TYPES_WITH_TEXT, sign_codes
 from roadloom.functions import geo
+from roadloom.operators import turns as turns_
 from roadloom.functions.scalars import bool_text, list_text, time_text
 from roadloom.params import DEFAULT, Params
 
@@ -25,6 +26,41 @@ def slots(tracks: DataFrame, order: list[str], east: str = "car_e") -> DataFrame
     return tracks.withColumn("slot", F.row_number().over(w) + 1)
 
 
+def union_layers(straight: DataFrame, turn: DataFrame) -> DataFrame:
+    """Features along the road, then those of turns, with `part` saying which."""
+    return straight.withColumn("part", F.lit("straight")).unionByName(turn.withColumn("part", F.lit("turn")))
+
+
+def with_name(rows: DataFrame, names: DataFrame, key: str, default: str = "") -> DataFrame:
+    """rows with the name of their key, or the default. names: key, name; the first by name of repeated keys."""
+    one = names.groupBy(key).agg(F.min("name").alias("name"))
+    return rows.join(one, key, "left").withColumn("name", F.coalesce("name", F.lit(default)))
+
+
+def turn_slots(signs: DataFrame, order: list[str]) -> DataFrame:
+    """slot from 2 of a turn's signs at each position (number), in the order of arrival; lane signs go."""
+    w = Window.partitionBy("drive_id", "turn_id", F.col("number").cast("string")).orderBy(*order)
+    return signs.where(F.col("name_sign") != LANE_CLASS).withColumn("slot", F.row_number().over(w) + 1)
+
+
+def turn_lines(signs: DataFrame, turns: DataFrame) -> DataFrame:
+    """lat1, lon1, lat2, lon2 and azimuth of signs on a turn: from the anchor of their position, by their slot.
+
+    signs: drive_id, turn_id, number, slot, is_side, is_left; turns as anchors() gives them, with the same keys.
+    """
+    at = turns_.anchor_of(signs).join(turns.select("drive_id", "turn_id", "anchors"), ["drive_id", "turn_id"])
+    pick = lambda c: F.when(F.col("anchor") == "start", F.col(f"anchors.start.{c}")).when(F.col("anchor") == "rev_end", F.col(f"anchors.rev_end.{c}")).otherwise(F.col(f"anchors.rev_start.{c}"))
+    out = at.withColumns({"_lat": pick("lat"), "_lon": pick("lon"), "_blat": pick("lat2"), "_blon": pick("lon2"), "azimuth": pick("azimuth")})
+    e, n = geo.to_utm(F.col("_lat"), F.col("_lon"))
+    be, bn = geo.to_utm(F.col("_blat"), F.col("_blon"))
+    out = out.withColumns({"_e": e, "_n": n, "_be": be, "_bn": bn})
+    e1, n1, e2, n2 = geo.sign_line(F.col("_e"), F.col("_n"), F.col("_be"), F.col("_bn"), F.col("slot"), F.col("is_side"), F.col("is_left"))
+    out = out.withColumns({"_e1": e1, "_n1": n1, "_e2": e2, "_n2": n2})
+    a, b = geo.from_utm(F.col("_e1"), F.col("_n1")), geo.from_utm(F.col("_e2"), F.col("_n2"))
+    made = out.withColumns({"lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]})
+    return made.drop("anchors", "anchor", "_lat", "_lon", "_blat", "_blon", "_e", "_n", "_be", "_bn", "_e1", "_n1", "_e2", "_n2")
+
+
 def lines(tracks: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """lat1, lon1, lat2, lon2 of each track's line and its final azimuth.
 

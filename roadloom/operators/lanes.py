@@ -20,12 +20,26 @@ def has_gap(row: Column) -> Column:
     return F.coalesce(state == 3, F.lit(False))
 
 
+def arrow_masks(signs: DataFrame, keys: list[str]) -> DataFrame:
+    """arrows of signs: every mask cut by every box. signs: keys, masks (array of masks of the sign's picture), boxes
+    (array of structs x1, y1, x2, y2, direction). A sign has a few of each, so the pairs are made inside its row.
+
+    Returns keys, seq (masks first, boxes inside), direction, mask, w, h, centre_row.
+    """
+    met = signs.select(*keys, "boxes", F.posexplode("masks").alias("_m", "_mask")).select(*keys, "_m", "_mask", F.posexplode("boxes").alias("_b", "_box"))
+    b = F.col("_box")
+    cut = lambda row: F.slice(row, b["x1"] + 1, F.greatest(b["x2"] - b["x1"], F.lit(0)))
+    rows = F.transform(F.slice("_mask", b["y1"] + 1, F.greatest(b["y2"] - b["y1"], F.lit(0))), cut)
+    centre = F.get("_mask", b["y1"] + F.floor((b["y2"] - b["y1"]) / 2).cast("int"))
+    return met.select(*keys, (F.col("_m") * 1000 + F.col("_b")).alias("seq"), b["direction"].alias("direction"), rows.alias("mask"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h"), centre.alias("centre_row"))
+
+
 def lane_types(arrows: DataFrame, keys: list[str]) -> DataFrame:
     """lane_type of a sign: codes of its arrows joined by hyphens. arrows: keys, seq, direction, mask, w, h, centre_row.
 
     An arrow counts if its mask covers over a quarter of its box; ahead adds nothing; back counts only with a gap.
     """
-    sure = F.col("direction").isin(*LANE_DIRECTIONS) & ((F.col("direction") != "back") | has_gap(F.col("centre_row"))) & ((coverage(F.col("mask"), F.col("w"), F.col("h")) > 25) | (F.col("direction") == "back"))
+    sure = F.col("direction").isin(*LANE_DIRECTIONS) & ((F.col("direction") != "back") | has_gap(F.col("centre_row"))) & (coverage(F.col("mask"), F.col("w"), F.col("h")) > 25)
     code = F.element_at(F.create_map(*[F.lit(x) for kv in LANE_DIRECTIONS.items() for x in kv]), F.col("direction"))
     found = arrows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(sure, F.struct("seq", code.alias("c"))))).alias("_c"))
     return found.select(*keys, F.array_join(F.transform("_c", lambda s: s["c"]), "-").alias("lane_type"))

@@ -14,7 +14,7 @@ def records(features: DataFrame) -> DataFrame:
     flat: id, type, length, left and the stored lists as text."""
     frames = ints_in(F.col("frame_numbers"))
     n = F.size(frames)
-    length = F.when(F.coalesce(F.col("length"), F.lit("")).isin("", "0"), n).otherwise(length_or_zero(F.col("length")))
+    length = F.when(F.coalesce(F.col("length"), F.lit("")) == "", n).otherwise(length_or_zero(F.col("length")))
     boxes = [ints_in(F.col(c)) for c in ("pixel_coordinates_x", "pixel_coordinates_y", "w", "h")]
     mid = F.floor(F.size(boxes[0]) / 2).cast("int")
     full = (F.size(boxes[0]) > 0) & (F.size(boxes[1]) > 0) & (F.size(boxes[2]) > 0) & (F.size(boxes[3]) > 0)
@@ -55,11 +55,17 @@ def neighbours(recs: DataFrame, order: list[str]) -> DataFrame:
 
 def apply_edits(features: DataFrame, edits: DataFrame, codes: DataFrame) -> DataFrame:
     """Features after edits (id, new_type, new_text, deleted): deleted ones go, others take the new type, its code if
-    there is one, and the text if the type has one. Features without an edit stay."""
-    e = edits.select("id", "new_type", "new_text", F.coalesce("deleted", F.lit(False)).alias("_gone"), F.lit(True).alias("_edit"))
-    c = F.broadcast(codes.select(F.col("type").alias("new_type"), F.col("code").cast("long").alias("_code")))
-    both = features.join(e.join(c, "new_type", "left"), "id", "left").where(~F.coalesce("_gone", F.lit(False)))
-    kind = F.when(F.col("_edit"), F.col("new_type")).otherwise(F.col("type"))
-    text = lambda old: F.when(F.col("_edit"), F.when(F.col("new_type").isin(*TYPES_WITH_TEXT), F.col("new_text"))).otherwise(F.col(old))
-    changed = {"type": kind, "code": F.coalesce("_code", "code"), "SEM250": text("SEM250"), "MVALUE": text("MVALUE")}
+    there is one, and the text if the type has one. Features without an edit stay.
+
+    An edit without a type keeps the feature's, one without a text the feature's text. Several edits of one id: any
+    that deletes wins, else the last by seq where edits have one, else the largest (type, text).
+    """
+    order = F.col("seq") if "seq" in edits.columns else F.struct("new_type", "new_text")
+    e = edits.groupBy("id").agg(F.max_by(F.struct("new_type", "new_text"), order).alias("_e"), F.max(F.coalesce("deleted", F.lit(False))).alias("_gone"))
+    e = e.select("id", F.col("_e.new_type").alias("new_type"), F.col("_e.new_text").alias("new_text"), "_gone", F.lit(True).alias("_edit"))
+    both = features.join(e, "id", "left").where(~F.coalesce("_gone", F.lit(False))).withColumn("_kind", F.coalesce("new_type", "type"))
+    both = both.join(codes.select(F.col("type").alias("_kind"), F.col("code").cast("long").alias("_code")).dropDuplicates(["_kind"]), "_kind", "left")
+    kind = F.col("_kind")
+    text = lambda old: F.when(F.col("_edit"), F.when(kind.isin(*TYPES_WITH_TEXT), F.coalesce("new_text", old))).otherwise(F.col(old))
+    changed = {"type": kind, "code": F.when(F.col("new_type").isNotNull(), F.coalesce("_code", "code")).otherwise(F.col("code")), "SEM250": text("SEM250"), "MVALUE": text("MVALUE")}
     return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in features.columns])

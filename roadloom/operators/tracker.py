@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from roadloom.functions.geo import geodesic_m
 from roadloom.params import DEFAULT, Params
 
-SCHEMA = "drive_id long, track_id long, name_sign string, number_sign string, mode_count int, observations int, is_side boolean, is_left boolean, azimuth double, car_e double, car_n double, lat double, lon double, first_frame long, last_frame long, det_ids array<long>, frames array<long>, xs array<int>"
+SCHEMA = "drive_id long, track_id long, name_sign string, number_sign string, mode_count int, observations int, is_side boolean, is_left boolean, azimuth double, car_e double, car_n double, lat double, lon double, first_frame long, last_frame long, det_ids array<long>, frames array<long>, xs array<int>, replaces long"
 
 
 @dataclass
@@ -24,6 +24,7 @@ class Track:
     coarse: Counter = field(default_factory=Counter)
     fine: Counter = field(default_factory=Counter)
     azimuth: float = 0.0
+    replaces: int | None = None
 
     def add(self, det: dict) -> None:
         self.rows.append(det)
@@ -57,6 +58,7 @@ class DriveTracker:
 
     def __init__(self, params: Params = DEFAULT):
         self.p, self.active, self.known, self.made, self.frame = params, [], [], 0, -1
+        self.replaced: set[int] = set()
 
     def feed(self, frame: int, detections: list[dict]) -> list[Track]:
         """Take the detections of one frame; tracks that this frame ends. Frames not after the last are late and dropped."""
@@ -93,11 +95,13 @@ class DriveTracker:
         return out
 
     def _is_known(self, new: Track) -> bool:
-        """A track of the same class and side nearby is known already, unless the new one has more votes."""
+        """A track of the same class and side nearby is known already, unless the new one has more votes and replaces it."""
         for i, old in enumerate(self.known):
             if old["type"] == new.best(new.fine) and old["left"] == self.side(new) and geodesic_m(old["lat"], old["lon"], new.last["lat"], new.last["lon"]) < self.p.known_radius_m:
                 if new.votes <= old["votes"]:
                     return True
+                new.replaces = old["number"]
+                self.replaced.add(old["number"])
                 del self.known[i]
                 break
         self.known.append({"type": new.best(new.fine), "left": self.side(new), "lat": new.last["lat"], "lon": new.last["lon"], "votes": new.votes, "number": new.number})
@@ -160,10 +164,10 @@ class DriveTracker:
 def track_row(tracker: DriveTracker, drive: int, t: Track) -> tuple:
     n, sides = len(t.rows), sum(bool(r["is_side"]) for r in t.rows)
     last = t.last
-    return (drive, t.number, t.best(t.coarse), t.best(t.fine), t.votes, n, 2 * sides > n, tracker.side(t), t.azimuth, last["car_e"], last["car_n"], last["lat"], last["lon"], t.rows[0]["frame"], last["frame"], [r["det_id"] for r in t.rows], [r["frame"] for r in t.rows], [r["x"] for r in t.rows])
+    return (drive, t.number, t.best(t.coarse), t.best(t.fine), t.votes, n, 2 * sides > n, tracker.side(t), t.azimuth, last["car_e"], last["car_n"], last["lat"], last["lon"], t.rows[0]["frame"], last["frame"], [r["det_id"] for r in t.rows], [r["frame"] for r in t.rows], [r["x"] for r in t.rows], t.replaces)
 
 
-COLUMNS = ["drive_id", "track_id", "name_sign", "number_sign", "mode_count", "observations", "is_side", "is_left", "azimuth", "car_e", "car_n", "lat", "lon", "first_frame", "last_frame", "det_ids", "frames", "xs"]
+COLUMNS = ["drive_id", "track_id", "name_sign", "number_sign", "mode_count", "observations", "is_side", "is_left", "azimuth", "car_e", "car_n", "lat", "lon", "first_frame", "last_frame", "det_ids", "frames", "xs", "replaces"]
 INPUT = ["drive_id", "frame", "det_id", "name_sign", "number_sign", "x", "y", "w", "h", "is_side", "course", "car_e", "car_n", "lat", "lon"]
 
 
@@ -177,6 +181,8 @@ def frames_of(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
 def track(detections: DataFrame, params: Params = DEFAULT, cut_gap: int | None = None) -> DataFrame:
     """Tracks of detections (INPUT columns), one row a track.
 
+    A track that a better one of the same sign replaced isn't given; `replaces` names it on the better one.
+
     A drive is a fold over its frames; drives run side by side. A drive is also cut where no detection stands for
     more than cut_gap frames: by then every track has ended or is lost, so pieces are independent but for the
     drive-wide duplicate check, which needs the whole drive; cut_gap is therefore for compat "as_written".
@@ -198,6 +204,7 @@ def track(detections: DataFrame, params: Params = DEFAULT, cut_gap: int | None =
         for frame, dets in frames_of(pdf):
             out += [track_row(tracker, int(key[0]), t) for t in tracker.feed(frame, dets)]
         out += [track_row(tracker, int(key[0]), t) for t in tracker.flush()]
+        out = [r for r in out if r[1] not in tracker.replaced]
         return pd.DataFrame(out, columns=COLUMNS)
 
     return rows.groupBy(*keys).applyInPandas(fold, SCHEMA)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.catalog import CITY_CLASSES
-from roadloom.functions.geo import azimuth_apart
+from roadloom.functions.geo import azimuth_apart, to_utm
 from roadloom.params import DEFAULT, Params
 
 
@@ -98,10 +98,21 @@ def feature_text(tracks: DataFrame) -> DataFrame:
 
 
 def split_on_turn(tracks: DataFrame, turns: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(straight, on the turn) of tracks with a drive's turn: enough votes and last seen before the turn ended are straight."""
-    both = tracks.join(turns.select("drive_id", "turn_id", F.element_at("frames", -1).alias("_end")), "drive_id")
-    straight = (F.col("mode_count") >= params.turn_observations) & (F.col("last_frame") < F.col("_end"))
-    return both.where(straight).drop("_end"), both.where(~straight).drop("_end")
+    """(straight, on the turn) of tracks; both have turn_id, the first turn whose frames a track's frames meet.
+
+    A track with enough votes that was last seen before its turn ended is on the turn. The others are straight; those
+    that meet a turn take its last point as their place, and tracks without a turn stay as they are (turn_id null).
+    turns: drive_id, turn_id, frames, coordinates (structs lat, lon), in order.
+    """
+    ends = turns.where(F.size("frames") > 0).select("drive_id", "turn_id", F.element_at("frames", 1).alias("_start"), F.element_at("frames", -1).alias("_end"), F.try_element_at("coordinates", F.lit(-1)).alias("_at"))
+    held = tracks.select("drive_id", "track_id", "first_frame", "last_frame").join(ends, "drive_id").where("first_frame <= _end and last_frame >= _start")
+    held = held.groupBy("drive_id", "track_id").agg(F.min(F.struct("turn_id", "_end", "_at")).alias("_t"))
+    both = tracks.join(held, ["drive_id", "track_id"], "left").withColumns({"turn_id": F.col("_t.turn_id"), "_on": F.coalesce((F.col("mode_count") >= params.turn_observations) & (F.col("last_frame") < F.col("_t._end")), F.lit(False))})
+    place = {c: F.coalesce(F.col(f"_t._at.{c}"), F.col(c)) for c in ("lat", "lon")}
+    e, n = to_utm(place["lat"], place["lon"])
+    moved = F.col("_t._at").isNotNull()
+    straight = both.where(~F.col("_on")).withColumns(place | {"car_e": F.when(moved, e).otherwise(F.col("car_e")), "car_n": F.when(moved, n).otherwise(F.col("car_n"))})
+    return straight.drop("_t", "_on"), both.where("_on").drop("_t", "_on")
 
 
 def track_azimuth_apart(a: Column, b: Column) -> Column:

@@ -17,6 +17,7 @@ class Params:
     frame_step: int = 5
     stationary_speed: float = 2.0
     screen_width: int = 1920
+    screen_height: int = 1080
     overlap_percent: float = 40.0
     box_confidence: float = 0.50
     coarse_confidence: float = 0.70

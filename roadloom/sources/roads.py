@@ -21,6 +21,11 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("name")).where("name <> ''")
 
 
+def frame_count(videos: DataFrame) -> DataFrame:
+    """total frames of the videos (video, frame_count) that could be opened; the others have null counts."""
+    return videos.agg(F.coalesce(F.sum("frame_count"), F.lit(0)).alias("frames"))
+
+
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:
     """video (from 0, by name), name_video, path, bytes of a folder's .mp4 files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][pP]4").load(folder).select("path", F.col("length").alias("bytes"))

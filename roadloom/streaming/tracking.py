@@ -16,6 +16,7 @@ from roadloom.params import DEFAULT, Params
 def track_stream(detections: DataFrame, params: Params = DEFAULT, idle_ms: int | None = None) -> DataFrame:
     """Tracks as they end. Each batch of a drive is sorted by frame; frames at or before the last one are late and dropped.
 
+    A track that came out may be replaced by a better one of the same sign later: that one's `replaces` is its track_id.
     idle_ms: a drive without detections for so long is flushed (documented) and its state goes.
     """
 

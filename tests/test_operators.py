@@ -132,3 +132,81 @@ def test_neighbours_across_ranges(spark, n):
     want = {i: (ids[max(j - 1, 0)], ids[min(j + 1, len(ids) - 1)]) for j, i in enumerate(ids)}
     assert {r.id: (r.prev_id, r.next_id) for r in got.collect()} == want
     assert got.count() == n
+
+
+# -- results that were wrong once
+
+
+def sighting(frame, x=100, name="a", fine="a.1", east=0.0, det=None):
+    return (1, frame, det or frame * 10 + x % 10, name, fine, x, 50, 40, 40, False, 10.0, 5e5 + east, 5.97e6, 53.9, 27.0 + east / 65_000)
+
+
+def test_a_better_sighting_of_a_sign_replaces_the_known_one(spark):
+    """Two tracks of one sign, 5 and 12 votes: the second alone comes out and names the first."""
+
+    rows = [sighting(f) for f in range(1, 6)] + [sighting(f, 101) for f in range(40, 52)]
+    d = spark.createDataFrame(rows, "drive_id long, frame long, det_id long, name_sign string, number_sign string, x int, y int, w int, h int, is_side boolean, course double, car_e double, car_n double, lat double, lon double")
+    got = tracker.track(d).collect()
+    assert [(r.mode_count, r.track_id, r.replaces) for r in got] == [(12, 2, 1)]
+
+
+@pytest.mark.parametrize("direction,share,gap,want", [("left", 26, False, "4.1.3"), ("right", 25, False, ""), ("back", 0, True, ""), ("back", 50, True, "6.3.1"), ("back", 50, False, ""), ("front", 90, False, "")])
+def test_lane_arrows_need_a_quarter_of_their_box(spark, direction, share, gap, want):
+
+    mask = [[1.0] * share + [0.0] * (100 - share)]
+    row = [1.0, 0.0, 1.0] if gap else [1.0, 1.0, 0.0]
+    d = spark.createDataFrame([(1, 1, direction, mask, 100, 1, row)], "sign int, seq int, direction string, mask array<array<double>>, w int, h int, centre_row array<double>")
+    assert lanes.lane_types(d, ["sign"]).first().lane_type == want
+
+
+def test_arrow_masks(spark):
+
+    masks = [[[0.0, 1.0, 1.0], [0.0, 1.0, 0.0]], [[0.0] * 3] * 2]
+    d = spark.createDataFrame([(1, masks, [(1, 0, 3, 2, "left"), (0, 0, 1, 1, "right")])], "sign int, masks array<array<array<double>>>, boxes array<struct<x1:int,y1:int,x2:int,y2:int,direction:string>>")
+    made = lanes.arrow_masks(d, ["sign"])
+    assert [(r.direction, r.mask) for r in made.orderBy("seq").collect()][:2] == [("left", [[1.0, 1.0], [1.0, 0.0]]), ("right", [[0.0]])]
+    assert lanes.lane_types(made, ["sign"]).first().lane_type == "4.1.3"
+
+
+@pytest.mark.parametrize("length,frames,want", [("0", "[1, 2]", 0.0), ("", "[1, 2]", 1.0), (None, "[1, 2]", 1.0), ("1", "[1, 2]", 0.5), ("9", "[1, 2]", 1.0), ("3", "[]", 0.0), ("x", "[1]", 0.0)])
+def test_review_confidence(spark, length, frames, want):
+
+    d = spark.createDataFrame([("i", "1.1", length, "True", *[frames] * 6)], "id string, type string, length string, left string, frame_numbers string, absolute_frame_numbers string, pixel_coordinates_x string, pixel_coordinates_y string, w string, h string")
+    assert review.records(d).first().confidence == want
+
+
+def test_tracks_and_turns(spark):
+    """Each track once: with the turn it meets, in front of its end on the turn, else straight at its last point."""
+
+    t = spark.createDataFrame([(1, 1, 9, 10, 15, 0.0, 0.0, 1.0, 1.0), (1, 2, 9, 10, 30, 0.0, 0.0, 1.0, 1.0), (1, 3, 3, 41, 44, 0.0, 0.0, 1.0, 1.0), (2, 1, 9, 1, 9, 5.0, 6.0, 1.0, 1.0)], "drive_id long, track_id long, mode_count int, first_frame long, last_frame long, car_e double, car_n double, lat double, lon double")
+    turns = spark.createDataFrame([(1, 1, [9, 20], [(45.0, 27.0), (45.0, 27.0)]), (1, 2, [40, 50], [(45.0, 27.0)])], "drive_id long, turn_id long, frames array<long>, coordinates array<struct<lat:double,lon:double>>")
+    straight, turn = tracks.split_on_turn(t, turns)
+    assert [(r.track_id, r.turn_id) for r in turn.collect()] == [(1, 1)]
+    got = {(r.drive_id, r.track_id): (r.turn_id, round(r.car_e, 3), round(r.car_n, 3)) for r in straight.collect()}
+    assert got == {(1, 2): (1, 500000.0, 4982950.4), (1, 3): (2, 500000.0, 4982950.4), (2, 1): (None, 5.0, 6.0)}
+
+
+def test_edits_keep_what_they_dont_say(spark):
+
+    f = spark.createDataFrame([(i, "3.24", 10320, "60", "60") for i in range(5)], "id long, type string, code long, SEM250 string, MVALUE string")
+    e = spark.createDataFrame([(0, None, "70", None, 1), (1, "2.1", "x", False, 1), (1, "3.24", "80", False, 2), (2, "2.1", None, False, 1), (2, "2.1", None, True, 0), (9, "2.1", None, False, 1)], "id long, new_type string, new_text string, deleted boolean, seq int")
+    codes = spark.createDataFrame([("3.24", "10320"), ("2.1", "10211")], "type string, code string")
+    got = {r.id: (r.type, r.code, r.SEM250) for r in review.apply_edits(f, e, codes).collect()}
+    assert got == {0: ("3.24", 10320, "70"), 1: ("3.24", 10320, "80"), 3: ("3.24", 10320, "60"), 4: ("3.24", 10320, "60")}
+
+
+def test_confident_boxes_lie_in_the_frame(spark):
+
+    d = spark.createDataFrame([(1, -50, 10, 40, 40), (2, -10, 10, 40, 40), (3, 1920, 10, 40, 40), (4, 10, 1079, 40, 40), (5, 10, 10, 0, 40)], "det_id int, x int, y int, w int, h int").selectExpr("*", "0.9 as box_confidence", "0.9 as coarse_confidence")
+    assert sorted(r.det_id for r in clean.confident(d).collect()) == [2, 4]
+
+
+def test_turn_features(spark):
+    """Signs of a turn lie off its anchors, one slot after the other; lane signs go."""
+    from roadloom.operators import features, turns
+
+    t = turns.anchors(spark.createDataFrame([(1, 1, [(53.9, 27.5), (53.91, 27.51)], [0.0, 90.0])], "drive_id long, turn_id long, coordinates array<struct<lat:double,lon:double>>, azimuths array<double>"))
+    s = spark.createDataFrame([(1, 1, i, "5", name, False, False) for i, name in enumerate(("a", "b", "5.8"))], "drive_id long, turn_id long, track_id long, number string, name_sign string, is_side boolean, is_left boolean")
+    made = features.turn_lines(features.turn_slots(s, ["track_id"]), t).orderBy("track_id").collect()
+    assert [(r.track_id, r.slot, r.azimuth) for r in made] == [(0, 2, 0.0), (1, 3, 0.0)]
+    assert all(abs(r.lat1 - 53.9) < 1e-3 and (r.lat1, r.lon1) != (r.lat2, r.lon2) for r in made) and made[0].lat1 != made[1].lat1
