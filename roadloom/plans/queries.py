@@ -49,7 +49,7 @@ def track_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = at.join(near, "point_id").withColumn("azimuth", F.when(F.col("snapped"), F.col("road_azimuth")).otherwise(F.col("azimuth")))
     made = features.lines(features.slots(t, ["drive_id", "track_id"]))
     e, n = geo.to_utm(F.col("lat1"), F.col("lon1"))
-    flat = made.select(F.xxhash64("drive_id", "track_id").alias("seq"), F.col("number_sign").alias("type"), "is_left", e.alias("e"), n.alias("n"), "azimuth", F.col("observations").alias("length"), "drive_id", "track_id", "slot", "lat1", "lon1", "lat2", "lon2")
+    flat = made.select(F.shiftleft("drive_id", 32).bitwiseOR(F.col("track_id")).alias("seq"), F.col("number_sign").alias("type"), "is_left", e.alias("e"), n.alias("n"), "azimuth", F.col("observations").alias("length"), "drive_id", "track_id", "slot", "lat1", "lon1", "lat2", "lon2")
     return dedup.grid_dedup(flat.persist()).select("drive_id", "track_id", "type", "is_left", "slot", "length", *[F.round(c, 6).alias(c) for c in ("azimuth", "lat1", "lon1", "lat2", "lon2")])
 
 
@@ -237,8 +237,8 @@ def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey as id, coalesce(n_name, '') as name from part left join nation on p_partkey % 40 = n_nationkey")
 def catalog_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey")).alias("k"), F.col("n_name"))
-    return table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 40).join(F.broadcast(n), "k", "left").select(F.col("p_partkey").alias("id"), F.coalesce("n_name", F.lit("")).alias("name"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return features.with_name(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("k")), n, "k").drop("k")
 
 
 @query("select p_partkey as id, unnest(list_distinct(string_split(p_type, ' '))) as type from part")
@@ -273,9 +273,9 @@ def review_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.counters(_records(spark, sf_dir))
 
 
-@query("select c_custkey as id, coalesce(lag(c_custkey) over w, c_custkey) as prev_id, coalesce(lead(c_custkey) over w, c_custkey) as next_id from (select * from customer where c_nationkey = 3) window w as (order by c_custkey)")
+@query("select c_custkey as id, coalesce(lag(c_custkey) over w, c_custkey) as prev_id, coalesce(lead(c_custkey) over w, c_custkey) as next_id from customer window w as (order by c_custkey)")
 def review_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.neighbours(table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("id")), ["id"])
+    return review.neighbours(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), ["id"])
 
 
 _FEATS = "f as (select c_custkey as id, c_mktsegment as type, cast(c_nationkey as bigint) as code, c_name as t from customer), e as (select o_custkey as id, min(o_orderkey) as k from orders group by 1)"
@@ -328,7 +328,7 @@ def fuzzy_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
     turn = d.where("k >= 30").join(d.where("k >= 80").select("det_id"), "det_id", "left_anti")
-    return d.where("k < 60").select("det_id", F.lit("straight").alias("part")).unionByName(turn.select("det_id", F.lit("turn").alias("part")))
+    return features.union_layers(d.where("k < 60").select("det_id"), turn.select("det_id"))
 
 
 @query(f"""with {DET_SQL}, a as (select drive_id, frame, course - lag(course) over (partition by drive_id order by frame) as d from det), b as (select drive_id, frame, coalesce(case when d > 180 then d - 360 when d <= -180 then d + 360 else d end, 0) as c from a),
@@ -341,5 +341,79 @@ def turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DET_SQL} select drive_id, count(*) as frames, sum(case when speed >= 2 then 1 else 0 end) as moving, cast(floor(max(frame) * 100 / 63600e0) as int) as progress from det group by 1")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).groupBy("drive_id").agg(F.count("*").alias("frames"), F.sum((F.col("speed") >= 2).cast("int")).alias("moving"), F.floor(F.max("frame") * 100 / 63600.0).cast("int").alias("progress"))
+    return align.throughput(detections(spark, sf_dir).withColumnRenamed("frame", "frame_number"), ["drive_id"])
+
+
+@query(f"with {DET_SQL} select det_id, x, y, w, h, k % 2 = 0 as is_side from det")
+def clean_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners to boxes."""
+    d = detections(spark, sf_dir)
+    raw = d.select("det_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), (F.col("k") % 2).alias("side_class"))
+    return clean.boxes(raw)
+
+
+@query(f"""with {DET_SQL}, p as (select det_id, drive_id, name_sign, (k % 100) / 1e2 as a, 1 - (k % 100) / 1e2 as b, case when k % 5 = 0 then null when k % 7 = 0 then '-1' else '4.1.' || (k % 3) end as lane from det)
+select det_id, drive_id, case name_sign when 'click' then case when a >= b then '1.1' else '1.2' end when 'view' then lane else name_sign end as number_sign from p
+where case name_sign when 'click' then greatest(a, b) >= 0.6 when 'view' then lane is not null and lane <> '-1' else true end""")
+def fine_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine classes by model, lane string or coarse class; unsure ones go."""
+    d, k = detections(spark, sf_dir), F.col("k")
+    a = (k % 100) / 1e2
+    kind = F.when(F.col("name_sign") == "view", "5.8").otherwise(F.col("name_sign"))
+    raw = d.select("det_id", "drive_id", kind.alias("name_sign"), F.array(a, 1 - a).alias("fine_probabilities"), F.when(k % 5 == 0, None).when(k % 7 == 0, "-1").otherwise(F.concat(F.lit("4.1."), (k % 3).cast("string"))).alias("lane_type"))
+    return clean.fine_class(raw, ["click"], {"click": ["1.1", "1.2"]}).select("det_id", "drive_id", "number_sign")
+
+
+@query(f"with {DET_SQL} select det_id, case when k % 2 = 0 then 'line' when k % 3 = 0 then 'city' end as text_route from det")
+def text_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = detections(spark, sf_dir), F.col("k")
+    raw = d.select("det_id", F.when(k % 2 == 0, "3.24").otherwise("1.1").alias("number_sign"), F.when(k % 3 == 0, "konec nas punkta sin").otherwise("red").alias("name_sign"))
+    return clean.text_route(raw).select("det_id", "text_route")
+
+
+@query(f"""with {DET_SQL}, s as (select drive_id, concat(name_sign, '') as name, sum(k) as s, min(det_id) as f from det group by 1, 2), r as (select *, row_number() over (partition by drive_id order by s desc, f) as i from s) select drive_id, name as city from r where i = 1""")
+def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name with the largest sum of accuracies; the number k stands for one."""
+    return tracks.city_score(detections(spark, sf_dir).select("drive_id", F.col("det_id").alias("seq"), F.col("name_sign").alias("name"), F.col("k").alias("accuracy")), ["drive_id"])
+
+
+@query(f"""with {DET_SQL} select det_id, case when k % 10 in (3, 4) then 'rev_end' when k % 10 in (5, 6) then 'rev_start' when k % 10 in (7, 8) then 'rev_end' else 'start' end as anchor from det""")
+def turn_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions 0 to 9 of a turn and their anchors; 9 isn't listed and takes the start."""
+    d = detections(spark, sf_dir).select("det_id", (F.col("k") % 10).cast("string").alias("number"))
+    return turns.anchor_of(d).select("det_id", "anchor")
+
+
+@query(f"""with {DET_SQL} select det_id, row_number() over (partition by drive_id, scene_id % 3, k % 10 order by det_id) + 1 as slot from det where name_sign <> 'view'""")
+def turn_pole_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots at a turn's positions; one event type stands for lane signs."""
+    d = detections(spark, sf_dir).withColumns({"turn_id": F.col("scene_id") % 3, "number": F.col("k") % 10, "name_sign": F.when(F.col("name_sign") == "view", "5.8").otherwise(F.col("name_sign"))})
+    return features.turn_slots(d, ["det_id"]).select("det_id", F.col("slot").cast("long").alias("slot"))
+
+
+@query(f"with {DET_SQL}, {_UTM_SQL.format(src='det')} select drive_id, count(*) as points from u group by 1")
+def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadloom.sources import gpx
+
+    return gpx.point_count(placed(spark, sf_dir))
+
+
+@query(r"select doc_id, lower(regexp_replace(text, '[^a-zA-Zа-яА-ЯёЁ]', '', 'g')) as letters from documents")
+def text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.letters(F.col("text")).alias("letters"))
+
+
+@query(r"select doc_id, len(regexp_extract_all(text, '-?[0-9]+\.?[0-9]*')) as n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '-?[0-9]+\.?[0-9]*'), lambda x: length(x))), 0), 6) as digits from documents")
+def parse_float_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(r"-?[0-9]+\.?[0-9]*"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(scalars.floats_in(F.col("text"))).cast("long").alias("n"), F.round(F.aggregate(found, F.lit(0.0), lambda s, x: s + F.length(x)), 6).alias("digits"))
+
+
+@query(f"""with {DET_SQL} select det_id, least(1e0, case when k = 0 then 0e0 else k / greatest(k % 7, 1) end) * (case when k % 7 = 0 then 0 else 1 end) as confidence, k % 7 as n from det""")
+def review_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of features with k % 7 frames and length k."""
+    d, n = detections(spark, sf_dir), F.col("k") % 7
+    frames = F.when(n > 0, scalars.list_text(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).otherwise("[]")
+    flat = d.select(F.col("det_id").alias("id"), F.lit("1.1").alias("type"), F.col("k").cast("string").alias("length"), scalars.bool_text(F.col("is_side")).alias("left"), *[frames.alias(c) for c in ("frame_numbers", "absolute_frame_numbers", "pixel_coordinates_x", "pixel_coordinates_y", "w", "h")], n.alias("n"))
+    return review.records(flat).select(F.col("id").alias("det_id"), "confidence", "n")
 
