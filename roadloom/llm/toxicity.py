@@ -16,7 +16,9 @@ from roadloom.llm.common import id_crc32
 #: Documented bound of the classifier's sample: labelled rows used of each label.
 EXAMPLES = 10_000
 #: A term counts if its texts differ from the others in labels by more than chance (G-squared of one degree of freedom).
-LEAST_G = 6.63
+LEAST_G = 18.0
+#: and lean to toxic by this part of the rate that remains: frequent words of clean texts would make every text meet all examples.
+LEAN = 0.25
 NEIGHBOURS, BLOCK = 15, 64
 #: A document whose neighbours' weights add up to this counts half its neighbours and half the base rate.
 PRIOR = 0.35
@@ -149,8 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     At most `examples` rows of each label, by the order of a hash, are used (the documented bound of the
     classifier's sample). Terms are all words and starts of words that stand in three or more of these texts and whose
-    texts differ in labels from the others by more than chance (G-squared >= least_g), to either side; equal texts count
-    once there. Their number is bounded by the sample. Document frequencies for IDF cover all of docs.
+    texts are toxic more often than others by more than chance (G-squared >= least_g, LEAN); equal texts count once there. Their number is bounded by the sample. Document frequencies for IDF cover all of docs.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (id_crc32(id_col) % folds != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     totals = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     flat = lambda x, p: x * F.log(F.greatest(x, F.lit(0.5)) / p)
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
     g = 2 * (flat(a, n * max(rate, 1e-9)) + flat(n - a, n * max(1 - rate, 1e-9)))
-    chosen = counts.where(g >= least_g).collect()  # of the bounded sample
+    chosen = counts.where((g >= least_g) & (a / n > rate + (1 - rate) * LEAN)).collect()  # of the bounded sample
     vocabulary = {t: i for i, t in enumerate(sorted(r.term for r in chosen))}
 
     def frequencies(batches):
