@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.catalog import LANE_DIRECTIONS
 from roadloom.functions import geo, scalars
 from roadloom.operators import align, clean, dedup, features, fuzzy, review, snap, tracker, tracks, turns
 from roadloom.plans.views import DET_SQL, ROADS_SQL, detections, placed, road_ways, table
@@ -417,3 +418,89 @@ def review_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = d.select(F.col("det_id").alias("id"), F.lit("1.1").alias("type"), F.col("k").cast("string").alias("length"), scalars.bool_text(F.col("is_side")).alias("left"), *[frames.alias(c) for c in ("frame_numbers", "absolute_frame_numbers", "pixel_coordinates_x", "pixel_coordinates_y", "w", "h")], n.alias("n"))
     return review.records(flat).select(F.col("id").alias("det_id"), "confidence", "n")
 
+
+
+@query(f"""with {DET_SQL}, f as (select drive_id, det_id, (k % 12) - 2 as gps_index from det), g as (select drive_id, frame - 1 as idx, lat, lon from det)
+select f.drive_id, det_id, gps_index, coalesce(lat, 0) as prev_lat, coalesce(lon, 0) as prev_lon from f left join g on f.drive_id = g.drive_id and g.idx = greatest(0, gps_index)""")
+def gps_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point that a frame comes from; indices from -2 to 9, so some lie before the first and past the last."""
+    d = detections(spark, sf_dir)
+    gps = d.select("drive_id", (F.col("frame") - 1).alias("idx"), "lat", "lon")
+    return align.previous(d.select("drive_id", "det_id", (F.col("k") % 12 - 2).alias("gps_index")), gps)
+
+
+@query(f"""with {ROADS_SQL}, r as (select way_id, radians(lat1) as p, radians(lat2) as q, radians(lon2 - lon1) as d from roads where lat1 <> lat2 or lon1 <> lon2),
+b as (select *, degrees(atan2(sin(d) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(d))) + 360 as z from r)
+select way_id, round(z - 360 * floor(z / 360), 6) as azimuth, round(2 * 6371e3 * asin(sqrt(least(1, sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(d / 2) ** 2))), 4) as metres from b""")
+def road_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction and length of road segments; a segment without length has no direction."""
+    s = snap.segments(road_ways(spark, sf_dir)).where("lat1 <> lat2 or lon1 <> lon2")
+    at = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
+    return s.select(F.col("way_id"), F.round(geo.bearing(*at), 6).alias("azimuth"), F.round(geo.haversine(*at), 4).alias("metres"))
+
+
+@query(f"""with {DET_SQL}, a as (select det_id, radians(lat) as p, radians(lon) as l, radians(course) as z, (5 + k % 20) / 6371e3 as d from det), t as (select *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(z)) as q from a)
+select det_id, round(degrees(q), 9) as lat, round(degrees(l + atan2(sin(z) * sin(d) * cos(p), cos(d) - sin(p) * sin(q))), 9) as lon from t""")
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of lines of 5 to 24 m along the course."""
+    d = detections(spark, sf_dir)
+    lat, lon = geo.destination(F.col("lat"), F.col("lon"), F.col("course"), 5 + F.col("k") % 20)
+    return d.select("det_id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query("""select o_orderkey as id, o_orderkey % 3 = 0 as is_left, o_orderkey % 4 = 0 as any_left, split_part(o_orderpriority, '-', 1) as icon, coalesce(nullif(split_part(o_orderpriority, '-', 2), ''), '') as icon_text,
+case when o_orderkey % 5 = 0 then 0 else cast(o_orderkey as int) end as length, case when length(t) > 32 then substr(t, 1, 30) || '…' else t end as name
+from (select *, repeat(o_orderpriority || ' ', 1 + cast(o_orderkey % 5 as int)) as t from orders)""")
+def property_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags, icons, lengths and shown names as stored features write them; a length that isn't a number is 0."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumns({"flag": scalars.bool_text(k % 3 == 0), "flags": scalars.list_text(F.array(scalars.bool_text(k % 4 == 0), F.lit("False"))), "icon_id": scalars.image_id(F.col("o_orderpriority")), "long": F.repeat(F.concat("o_orderpriority", F.lit(" ")), (1 + k % 5).cast("int"))})
+    length = scalars.length_or_zero(F.when(k % 5 == 0, "none").otherwise(k.cast("string")))
+    return o.select(k.alias("id"), scalars.is_true(F.col("flag")).alias("is_left"), scalars.says_true(F.col("flags")).alias("any_left"), F.col("icon_id.type").alias("icon"), F.col("icon_id.text").alias("icon_text"), length.alias("length"), scalars.short_name(F.col("long")).alias("name"))
+
+
+@query("select cast(coalesce(sum(case when o_orderkey % 6 <> 0 then o_orderkey % 63600 end), 0) as bigint) as frames from orders")
+def video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all videos; every sixth can't be opened."""
+    from roadloom.sources import roads
+
+    k = F.col("o_orderkey")
+    return roads.frame_count(table(spark, sf_dir, "orders").select(k.alias("video"), F.when(k % 6 != 0, k % 63_600).alias("frame_count")))
+
+
+@query(f"with {DET_SQL} select det_id, drive_id, cast(x as int) as x, cast(y as int) as y, cast(w as int) as w, cast(h as int) as h, name_sign, number_sign, frame as frame_number, frame * 40 as absolute_frame_number, lon as car_e, lat as car_n, case when k % 4 = 0 then '' else cast(k as varchar) end as text_on_sign, k % 3 = 1 as is_side from det")
+def detection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored detections; every fourth has no text, every third no side."""
+    k = F.col("k")
+    raw = detections(spark, sf_dir).withColumns({"box": F.struct("x", "y", "w", "h"), "frame_number": F.col("frame"), "absolute_frame_number": F.col("frame") * 40, "car_e": F.col("lon"), "car_n": F.col("lat"), "text": F.when(k % 4 != 0, k.cast("string")), "is_side": F.when(k % 3 != 0, k % 3 == 1)})
+    return clean.detected(raw)
+
+
+@query(f"""with {DET_SQL}, t as (select det_id, (det_id * 977) % 400000 as mean_frame from det), v as (select s_suppkey - 1 as video, s_name as name_video from supplier where s_suppkey <= 5)
+select det_id, coalesce(name_video, 'unknown') as name_video, printf('%d:%02d', mean_frame % 63600 // 3600, mean_frame % 63600 // 60 % 60) as time from t left join v on v.video = mean_frame // 63600""")
+def video_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos and times of mean frames; five videos are listed, frames beyond them are of an unknown one."""
+    t = detections(spark, sf_dir).select("det_id", (F.col("det_id") * 977 % 400_000).cast("double").alias("mean_frame"))
+    v = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select((F.col("s_suppkey") - 1).alias("video"), F.col("s_name").alias("name_video"))
+    return features.video_columns(t, v).select("det_id", "name_video", "time")
+
+
+@query(f"with {DET_SQL} select det_id, case when k % 3 = 0 then null when k % 9 >= 5 then 1 when k % 9 >= 2 then 2 else 0 end as best from det")
+def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the largest probability, the first of equals; every third has none."""
+    r = F.col("k") % 9
+    p = F.when(F.col("k") % 3 == 0, F.array().cast("array<double>")).otherwise(F.array(F.when(r < 2, 0.9).otherwise(0.1), F.when(r >= 5, 0.8).otherwise(0.2), F.when(r >= 2, 0.8).otherwise(0.3)))
+    return detections(spark, sf_dir).select("det_id", scalars.top_class(p).alias("best"))
+
+
+@query(f"""with {DET_SQL}, a as (select drive_id, scene_id, det_id, case k % 4 when 0 then 'L' when 1 then 'R' when 2 then 'B' end as c, k % 5 >= 2 as covered, k % 7 < 4 as gap from det)
+select drive_id, scene_id, coalesce(string_agg(case c when 'L' then '{LANE_DIRECTIONS["left"]}' when 'R' then '{LANE_DIRECTIONS["right"]}' when 'B' then '{LANE_DIRECTIONS["back"]}' end, '-' order by det_id) filter (where covered and (c <> 'B' or gap)), '') as lane_type from a group by 1, 2""")
+def lane_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a scene as the arrows of a sign: 2 x 2 masks of 0 to 4 cells, centre rows with and without a gap."""
+    from roadloom.operators import lanes
+
+    k = F.col("k")
+    cell = lambda i: F.when(k % 5 > i, 1.0).otherwise(0.0)
+    direction = F.element_at(F.array(*map(F.lit, ("left", "right", "back", "none"))), (k % 4 + 1).cast("int"))
+    a = detections(spark, sf_dir).select("drive_id", "scene_id", F.col("det_id").alias("seq"), direction.alias("direction"), F.array(F.array(cell(0), cell(1)), F.array(cell(2), cell(3))).alias("mask"), F.lit(2).alias("w"), F.lit(2).alias("h"), F.array(F.lit(1), F.when(k % 7 < 4, 0).otherwise(1), F.lit(1)).alias("centre_row"))
+    return lanes.lane_types(a, ["drive_id", "scene_id"])
