@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadloom.llm import jaccard_join, line_dedup, suffix_dedup, url_filter
 from roadloom.llm.queries import ORACLE, QUERIES
@@ -252,5 +253,24 @@ def test_urls_without_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rules_table(spark)).count() == 0
 
 
+def test_filter_grows_with_the_rules(spark):
+    """Thousands of rules: verdicts as by hand, and the filter still stops most keys that no rule has."""
+    rules = [("block", f"H{i}.Example", f"/p{i % 7}/") for i in range(20_000)]
+    table = url_filter.rules_table(spark, rules)
+    urls = [f"http://www.h{i}.example/p{i % 5}/x" for i in range(0, 40_000, 13)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for blocks in (None, 16):  # a filter that is far too small passes more, which the join removes
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, table, blocks=blocks).collect()}
+        hosts = [13 * n for n in range(len(urls))]
+        assert got == {n: (f"h{i}.example/p{i % 7}/", "block") if i < 20_000 and i % 5 == i % 7 else (None, "allow") for n, i in enumerate(hosts)}
+    keys = table.select(F.concat_ws("\n", "rule_host", "rule_path").alias("key"))
+    blocks = url_filter.blocks_for(keys.count())
+    test = url_filter.bloom_test(F.col("key"), url_filter.bloom_words(keys, "key", blocks), blocks)
+    assert keys.where(~test).isEmpty()
+    others = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("key"))
+    assert others.where(test).count() < 600
+    assert url_filter.blocks_for(0) == url_filter.blocks_for(5) == 16 and url_filter.blocks_for(10**9) == url_filter.MOST_BLOCKS
+
+
 def test_urls_same_as_sql(spark, sf_dir, duck, same_rows):
     assert same_rows(QUERIES["op7_url_filter"](spark, sf_dir), duck, ORACLE["op7_url_filter"])
