@@ -32,16 +32,16 @@ def gumbel(seed: int, *cols: str) -> Column:
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, temperature: float = 0.02, buckets: int = BUCKETS, seed: int = 5) -> DataFrame:
-    """One row a document: doc_id, n_grams, log_weight, sample_key, kept.
+    """One row a document: doc_id, n_grams, log_ratio, log_weight, sample_key, kept.
 
     Target text is every document labelled 1, raw text is every document. Each model is the smoothed shares of
-    hashed words and word pairs. log_weight is the mean log ratio of the models over a document's n-grams: the
-    mean, not the sum, so that length doesn't decide. The k documents with the largest log_weight / temperature
+    hashed words and word pairs. log_ratio is the log of the ratio of the models for the whole document, a sum over
+    its n-grams; log_weight is its mean over them, so that length doesn't decide. The k documents with the largest log_weight / temperature
     plus Gumbel noise are kept: sampling without replacement in proportion to the tempered ratio. k is by
     default the labelled share of target, applied to all documents. The k-th key is found by counting key
     ranges, so no sort sees all documents.
 
-    Defined cases: null and empty texts have no n-grams and weigh log_weight -infinity-like -1e9, so are kept
+    Defined cases: null and empty texts have no n-grams, log_ratio 0 and log_weight -infinity-like -1e9, so are kept
     last; ties of keys (repeated rows) go in or out together where they straddle k; labels outside 0 and 1 or
     null are ignored, a document labelled twice takes the larger; no target: ratios 0; an empty table gives no
     rows; other columns are ignored.
@@ -82,12 +82,13 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array([len(g) for g in grams], pa.int64()), pa.array([float(table.value[g].mean()) if len(g) else -1e9 for g in grams])], names=["doc_id", "h", "n_grams", "log_weight"])
 
     scored = base.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h").mapInArrow(weigh, "doc_id long, h long, n_grams long, log_weight double")
+    scored = scored.withColumn("log_ratio", F.when(F.col("n_grams") > 0, F.col("n_grams") * F.col("log_weight")).otherwise(0.0))
     keyed = written(scored.withColumn("sample_key", F.col("log_weight") / temperature + gumbel(seed, "doc_id", "h")).drop("h"), "importance-keys")
     if k is None:
         share = (totals.y or 0) / totals.n if totals.n else 1.0
         k = round(keyed.count() * share)
     floor = kth_largest(keyed, "sample_key", k)
-    return keyed.withColumn("kept", F.col("sample_key") >= floor)
+    return keyed.select("doc_id", "n_grams", "log_ratio", "log_weight", "sample_key", (F.col("sample_key") >= floor).alias("kept"))
 
 
 def kth_largest(df: DataFrame, col: str, k: int) -> float:

@@ -152,10 +152,22 @@ def test_importance_same_as_by_hand(spark, docs, words):
     for i, t in rows:
         g = importance.gram_counts(t)
         assert got[i].n_grams == len(g) == 59 and got[i].log_weight == pytest.approx(ratio[g].mean())
+        assert got[i].log_ratio == pytest.approx(ratio[g].sum())
     keys = sorted((r.sample_key for r in got.values()), reverse=True)
     assert all(r.kept == (r.sample_key >= keys[29]) for r in got.values())
 
 
+def test_importance_lifts_held_out_quality(spark):
+    """Learned on four folds of the labels, the sample prefers good documents of the fifth."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    got = importance.importance_resample(spark.read.parquet(f"{folder}/documents.parquet"), labels.where("not out"))
+    of = {r.quality: (r.n, r.kept, r.weight) for r in got.join(labels.where("out"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.percentile_approx("log_weight", 0.5).alias("weight")).collect()}
+    good, poor = of[1], of[0]
+    assert good[1] / good[0] > 1.2 * poor[1] / poor[0]
+    assert good[2] > poor[2]
+
+
 @pytest.mark.parametrize("k,want", [(0, float("inf")), (1, 99.0), (40, 60.0), (100, 0.0), (101, float("-inf"))])
 def test_kth_largest(spark, k, want):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"))
