@@ -20,16 +20,33 @@ def integer_terms(col: str, scale: int = 64) -> Column:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of integers, exactly: by float64 where no sum can pass 2**53, else in 64-bit integers."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """a @ b.T of integers, exactly: by float64 where no sum can pass 2**53, in 64-bit integers where none can pass
+    these, else in integers of any length."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    most = np.abs(x).max(initial=0.0) * np.abs(y).max(initial=0.0) * a.shape[1]
+    if most < 2.0**53:
+        return (x @ y.T).astype(np.int64)
+    return a @ b.T if most < 2.0**62 else a.astype(object) @ b.astype(object).T
+
+
+def scores_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """products() as 64-bit integers; an error where one doesn't fit."""
+    s = products(a, b)
+    if s.dtype == object and s.size and not -(2**63) <= s.min() <= s.max() < 2**63:
+        raise OverflowError("a score needs more than 64 bits: use a smaller scale")
+    return s.astype(np.int64)
+
+
+def large_terms(rows: list[list[int]]) -> np.ndarray:
+    """Rows of integers that float64 can't hold; shorter rows end in zeros."""
+    width = max(map(len, rows))
+    return np.array([r + [0] * (width - len(r)) for r in rows], np.int64)
 
 
 def block_bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each query and block, the sum over terms of the largest product that the block can hold."""
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    return products(up, most) + products(down, least)
+    return np.clip(products(up, most) + products(down, least), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -51,7 +68,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     falls below the k-th score. The lists of all groups are merged. Results are exact.
 
     Defined cases: vectors that are null, empty or hold null or non-finite components take no part; shorter
-    vectors end in zeros; components so large that a product could pass 64 bits wrap; ties go to the smaller
+    vectors end in zeros; a term or a compared score that doesn't fit 64 bits raises OverflowError in its task; ties go to the smaller
     vec_id; repeated rows are candidates of their own, but a query never meets rows of its own id, and
     repeated queries answer once; null ids take no part; with fewer candidates than k all are returned; an
     empty table gives no rows; other columns are ignored.
@@ -72,12 +89,14 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         base, i, held = TaskContext.get().partitionId() << 32, 0, []
 
         def close(rs):
-            x = matrix(pa.array([r[1] for r in rs])).astype(np.int64) if all(abs(v) < 2**53 for r in rs for v in r[1]) else np.array([r[1] for r in rs], np.int64)
+            if any(not -(2**63) < v < 2**63 - 1 for r in rs for v in r[1]):  # where the cast ends
+                raise OverflowError("a term needs more than 64 bits: use a smaller scale")
+            x = matrix(pa.array([r[1] for r in rs])).astype(np.int64) if all(abs(v) < 2**53 for r in rs for v in r[1]) else large_terms([r[1] for r in rs])
             ids = np.array([r[0] for r in rs], np.int64)
             asked = [j for j, v in enumerate(ids) if v % every == 0]
             floors = []
             for j in asked:
-                own = products(x[j : j + 1], x)[0][ids != ids[j]]
+                own = scores_of(x[j : j + 1], x[ids != ids[j]])[0]
                 floors.append(int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else -(2**63))
             return base + i, len(rs), x.shape[1], ids.tobytes(), x.tobytes(), np.array(asked, np.int64).tobytes(), np.array(floors, np.int64).tobytes()
 
@@ -128,8 +147,10 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
                         if bounds[i, b] < kth:
                             break
                         own, x = held[b]
-                        s = products(q[i : i + 1], x)[0]
-                        keep = (s >= kth) & (own != qid[i])
+                        if (other := own != qid[i]).sum() < len(own):
+                            own, x = own[other], x[other]
+                        s = scores_of(q[i : i + 1], x)[0]
+                        keep = s >= kth
                         if keep.any():
                             score, ids = np.concatenate([score, s[keep]]), np.concatenate([ids, own[keep]])
                             at = best(score, ids, k)

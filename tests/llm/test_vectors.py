@@ -129,5 +129,30 @@ def test_top_k_ties_and_empty(spark):
     assert topk_search.top_k(table(spark, [])).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores between 53 and 64 bits are exact, bounds beyond 64 bits prune nothing wrongly, larger scores raise."""
+    r = np.random.default_rng(8)
+    scaled = lambda scale, n, width: [(i, (r.integers(-12, 13, width) * scale).tolist()) for i in range(n)]
+    schema = "vec_id long, embedding array<double>"
+    for scale in (2.0**17, 2.0**20):
+        rows = scaled(scale, 60, 6) + [(60, [scale])]
+        got = topk_search.top_k(spark.createDataFrame(rows, schema), every=5, k=4, block_rows=8)
+        x = {i: [int(64 * c) for c in v] for i, v in rows}
+        want = []
+        for q in range(0, 61, 5):
+            top = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(top)]
+        assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got.collect()) == sorted(want)
+        assert max(s for *_, s in want) > 2**53
+    for huge in (1e12, 1e300):
+        with pytest.raises(Exception, match="64 bits"):
+            topk_search.top_k(spark.createDataFrame([(i, [huge, huge]) for i in range(6)], schema), every=5, k=2).collect()
+
+
+def test_top_k_bounds_beyond_64_bits():
+    q, most = np.array([[2**31, 2**31, -(2**31)]]), np.array([[2**31] * 3])
+    assert topk_search.block_bounds(q, most, -most).tolist() == [[2**63 - 1]]
+
+
 def test_top_k_same_as_sql(spark, sf_dir, duck, same_rows):
     assert same_rows(QUERIES["op4_topk_search"](spark, sf_dir), duck, ORACLE["op4_topk_search"])
