@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import embedding_dedup, importance, jaccard_join, line_dedup, merkle, mixing, packing, suffix_dedup, topk_search, toxicity, url_filter
+from roadloom.llm import embedding_dedup, hard_negatives, importance, jaccard_join, line_dedup, merkle, mixing, packing, suffix_dedup, suffix_tree, topk_search, toxicity, url_filter
 from roadloom.llm.common import id_crc32
 
 
@@ -56,6 +56,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", noisy))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof, and what it folds to where n_chars was changed."""
     n = F.col("n_chars").cast("decimal(20,0)")
@@ -64,7 +74,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.digest("siblings").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_suffix_dedup, op4_topk_search, op5_line_dedup, op6_importance, op7_url_filter, op8_toxicity, op9_mixing, op10_jaccard_join, op13_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_suffix_dedup, op4_topk_search, op5_line_dedup, op6_importance, op7_url_filter, op8_toxicity, op9_mixing, op10_jaccard_join, op11_suffix_tree, op12_hard_negatives, op13_merkle)}
 
 ORACLE: dict[str, str] = {
     "op7_url_filter": r"""
@@ -82,6 +92,14 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * ca
 s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.t as double[]), cast(c.t as double[])) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
 k as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from k where rank <= 20""",
+    "op12_hard_negatives": r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as t from embeddings
+           where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_dot_product(cast(a.t as double[]), cast(c.t as double[])) as bigint) as score from v a join v c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, cast(row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as integer) as rank
+      from p join s using (anchor_id) where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     # crc32 bit by bit over the digits; the trees level by level, the groups' first, then that of their roots
     "op13_merkle": r"""
 with recursive d as (
