@@ -40,7 +40,8 @@ def _ids_unpacked(blob: bytes) -> np.ndarray:
 
 def word_arrays(texts: pa.Array) -> list[np.ndarray]:
     """For each text the hashes of its words, A-Z lower-cased, parted by ASCII white space, then END."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    whole = texts.take(pa.array(np.arange(len(texts))))  # splitting a slice of an array goes wrong: it reads past its offset
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole.cast(pa.large_string()).fill_null("")))
     words = split.values.dictionary_encode()
     hashes = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in words.dictionary], np.uint64)
     tokens = hashes[words.indices.to_numpy(zero_copy_only=False)] if len(hashes) else np.empty(0, np.uint64)
@@ -231,8 +232,8 @@ def held_out_of(id_col: str, folds: int = 7, fold: int = 2) -> Column:
 
 
 def score_texts(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = 2, least: int = 8,
-    weight: float = 8.0, gain: float = 4.0, block_tokens: int = 1 << 20,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = 2, least: int = 4,
+    weight: float = 300.0, gain: float = 10.0, block_tokens: int = 1 << 20,
 ) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's chance).
 

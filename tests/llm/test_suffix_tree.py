@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ class Plain:
 
 
 def check(df, rows, **params):
-    model = Plain(rows, params.get("depth", 2), params.get("least", 8), params.get("weight", 8.0), params.get("gain", 4.0))
+    model = Plain(rows, params.get("depth", 2), params.get("least", 4), params.get("weight", 300.0), params.get("gain", 10.0))
     want = sorted(((i, held(i), *model.score(t)) for i, t in rows), key=repr)
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect()), key=repr)
     assert [g[:4] for g in got] == [w[:4] for w in want]
@@ -88,7 +89,14 @@ def corpus(n=120, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("params", [{}, {"depth": 3, "least": 2, "weight": 1.5, "gain": 0.5}, {"depth": 1, "gain": 0.0}, {"block_tokens": 64, "depth": 3, "least": 3}])
+def test_words_of_slices():
+    texts = pa.array([t for _, t in corpus()] + [None, "", " a  b "])
+    want = [len(words_of(t)) for t in texts.to_pylist()]
+    for at in (0, 1, 50, len(texts) - 2, len(texts)):
+        assert [len(w) for w in suffix_tree.word_arrays(texts.slice(at))] == want[at:]
+
+
+@pytest.mark.parametrize("params", [{}, {"depth": 3, "least": 2, "weight": 1.5, "gain": 0.5}, {"depth": 1, "gain": 0.0}, {"block_tokens": 64, "depth": 3, "least": 3, "weight": 8.0, "gain": 4.0}])
 def test_same_as_dictionaries(spark, docs, params):
     rows = corpus()
     model = check(suffix_tree.score_texts(docs(rows), **params), rows, **params)
@@ -113,11 +121,20 @@ def test_odd_texts(spark, docs, odd_texts):
 
 def test_longer_contexts_help_on_texts_not_learned_from(spark, docs):
     rows = corpus(400)
-    out = [r for r in suffix_tree.score_texts(docs(rows)).collect() if r.held_out]
-    one = {r.doc_id: r.score for r in suffix_tree.score_texts(docs(rows), depth=1).collect()}
+    out = [r for r in suffix_tree.score_texts(docs(rows), weight=8.0).collect() if r.held_out]
+    one = {r.doc_id: r.score for r in suffix_tree.score_texts(docs(rows), depth=1, weight=8.0).collect()}
     assert len(out) > 30 and sum(r.score for r in out) > sum(one[r.doc_id] for r in out) > sum(r.base_score for r in out)
 
 
+def test_many_texts_lose_no_word(spark, words):
+    """More text than one slice of a batch, in many blocks."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 400)))) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x.n_tokens for x in suffix_tree.score_texts(df, depth=1, block_tokens=1 << 17).collect()}
+    assert got == {i: len(t.split()) + 1 for i, t in rows}
+
+
 def test_op11_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     df = QUERIES["op11_suffix_tree"](spark, sf_dir)
