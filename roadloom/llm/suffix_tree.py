@@ -28,14 +28,24 @@ _SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", p
 _SCORES_SQL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _ids_packed(ids: np.ndarray) -> bytes:
-    """32-bit integers byte plane by byte plane, so that small ones take little room."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed, so that small ones take little room."""
+    width = x.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _ids_unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<i4")
+def _from_planes(blob: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _keys_packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, whose first bytes are mostly zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys_unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(blob, "<u8"), dtype=np.uint64)
 
 
 def word_arrays(texts: pa.Array) -> list[np.ndarray]:
@@ -93,7 +103,7 @@ def tokenised(base: DataFrame, depth: int, block_tokens: int) -> DataFrame:
             words, ids = np.unique(np.concatenate(held), return_inverse=True)
             own = [d[3] - d[4] for d in docs]
             docs = [dict(zip(("row", "doc_id", "held", "size", "lead"), d)) for d in docs]
-            return block, words.tobytes(), _ids_packed(ids), docs, sum(n for n, d in zip(own, docs) if not d["held"]), sum(own)
+            return block, _keys_packed(words), _planes(ids.astype("<i4")), docs, sum(n for n, d in zip(own, docs) if not d["held"]), sum(own)
 
         yield from out_batches(blocks(), _TOKENS, 4)
 
@@ -105,7 +115,7 @@ class Block:
 
     def __init__(self, r: dict):
         self.block, self.docs = r["block"], r["docs"]
-        self.words, self.ids = np.frombuffer(r["words"], np.uint64), _ids_unpacked(r["ids"])
+        self.words, self.ids = _keys_unpacked(r["words"]), _from_planes(r["ids"], "<i4")
         sizes = np.array([d["size"] for d in self.docs], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.place = np.arange(len(self.ids)) - np.repeat(self.starts, sizes)
@@ -154,23 +164,23 @@ def _asks(block: int, keys: np.ndarray, given: np.ndarray, bits: int) -> Iterato
     cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(keys)]])
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
-            yield block, int(parts[a]), keys[a:b].tobytes(), given[a:b].tobytes()
+            yield block, int(parts[a]), _keys_packed(keys[a:b]), _planes(given[a:b])
 
 
 def _exchanged(asked: DataFrame, kind: str, least: float, name: str) -> DataFrame:
     """For the keys that blocks ask, what all blocks give to them, summed: one row a block, its parts in order.
 
-    Keys travel as packed stretches, which numpy sums in the task of their part. kind: type of what is given; of floats
+    Keys travel as compressed stretches, which numpy sums in the task of their part. kind: type of what is given; of floats
     the answer is only whether the sum is at least `least`.
     """
 
     def total(batches):
         def rows():
             for (part,), group in rows_in_groups(batches, ["part"]):
-                sizes = [len(r["keys"]) // 8 for r in group]
-                keys = np.frombuffer(b"".join(r["keys"] for r in group), np.uint64)
-                given = np.frombuffer(b"".join(r["given"] for r in group), kind)
-                distinct, inverse = np.unique(keys, return_inverse=True)
+                keys = [_keys_unpacked(r["keys"]) for r in group]
+                sizes = [len(k) for k in keys]
+                given = np.concatenate([_from_planes(r["given"], kind) for r in group])
+                distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
                 sums = np.bincount(inverse, weights=given, minlength=len(distinct))
                 sums = (sums >= least).astype(np.int64) if kind == "f8" else sums.astype(np.int64)
                 seen, at = int((sums > 0).sum()), 0
