@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import azimuth_apart, cell
 from roadloom.params import DEFAULT, Params
+from roadloom.tables import checkpointed
 
 
 def near_pairs(points: DataFrame, others: DataFrame, radius_m: float = 20.0) -> DataFrame:
@@ -18,55 +22,138 @@ def near_pairs(points: DataFrame, others: DataFrame, radius_m: float = 20.0) ->
     return a.join(b, ["ce", "cn"]).withColumn("distance", distance).where(F.col("distance") <= radius_m).select("a_id", "b_id", "distance")
 
 
-def grid_dedup(features: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Features (seq, type, is_left, e, n, azimuth, length) without duplicates, in arrival order by seq.
+#: Rows of a round: a feature that isn't settled yet, or one that its cell holds.
+_ROUND = "type string, is_left boolean, tx long, ty long, what int, ce long, cn long, seq long, e double, n double, azimuth double, length long"
+_SETTLED = "what int, type string, is_left boolean, ce long, cn long, seq long, e double, n double, azimuth double, length long, other long"
+
+
+def grid_dedup(features: DataFrame, params: Params = DEFAULT, tile: int = 64, most_rounds: int = 1000) -> DataFrame:
+    """Features (seq, type, is_left, e, n, azimuth, length) without duplicates; the first in the order of seq wins.
+
+    A feature duplicates one that is held for its own cell or one beside it, in the order of these cells, if it is of its
+    type and side and within the radius and azimuth. Else it is kept, and its cell holds it from then on. The longer of
+    two duplicates is held; documented, it also takes the other's place among the kept (as_written: the first stays).
+
+    What a feature meets depends only on earlier ones at most two cells away. So the plane is cut into tiles, and in each
+    round a tile settles, in order, all features that have no unsettled earlier one within two cells, those of other
+    tiles' edges included: no two that could meet settle side by side. Tiles lie half a tile further in every other
+    round, so what waits at an edge is inside next. A task holds the features of a tile and the edges beside it.
 
-    A feature duplicates a kept one of its type and side within the radius and azimuth. One kept feature is held for
-    each cell; the longer of two duplicates stays (as_written: the first). Whether features meet depends only on
-    chains of neighbouring cells, so each (type, side) is split into islands of touching cells and each island is one
-    group: a popular type doesn't make one large task.
+    Defined cases: seq is unique; features without a place (null or NaN e or n) are kept as they are; null azimuths and
+    lengths never match and never replace; null types and sides are types and sides of their own; an empty table gives no
+    rows; other columns stay.
     """
-    from pyspark.sql import Window
-
-    keyed = features.withColumns({"_ce": cell(F.col("e"), params.cell_m), "_cn": cell(F.col("n"), params.cell_m)})
-    # islands along easting, then along northing inside these: coarser than touching cells, and two windows only
-    cells = keyed.select("type", "is_left", "_ce", "_cn").distinct()
-    w = Window.partitionBy("type", "is_left").orderBy("_ce")
-    cells = cells.withColumn("_g", F.sum(F.when(F.col("_ce") - F.lag("_ce").over(w) > 1, 1).otherwise(0)).over(w))
-    w = Window.partitionBy("type", "is_left", "_g").orderBy("_cn")
-    cells = cells.withColumn("_h", F.sum(F.when(F.col("_cn") - F.lag("_cn").over(w) > 1, 1).otherwise(0)).over(w))
-    placed = keyed.join(cells, ["type", "is_left", "_ce", "_cn"])
-
-    columns = list(features.columns)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[tuple, int] = {}
-        keep: list[int] = []
-        place: dict[int, int] = {}  # of a kept row in keep
-        rows = pdf.sort_values("seq", kind="stable").to_dict("records")
-        for i, r in enumerate(rows):
-            twin = None
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    at = (r["_ce"] + dx, r["_cn"] + dy)
-                    if twin is None and at in held:
-                        o = rows[held[at]]
-                        gap = abs(r["azimuth"] - o["azimuth"])
-                        gap = min(gap % 360, 360 - gap % 360) if params.documented else gap
-                        if (r["e"] - o["e"]) ** 2 + (r["n"] - o["n"]) ** 2 <= params.dedup_radius_m**2 and gap <= params.dedup_azimuth:
-                            twin = at
-            if twin is None:
-                held[r["_ce"], r["_cn"]] = i
-                place[i] = len(keep)
-                keep.append(i)
-            elif r["length"] > rows[held[twin]]["length"]:
-                if params.documented:
-                    place[i] = place.pop(held[twin])
-                    keep[place[i]] = i
-                held[twin] = i
-        return pd.DataFrame([rows[i] for i in keep], columns=columns)
-
-    return placed.groupBy("type", "is_left", "_g", "_h").applyInPandas(greedy, features.schema)
+    placed = F.col("e").isNotNull() & F.col("n").isNotNull() & ~F.isnan("e") & ~F.isnan("n")
+    slim = features.where(placed).select("type", F.col("is_left").cast("boolean").alias("is_left"), cell(F.col("e"), params.cell_m).cast("long").alias("ce"), cell(F.col("n"), params.cell_m).cast("long").alias("cn"), F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("e", "n", "azimuth")], F.col("length").cast("long").alias("length"))
+    columns = slim.columns
+    waiting, held, kept = slim, None, []
+    by = ["type", "is_left", "tx", "ty"]
+    for i in range(most_rounds):
+        rows = _in_tiles(waiting, 0, 2, tile, i)
+        if held is not None:
+            busy = rows.where("what = 0").select(*by).distinct()
+            near = _in_tiles(held, 2, 1, tile, i).alias("r")
+            rows = rows.unionByName(near.join(busy.alias("b"), _alike(by, "r", "b"), "left_semi"))
+        done = checkpointed(rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(_settle(params), _SETTLED))
+        kept.append(done.where("what = 0").select("seq", "other"))
+        waiting = done.where("what = 3").select(*columns)
+        if waiting.isEmpty():
+            break
+        new = done.where("what = 2").select(*columns)
+        if held is not None:
+            new = held.alias("h").join(new.alias("w"), _alike(["type", "is_left", "ce", "cn"], "h", "w"), "left_anti").select(*columns).unionByName(new)
+        held = checkpointed(new)
+    else:
+        raise RuntimeError("duplicates did not settle")
+    decided = kept[0]
+    for k in kept[1:]:
+        decided = decided.unionByName(k)
+    stays = decided.select("seq")
+    if params.documented:
+        stays = stays.join(decided.where("other is not null").select(F.col("other").alias("seq")), "seq", "left_anti")
+    lone = features.where(~placed)
+    return features.where(placed).join(stays, "seq", "left_semi").select(*features.columns).unionByName(lone)
+
+
+def _alike(columns: list[str], a: str, b: str) -> Column:
+    """Equal in these columns, nulls too."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def _in_tiles(rows: DataFrame, what: int, reach: int, tile: int, turn: int) -> DataFrame:
+    """rows in every tile that has a cell within `reach`; what is 0 (or as given) in a row's own tile, 1 in others."""
+    shift = (turn % 2) * (tile // 2)
+    at = lambda c, by: F.floor((F.col(c) - shift + by) / tile).cast("long")
+    spread = rows.withColumn("tx", F.explode(F.sequence(at("ce", -reach), at("ce", reach)))).withColumn("ty", F.explode(F.sequence(at("cn", -reach), at("cn", reach))))
+    own = (F.col("tx") == at("ce", 0)) & (F.col("ty") == at("cn", 0))
+    kind = F.when(own, 0).otherwise(1) if what == 0 else F.lit(what)
+    return spread.withColumn("what", kind).select("type", "is_left", "tx", "ty", "what", *[c for c in rows.columns if c not in ("type", "is_left")])
+
+
+def _settle(params: Params):
+    """Rows of tiles, sorted, to what becomes of them: 0 kept (other: the seq that it replaced), 1 a duplicate, 2 held by
+    a cell from now on, 3 still waiting."""
+    documented, radius, most, beside = params.documented, params.dedup_radius_m**2, params.dedup_azimuth, [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+    def meets(r, o) -> bool:
+        gap = abs(r.azimuth - o.azimuth)
+        gap = min(gap % 360, 360 - gap % 360) if documented else gap
+        return (r.e - o.e) ** 2 + (r.n - o.n) ** 2 <= radius and gap <= most
+
+    def one(rows: list) -> Iterator[tuple]:
+        held = {(r.ce, r.cn): r for r in rows if r.what == 2}
+        changed, blocked = set(), set()
+        for r in rows:
+            if r.what == 2:
+                continue
+            at = r.ce, r.cn
+            if r.what == 1:
+                blocked.add(at)
+                continue
+            if any((r.ce + x, r.cn + y) in blocked for x in range(-2, 3) for y in range(-2, 3)):
+                blocked.add(at)
+                yield (3, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, None)
+                continue
+            twin = next((c for c in ((r.ce + x, r.cn + y) for x, y in beside) if c in held and meets(r, held[c])), None)
+            longer = twin is not None and r.length > held[twin].length
+            if twin is None or longer and documented:
+                yield (0, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, held[twin].seq if longer else None)
+            else:
+                yield (1, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, None)
+            if twin is None or longer:
+                held[twin or at] = r
+                changed.add(twin or at)
+        for c in changed:
+            r = held[c]
+            yield (2, r.type, r.is_left, *c, r.seq, r.e, r.n, r.azimuth, r.length, None)
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in _SETTLED.split(", ")]
+        rows = (r for f in frames for r in f.itertuples(index=False))
+        out = []
+        for _, group in groupby(rows, key=lambda r: (r.type, _known(r.is_left), r.tx, r.ty)):
+            group = list(group)
+            if any(r.what == 0 for r in group):
+                out += one(group)
+            if len(out) > 10_000:
+                yield _frame(out, names)
+                out = []
+        yield _frame(out, names)
+
+    return settle
+
+
+def _known(v):
+    """A value for comparison: missing ones are alike."""
+    return None if v is None or v != v else bool(v)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    pdf = pd.DataFrame(rows, columns=names, dtype=object)
+    return pdf.astype({"what": "int32", "ce": "int64", "cn": "int64", "seq": "int64", "e": "float64", "n": "float64", "azimuth": "float64", "length": "Int64", "other": "Int64"})
 
 
 def azimuth_filter(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -40,6 +40,8 @@ class Params:
     snap_radius_m: float = 30.0
     line_m: float = 5.0
     turn_observations: int = 7
+    #: the tracker's turns are where the course changes by more than so many degrees; None: it has none
+    turn_change: float | None = None
 
     @property
     def documented(self) -> bool:
