@@ -149,13 +149,13 @@ class Block:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Counts in as few bytes as they need; the first byte says how many."""
+    """Counts in as few bytes as they need, compressed; the first byte says how many."""
     size = 1 if not len(values) or values.max() < 256 else 2 if values.max() < 65_536 else 4 if values.max() < 2**32 else 8
-    return bytes([size]) + values.astype(f"u{size}").tobytes()
+    return bytes([size]) + _planes(values.astype(f"u{size}"))
 
 
 def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64) for b in blobs] or [np.empty(0, np.int64)])
+    return np.concatenate([_from_planes(b[1:], f"u{b[0]}").astype(np.int64) for b in blobs] or [np.empty(0, np.int64)])
 
 
 def _asks(block: int, keys: np.ndarray, given: np.ndarray, bits: int) -> Iterator[tuple]:
@@ -243,7 +243,7 @@ def held_out_of(id_col: str, folds: int = 7, fold: int = 2) -> Column:
 
 def score_texts(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = 2, least: int = 4,
-    weight: float = 300.0, gain: float = 10.0, block_tokens: int = 1 << 20,
+    weight: float = 300.0, gain: float = 10.0, block_tokens: int = 1 << 19,
 ) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's chance).
 
