@@ -18,6 +18,8 @@ from roadloom.llm.common import forget, id_crc32, mix64, out_batches, partitions
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 #: Keys that a part of an exchange holds, about.
 PART = 1 << 21
+#: Gains are added up in so many parts of a nat.
+STEPS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOKENS = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("docs", pa.list_(pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("size", pa.int64()), ("lead", pa.int32())]))), ("trained", pa.int64()), ("tokens", pa.int64())])
 _TOKENS_SQL = "block long, words binary, ids binary, docs array<struct<row:long,doc_id:long,held:boolean,size:long,lead:int>>, trained long, tokens long"
@@ -167,11 +169,21 @@ def _asks(block: int, keys: np.ndarray, given: np.ndarray, bits: int) -> Iterato
             yield block, int(parts[a]), _keys_packed(keys[a:b]), _planes(given[a:b])
 
 
-def _exchanged(asked: DataFrame, kind: str, least: float, name: str) -> DataFrame:
+def _whole(gains: np.ndarray) -> np.ndarray:
+    """Gains as whole numbers of 1 / STEPS nats, the sign in the last bit: their sums don't depend on any order."""
+    n = np.rint(gains * STEPS).astype(np.int64)
+    return ((n << 1) ^ (n >> 63)).view(np.uint64)
+
+
+def _signed(n: np.ndarray) -> np.ndarray:
+    return (n >> np.uint64(1)).view(np.int64) ^ -(n & np.uint64(1)).view(np.int64)
+
+
+def _exchanged(asked: DataFrame, name: str, gain: float | None = None) -> DataFrame:
     """For the keys that blocks ask, what all blocks give to them, summed: one row a block, its parts in order.
 
-    Keys travel as compressed stretches, which numpy sums in the task of their part. kind: type of what is given; of floats
-    the answer is only whether the sum is at least `least`.
+    Keys travel as compressed stretches, which numpy sums in the task of their part. Counts are given, or with `gain` gains;
+    of these the answer is only whether their sum is at least that many nats.
     """
 
     def total(batches):
@@ -179,10 +191,10 @@ def _exchanged(asked: DataFrame, kind: str, least: float, name: str) -> DataFram
             for (part,), group in rows_in_groups(batches, ["part"]):
                 keys = [_keys_unpacked(r["keys"]) for r in group]
                 sizes = [len(k) for k in keys]
-                given = np.concatenate([_from_planes(r["given"], kind) for r in group])
+                given = np.concatenate([_from_planes(r["given"], "<u4") if gain is None else _signed(_from_planes(r["given"], "<u8")) for r in group])
                 distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
                 sums = np.bincount(inverse, weights=given, minlength=len(distinct))
-                sums = (sums >= least).astype(np.int64) if kind == "f8" else sums.astype(np.int64)
+                sums = sums.astype(np.int64) if gain is None else (sums >= gain * STEPS).astype(np.int64)
                 seen, at = int((sums > 0).sum()), 0
                 for r, n in zip(group, sizes):
                     yield r["block"], part, _packed(sums[inverse[at : at + n]]), seen
@@ -281,7 +293,7 @@ def score_texts(
 
     answers: list[DataFrame] = []
     for k in range(depth + 1):
-        answers.append(_exchanged(_known(tokens, answers).mapInArrow(ask, _ASKED_SQL), "u4", 0, f"pst-counts-{k}"))
+        answers.append(_exchanged(_known(tokens, answers).mapInArrow(ask, _ASKED_SQL), f"pst-counts-{k}"))
     v = answers[0].agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
 
     def diverge(batches):
@@ -300,11 +312,11 @@ def score_texts(
                     below = now
                 if contexts:
                     keys, inverse = np.unique(np.concatenate(contexts), return_inverse=True)
-                    yield from _asks(block.block, keys, np.bincount(inverse, weights=np.concatenate(gains), minlength=len(keys)), bits)
+                    yield from _asks(block.block, keys, _whole(np.bincount(inverse, weights=np.concatenate(gains), minlength=len(keys))), bits)
 
         yield from out_batches(rows(), _ASKED, 256)
 
-    retained = _exchanged(_known(tokens, answers).mapInArrow(diverge, _ASKED_SQL), "f8", gain, "pst-retained")
+    retained = _exchanged(_known(tokens, answers).mapInArrow(diverge, _ASKED_SQL), "pst-retained", gain)
 
     def score(batches):
         def rows():
