@@ -67,6 +67,12 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df written with rep: a number for each row that ascends with these columns. One id may stand on several rows."""
+    rows = df.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+    return written(rows.withColumn("rep", F.monotonically_increasing_id()), name)
+
+
 def private(*taken: str) -> str:
     """A prefix that none of these column names starts with."""
     mark = "_"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.cluster_links import cluster_links
-from roadloom.llm.common import by_sorted_groups, out_batches, rows_in_groups, written
-from roadloom.llm.graph import components
+from roadloom.llm.common import by_sorted_groups, out_batches, ranked, rows_in_groups, written
+from roadloom.llm.graph import component_ids, components
 from roadloom.llm.vectors import bounded_sample, matrix, unit, valid_vector
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -127,7 +127,8 @@ def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_
     Equal vectors are one representative throughout.
 
     Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with
-    nothing; vectors of other lengths compare as if ended by zeros; repeated rows are vectors of their own;
+    nothing; vectors of other lengths compare as if ended by zeros; repeated rows are vectors of their own, and so are
+    rows of one id with other vectors;
     null ids are dropped (a row without an id can't be reported); an empty table gives no rows; other
     columns are ignored.
     """
@@ -135,8 +136,8 @@ def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where("vec_id is not null")
     usable = valid_vector("v") & F.exists("v", lambda x: x != 0)
     good = rows.where(usable)
-    reps = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "itq-reps")
-    fit = unit(matrix(pa.array([r.v for r in bounded_sample(reps.select("rep", "v"), "rep", sample).collect()] or [[0.0]])))
+    reps = ranked(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), ["id", "v"], "itq-reps")
+    fit = unit(matrix(pa.array([r.v for r in bounded_sample(reps.select("id", "v"), "id", sample).collect()] or [[0.0]])))
     turn = learn_rotation(fit, 64)
 
     def encode(batches):
@@ -164,7 +165,8 @@ def near_dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_
     found = written(cluster_links(members, linked, block), "itq-links")
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "itq-components")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    state = reps.join(links, "rep", "left").join(joined, reps.rep == joined.node, "left").select("v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = component_ids(joined, reps)
+    state = reps.join(links, "rep", "left").join(named, reps.rep == named.node, "left").select("v", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = good.join(state, "v").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

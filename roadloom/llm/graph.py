@@ -52,3 +52,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         raise RuntimeError("components did not converge")
     roots = now.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def component_ids(joined: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component_id) of components() over numbers that ascend with ids: the smallest node's id. nodes: rep, id."""
+    return joined.join(nodes.select(F.col("rep").alias("component"), F.col("id").alias("component_id")), "component").select("node", "component_id")

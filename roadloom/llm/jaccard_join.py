@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.cluster_links import cluster_links
-from roadloom.llm.common import mix64, window_hashes, word_hashes, written
-from roadloom.llm.graph import components
+from roadloom.llm.common import mix64, ranked, window_hashes, word_hashes, written
+from roadloom.llm.graph import component_ids, components
 
 _WORD = re.compile(r"\w+")
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -100,7 +100,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     all pairs are verified on full n-gram sets, in blocks.
 
     Defined cases: null and empty texts and texts without words link with nothing; shorter texts than n words
-    are one shingle; repeated rows are documents of their own (equal sets, so linked); null ids are dropped;
+    are one shingle; repeated rows are documents of their own (equal sets, so linked), and so are rows of one id with
+    other texts; null ids are dropped;
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -118,13 +119,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([band_hashes(s, bands, rows, seeds) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=_SIGNED)
 
     signed = written(base.mapInArrow(sign, "doc_id long, set_id binary, bands array<long>"), "minhash-signed")
-    classes = written(signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "minhash-classes")
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
+    classes = ranked(sets, ["id", "set_id"], "minhash-classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     heads = banded.groupBy("band", "h").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "h", "head")
     edges = banded.join(heads, ["band", "h"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     clusters = components(edges, "minhash-candidates")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "component").join(classes.select("rep", "weight", "set_id"), clusters.node == F.col("rep")).select(F.col("component").alias("cluster"), "size", "rep", "weight", "set_id")
+    placed = clusters.join(sizes, "component").join(classes.select("rep", "id", "weight", "set_id"), clusters.node == F.col("rep")).select(F.col("component").alias("cluster"), "size", "rep", "id", "weight", "set_id")
 
     def grams(batches):
         for b in batches:
@@ -135,12 +137,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 same = [set_id(s) == i for s, i in zip(part.column("item").to_pylist(), part.column("set_id").to_pylist())]
                 yield part.filter(pa.array(same, pa.bool_()))
 
-    # a representative's id may repeat with other texts: the set decides which row is meant
-    fetched = placed.join(base, placed.rep == base.doc_id).select("cluster", "size", "rep", "weight", "set_id", "text")
+    # an id may stand on several texts: the set decides which row is meant
+    fetched = placed.join(base, placed.id == base.doc_id).select("cluster", "size", "rep", "weight", "set_id", "text")
     members = fetched.mapInArrow(grams, "cluster long, size long, rep long, weight long, set_id binary, item binary").dropDuplicates(["rep"]).drop("set_id")
     found = written(cluster_links(members, lambda a, b: similar(a, b, threshold), block), "minhash-links")
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "minhash-components")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    state = classes.select("set_id", "rep", "weight").join(links, "rep", "left").join(joined, F.col("rep") == joined.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = component_ids(joined, classes)
+    state = classes.select("set_id", "rep", "id", "weight").join(links, "rep", "left").join(named, F.col("rep") == named.node, "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = signed.select("doc_id", "set_id").join(state, "set_id", "left")
     return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

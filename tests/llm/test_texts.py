@@ -274,3 +274,13 @@ def test_filter_grows_with_the_rules(spark):
 
 def test_urls_same_as_sql(spark, sf_dir, duck, same_rows):
     assert same_rows(QUERIES["op7_url_filter"](spark, sf_dir), duck, ORACLE["op7_url_filter"])
+
+
+def test_one_id_on_two_texts(spark, docs, words):
+    """Both texts of an id keep their links."""
+    r = random.Random(12)
+    a, b = ([r.choice(words) for _ in range(200)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-2], "other", "end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (7, near(b)), (3, near(b) + " more"), (8, "alone here")]
+    got = sorted((x.doc_id, x.n_links, x.component_id, x.kept) for x in jaccard_join.jaccard_join(docs(rows)).collect())
+    assert got == [(3, 3, 3, True), (5, 1, 5, True), (5, 3, 3, False), (6, 1, 5, False), (7, 3, 3, False), (7, 3, 3, False), (8, 0, 8, True)]

@@ -156,3 +156,11 @@ def test_top_k_bounds_beyond_64_bits():
 
 def test_top_k_same_as_sql(spark, sf_dir, duck, same_rows):
     assert same_rows(QUERIES["op4_topk_search"](spark, sf_dir), duck, ORACLE["op4_topk_search"])
+
+
+def test_one_id_on_two_vectors(spark):
+    """Both vectors of an id keep their links; null ids go."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(5, a), (5, b), (6, [1.0, 0.1, 0.0, 0.0]), (7, [0.1, 1.0, 0.0, 0.0]), (3, [0.1, 1.0, 0.0, 0.01]), (None, a), (9, [0.0, 0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_dedup_embeddings(table(spark, rows)).collect())
+    assert got == [(3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (6, 1, 5, False), (7, 2, 3, False), (9, 0, 9, True)]
