@@ -72,11 +72,6 @@ def export(features: DataFrame, path: str) -> str:
     return path
 
 
-def push(stream: DataFrame, send, checkpoint: str):
-    """Start a query that hands each micro-batch of a stream to send(batch, number): sinks for positions and new signs."""
-    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
-
-
 def jump(frame_seconds: int, frames_per_second: int = 60) -> int:
     """The absolute frame that a position in seconds means."""
     return frame_seconds * frames_per_second

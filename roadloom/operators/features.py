@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.catalog import LANE_CLASS, TYPES_WITH_TEXT, sign_codes
+from roadloom.catalog import LANE_CLASS, sign_codes
 from roadloom.functions import geo
 from roadloom.operators import turns as turns_
-from roadloom.functions.scalars import bool_text, list_text, time_text
+from roadloom.functions.scalars import time_text
 from roadloom.params import DEFAULT, Params
 
 
@@ -91,19 +91,3 @@ def video_columns(tracks: DataFrame, videos: DataFrame, mean_frame: str = "mean_
     out = tracks.withColumn("video", F.floor(F.col(mean_frame) / params.frames_per_video).cast("long"))
     local = F.floor(F.pmod(F.col(mean_frame), F.lit(float(params.frames_per_video)))).cast("long")
     return out.join(videos, "video", "left").withColumns({"name_video": F.coalesce("name_video", F.lit("unknown")), "time": time_text(local)}).drop("video")
-
-
-def to_features(tracks: DataFrame) -> DataFrame:
-    """geometry and properties as stored: everything text but the code; text pairs only for types with text.
-
-    The id is a hash of the track's identity and line, so that a rerun gives the same one.
-    """
-    arrays = [("pixel_coordinates_x", "xs"), ("frame_numbers", "frames")]
-    text = F.when(F.col("number_sign").isin(*TYPES_WITH_TEXT), F.coalesce(F.col("text") if "text" in tracks.columns else F.lit(""), F.lit("")))
-    props = F.struct(
-        F.col("number_sign").alias("type"), F.col("observations").cast("string").alias("length"), bool_text(F.col("is_side")).alias("side"), bool_text(F.col("is_left")).alias("left"),
-        F.col("slot").cast("string").alias("num"), *[list_text(F.col(c)).alias(n) for n, c in arrays], F.col("azimuth").cast("string").alias("azimuth"),
-        F.substring(F.sha2(F.concat_ws("|", "drive_id", "track_id", "number_sign", "lat1", "lon1"), 256), 1, 32).alias("id"), F.col("code").alias("code"), text.alias("MVALUE"), text.alias("SEM250"),
-    )
-    line = F.array(F.array("lon1", "lat1"), F.array("lon2", "lat2"))
-    return tracks.select(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry"), props.alias("properties"))

@@ -20,19 +20,40 @@ def segments(ways: DataFrame) -> DataFrame:
     return ways.where(F.size("nodes") >= 2).select("way_id", "name", F.explode(pairs).alias("p")).select("way_id", "p.seg", "name", F.col("p.a.lat").alias("lat1"), F.col("p.a.lon").alias("lon1"), F.col("p.b.lat").alias("lat2"), F.col("p.b.lon").alias("lon2"))
 
 
+def _size(radius: float) -> float:
+    """Degrees of a cell's side."""
+    return max(2 * radius, 100.0) / DEGREE_M
+
+
+def road_cells(segs: DataFrame, radius: float) -> DataFrame:
+    """segs in every cell (r, c) within the radius: those along the line, row by row, not all of its box.
+
+    In each row of cells a segment keeps the stretch that the row, grown by the radius, cuts out; its columns are those of
+    this stretch, grown in turn. So a segment has as many cells as it is long.
+    """
+    size, reach = _size(radius), radius / DEGREE_M
+    at = lambda c: F.floor(c / size).cast("long")
+    highest = F.greatest(F.abs("lat1"), F.abs("lat2"))
+    wide = reach / F.greatest(F.cos(F.radians(highest + reach)), F.lit(0.01))
+    rows = segs.withColumn("r", F.explode(F.sequence(at(F.least("lat1", "lat2") - reach), at(F.greatest("lat1", "lat2") + reach))))
+    rise = F.col("lat2") - F.col("lat1")
+    # how far along the segment the row's edges are, from 0 to 1
+    share = lambda lat, level: F.when(rise == 0, level).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - F.col("lat1")) / rise)))
+    low, high = share(F.col("r") * size - reach, 0.0), share((F.col("r") + 1) * size + reach, 1.0)
+    cut = rows.withColumns({"_t0": F.least(low, high), "_t1": F.greatest(low, high)})
+    lon = lambda t: F.col("lon1") + F.col(t) * (F.col("lon2") - F.col("lon1"))
+    ends = cut.withColumns({"_a": F.least(lon("_t0"), lon("_t1")) - wide, "_b": F.greatest(lon("_t0"), lon("_t1")) + wide})
+    return ends.withColumn("c", F.explode(F.sequence(at(F.col("_a")), at(F.col("_b"))))).drop("_t0", "_t1", "_a", "_b")
+
+
 def snap(points: DataFrame, segs: DataFrame, params: Params = DEFAULT, radius_m: float | None = None) -> DataFrame:
     """points (point_id, lat, lon) with the nearest segment within the radius: an equi-join on grid cells.
 
-    A segment is listed in every cell that its box, grown by the radius, touches; a point looks into its own
-    cell alone. Ties go to the smaller way, then segment. Points without a road in reach keep nulls.
+    A segment is listed in every cell along it within the radius; a point looks into its own cell alone. Ties go to the smaller way, then segment. Points without a road in reach keep nulls.
     """
     radius = params.snap_radius_m if radius_m is None else radius_m
-    size = max(2 * radius, 100.0) / DEGREE_M  # degrees of latitude
-    reach = radius / DEGREE_M
-    lat_cell = lambda c: F.floor(c / size).cast("long")
-    wide = lambda lat: reach / F.greatest(F.cos(F.radians(F.abs(lat) + reach)), F.lit(0.01))
-    grown = segs.select("*", lat_cell(F.least("lat1", "lat2") - reach).alias("r0"), lat_cell(F.greatest("lat1", "lat2") + reach).alias("r1"), lat_cell(F.least("lon1", "lon2") - wide(F.greatest(F.abs("lat1"), F.abs("lat2")))).alias("c0"), lat_cell(F.greatest("lon1", "lon2") + wide(F.greatest(F.abs("lat1"), F.abs("lat2")))).alias("c1"))
-    placed = grown.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1"))).drop("r0", "r1", "c0", "c1")
+    placed = road_cells(segs, radius)
+    lat_cell = lambda c: F.floor(c / _size(radius)).cast("long")
     at = points.select("point_id", "lat", "lon", lat_cell(F.col("lat")).alias("r"), lat_cell(F.col("lon")).alias("c"))
     met = at.join(placed, ["r", "c"])
     plat, plon = project_on_segment(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.catalog import LANE_DIRECTIONS
 from roadloom.functions import geo, scalars
-from roadloom.operators import align, clean, dedup, features, fuzzy, review, snap, tracker, tracks, turns
+from roadloom.operators import align, clean, dedup, features, fuzzy, layer, review, snap, tracker, tracks, turns
+from roadloom.params import DEFAULT
 from roadloom.plans.views import DET_SQL, ROADS_SQL, detections, placed, road_ways, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,3 +506,66 @@ def lane_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     direction = F.element_at(F.array(*map(F.lit, ("left", "right", "back", "none"))), (k % 4 + 1).cast("int"))
     a = detections(spark, sf_dir).select("drive_id", "scene_id", F.col("det_id").alias("seq"), direction.alias("direction"), F.array(F.array(cell(0), cell(1)), F.array(cell(2), cell(3))).alias("mask"), F.lit(2).alias("w"), F.lit(2).alias("h"), F.array(F.lit(1), F.when(k % 7 < 4, 0).otherwise(1), F.lit(1)).alias("centre_row"))
     return lanes.lane_types(a, ["drive_id", "scene_id"])
+
+
+TURNING = replace(DEFAULT, turn_change=45.0)
+
+
+@query(f"""with {DET_SQL}, a as (select drive_id, frame, course, course - lag(course) over (partition by drive_id order by frame) as d from det), o as (select *, coalesce(abs(case when d > 180 then d - 360 when d < -180 then d + 360 else d end) > 45, false) as on_turn from a),
+b as (select *, on_turn and not coalesce(lag(on_turn) over (partition by drive_id order by frame), false) as opens from o), g as (select *, sum(case when opens then 1 else 0 end) over (partition by drive_id order by frame) as turn_id from b),
+t as (select drive_id, turn_id, min(frame) as first_frame, max(frame) as last_frame, count(*) as points, arg_min(course, frame) as a0, arg_max(course, frame) as a1, array_to_string(list(cast(course as int) order by frame), ',') as azimuths from g where on_turn group by 1, 2 having count(*) > 1)
+select drive_id, turn_id, first_frame, last_frame, points, azimuths, case when (case when a1 - a0 > 180 then a1 - a0 - 360 when a1 - a0 < -180 then a1 - a0 + 360 else a1 - a0 end) >= 0 then 'right' else 'left' end as direction from t""")
+def tracker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns that the tracker gives beside its tracks."""
+    t = tracker.tracks_and_turns(_tracker_input(spark, sf_dir), TURNING).where("kind = 'turn'")
+    return t.select("drive_id", "turn_id", "first_frame", "last_frame", F.size("frames").cast("long").alias("points"), F.array_join(F.transform("azimuths", lambda a: a.cast("int").cast("string")), ",").alias("azimuths"), F.col("turn_direction").alias("direction"))
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select((F.col("s_suppkey") - 1).alias("video"), F.col("s_name").alias("name_video"))
+
+
+def _event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event classes as known types: all but those that end in .2."""
+    return detections(spark, sf_dir).select(F.col("number_sign").alias("type")).distinct().where(~F.col("type").endswith(".2")).withColumn("code", F.length("type").cast("string"))
+
+
+@query(f"""with {DET_SQL}, c as (select drive_id, name_sign, number_sign, count(*) as n, min(frame) as f from det group by 1, 2, 3), r as (select *, row_number() over (partition by drive_id, name_sign order by n desc, f) as k from c),
+x as (select drive_id, name_sign, case when k % 4 = 0 then null else concat('n', k % 3) end as t, frame from det), y as (select drive_id, name_sign, t, count(*) as n, min(frame) as f, sum(count(*)) over (partition by drive_id, name_sign) as every from x where t is not null group by 1, 2, 3),
+z as (select *, row_number() over (partition by drive_id, name_sign order by n desc, f) as k from y),
+o as (select drive_id, name_sign, count(*) as n, array_to_string(list(case when is_side then 'True' else 'False' end order by frame), ', ') as sides, array_to_string(list(x order by frame), ', ') as xs, array_to_string(list(y order by frame), ', ') as ys, array_to_string(list(w order by frame), ', ') as ws,
+ array_to_string(list(h order by frame), ', ') as hs, array_to_string(list(lon order by frame), ', ') as es, array_to_string(list(lat order by frame), ', ') as ns, array_to_string(list(frame order by frame), ', ') as fs, array_to_string(list(frame * 40 order by frame), ', ') as afs, sum(frame * 40) / count(*) as mean, max(frame * 40) as num, max(course) as azimuth, max(lat) as lat1, max(lon) as lon1 from det group by 1, 2),
+v as (select s_suppkey - 1 as video, s_name as name_video from supplier where s_suppkey <= 5)
+select o.drive_id, o.name_sign, r.number_sign as type, cast(o.n as varchar) as length, concat('[', sides, ']') as side, case when o.n % 2 = 0 then 'left' else 'straight' end as turn, case when o.n % 3 = 0 then 'True' else 'False' end as "left", cast(num as varchar) as num, concat('[', xs, ']') as pixel_coordinates_x, concat('[', ys, ']') as pixel_coordinates_y,
+ concat('[', hs, ']') as h, concat('[', ws, ']') as w, concat('[', es, ']') as car_coordinates_x, concat('[', ns, ']') as car_coordinates_y, concat('[', fs, ']') as frame_numbers, concat('[', afs, ']') as absolute_frame_numbers, cast(azimuth as varchar) as azimuth,
+ substr(sha256(concat_ws('|', o.drive_id, o.name_sign, r.number_sign, lat1, lon1)), 1, 32) as id, printf('%d:%02d', cast(floor(mean) as bigint) % 63600 // 3600, cast(floor(mean) as bigint) % 63600 // 60 % 60) as time, coalesce(name_video, 'unknown') as name_video,
+ case when r.number_sign = '3.24' then case when z.every > 4 then z.t else '' end end as "MVALUE", case when r.number_sign = '3.24' then case when z.every > 4 then z.t else '' end end as "SEM250", 7 as code
+from o join (select drive_id, name_sign, case when number_sign like '%.1' then '3.24' else number_sign end as number_sign from r where k = 1) r using (drive_id, name_sign) left join z on z.drive_id = o.drive_id and z.name_sign = o.name_sign and z.k = 1 left join v on v.video = cast(floor(mean) as bigint) // 63600""")
+def stored_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 21 properties of stored features, of each drive's detections of a class as a track."""
+    k = F.col("k")
+    d = detections(spark, sf_dir).withColumns({"car_e": F.col("lon"), "car_n": F.col("lat"), "frame_number": F.col("frame"), "abs_frame": F.col("frame") * 40, "text": F.when(k % 4 != 0, F.concat(F.lit("n"), (k % 3).cast("string")))})
+    lists = tracks.accumulate(d, KEYS, "frame").select(*KEYS, "xs", "ys", "ws", "hs", "car_es", "car_ns", F.col("frame_numbers").alias("frames"), "abs_frames", F.col("is_sides").alias("sides"), "texts")
+    own = d.groupBy(*KEYS).agg(F.count("*").alias("observations"), F.max("course").alias("azimuth"), F.max("lat").alias("lat1"), F.max("lon").alias("lon1"), F.max("abs_frame").alias("num"))
+    t = tracks.mode_vote(d, KEYS, "number_sign", "frame").join(lists, KEYS).join(own, KEYS)
+    n = F.col("observations")
+    t = t.withColumns({"number_sign": F.when(F.col("best").endswith(".1"), "3.24").otherwise(F.col("best")), "turn_direction": F.when(n % 2 == 0, "left").otherwise("straight"), "is_left": n % 3 == 0, "track_id": F.col("name_sign"), "lat2": F.col("lat1"), "lon2": F.col("lon1"), "code": F.lit(7)})
+    return layer.stored(t, _videos(spark, sf_dir)).select(*KEYS, "properties.*")
+
+
+@query()
+def sign_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections to the stored layer, turns included."""
+    d = _tracker_input(spark, sf_dir).withColumn("abs_frame", F.col("frame") * 40)
+    made = layer.sign_layer(d, snap.segments(road_ways(spark, sf_dir)), _videos(spark, sf_dir), _event_codes(spark, sf_dir), TURNING)
+    return made.select("properties.*", F.to_json("geometry").alias("geometry"))
+
+
+@query("select c_custkey as id, c_name as name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' or o_custkey % 2 = 0)")
+def feature_delete_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with urgent orders go, and those with even keys that have any."""
+    from roadloom import api
+
+    f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    gone = table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_custkey") % 2 == 0))
+    return api.delete(f, gone.select(F.col("o_custkey").alias("id")))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.tables import checkpointed
+
 SCHEMA = "_lat double, _lon double, ele double, time string, course double, speed double"
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """drive_id (hash of the file), idx (document order), lat, lon, course, speed, elevation; missing values are 0.
 
-    Uses the built-in XML reader. A file is one split here, so the order of its rows is the document's.
+    Uses the built-in XML reader. Rows are numbered in each split of a file, from the counts of the splits before, so no task
+    orders a whole file that Spark splits.
     """
     raw = spark.read.format("xml").option("rowTag", "trkpt").option("mode", "DROPMALFORMED").schema(SCHEMA).load(path)
-    rows = raw.withColumn("file", F.input_file_name()).withColumn("_o", F.monotonically_increasing_id()).where("_lat is not null and _lon is not null")
-    idx = F.row_number().over(Window.partitionBy("file").orderBy("_o")) - 1
+    rows = raw.select("*", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_o", F.monotonically_increasing_id()).where("_lat is not null and _lon is not null")
+    rows = checkpointed(rows)
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_block = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_o")) - 1
+    rows = rows.withColumn("_in", in_block).join(blocks.withColumn("_before", before), ["file", "_block"])
+    idx = F.col("_before") + F.col("_in")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(F.xxhash64("file").alias("drive_id"), idx.cast("long").alias("idx"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), zero("course").alias("course"), zero("speed").alias("speed"), zero("ele").alias("elevation"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.tables import numbered
+
 ELEMENT = "struct<type:string,id:bigint,geometry:array<struct<lat:double,lon:double>>,tags:map<string,string>>"
 
 
@@ -28,8 +30,5 @@ def frame_count(videos: DataFrame) -> DataFrame:
 
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:
     """video (from 0, by name), name_video, path, bytes of a folder's .mp4 files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][pP]4").load(folder).select("path", F.col("length").alias("bytes"))
-    from pyspark.sql import Window
-
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumn("name_video", name).withColumn("video", (F.row_number().over(Window.orderBy("name_video")) - 1).cast("long")).select("video", "name_video", "path", "bytes")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][pP]4").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name_video"), "path", F.col("length").alias("bytes"))
+    return numbered(files, ["name_video", "path"], "video").select("video", "name_video", "path", "bytes")
