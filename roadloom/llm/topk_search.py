@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import out_batches, partitions, rows_in_groups, written
 from roadloom.llm.vectors import bounded_sample, matrix, valid_vector
 
-_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("index", pa.binary()), ("query_ids", pa.binary()), ("floors", pa.binary())])
-_HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("index", pa.binary()), ("query_ids", pa.binary()), ("query_hashes", pa.binary()), ("floors", pa.binary())])
+_HIT = pa.schema([("query_id", pa.int64()), ("query_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def integer_terms(col: str, scale: int = 64) -> Column:
@@ -70,11 +70,11 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     Defined cases: vectors that are null, empty or hold null or non-finite components take no part; shorter
     vectors end in zeros; a term or a compared score that doesn't fit 64 bits raises OverflowError in its task; ties go to the smaller
     vec_id; repeated rows are candidates of their own, but a query never meets rows of its own id, and
-    repeated queries answer once; null ids take no part; with fewer candidates than k all are returned; an
+    repeated queries (id and vector) answer once, and vectors of one id answer each; null ids take no part; with fewer candidates than k all are returned; an
     empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & valid_vector("v")).select("vec_id", integer_terms("v", scale).alias("terms"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & valid_vector("v")).select("vec_id", integer_terms("v", scale).alias("terms")).withColumn("hash", F.xxhash64("terms"))
     fit = matrix(pa.array([r.terms for r in bounded_sample(rows, "vec_id", sample).collect()] or [[0]]))
     fit = fit - fit.mean(axis=0)
     fit /= max(1.0, float(np.abs(fit).max()))
@@ -98,12 +98,12 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             for j in asked:
                 own = scores_of(x[j : j + 1], x[ids != ids[j]])[0]
                 floors.append(int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else -(2**63))
-            return base + i, len(rs), x.shape[1], ids.tobytes(), x.tobytes(), np.array(asked, np.int64).tobytes(), np.array(floors, np.int64).tobytes()
+            return base + i, len(rs), x.shape[1], ids.tobytes(), x.tobytes(), np.array(asked, np.int64).tobytes(), np.array([rs[j][2] for j in asked], np.int64).tobytes(), np.array(floors, np.int64).tobytes()
 
         def made():
             nonlocal i, held
             for b in batches:
-                for r in zip(b.column("vec_id").to_pylist(), b.column("terms").to_pylist()):
+                for r in zip(b.column("vec_id").to_pylist(), b.column("terms").to_pylist(), b.column("hash").to_pylist()):
                     held.append(r)
                     if len(held) == block_rows:
                         yield close(held)
@@ -113,14 +113,14 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
         yield from out_batches(made(), _BLOCK, 64)
 
-    blocks = written(ordered.mapInArrow(cut, "block long, n int, width int, ids binary, index binary, query_ids binary, floors binary"), "topk-blocks")
+    blocks = written(ordered.mapInArrow(cut, "block long, n int, width int, ids binary, index binary, query_ids binary, query_hashes binary, floors binary"), "topk-blocks")
     n_blocks, n_queries = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("query_ids") / 8), F.lit(0.0))).first()
     groups, chunks = max(1, -(-n_blocks // group_blocks)), max(1, -(-int(n_queries) // chunk))
     group_of = F.pmod(F.xxhash64("block"), F.lit(groups))
     chunk_of = F.pmod(F.xxhash64(F.lit(5), "block"), F.lit(chunks))
     # a block of the index goes to all chunks of queries; its queries go to all groups of blocks
-    index = blocks.select(group_of.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.lit(0).alias("asks"), "block", "width", "ids", "index", F.lit(None).cast("binary").alias("query_ids"), F.lit(None).cast("binary").alias("floors"))
-    asks = blocks.where(F.length("query_ids") > 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), chunk_of.alias("c"), F.lit(1).alias("asks"), "block", "width", "ids", "index", "query_ids", "floors")
+    index = blocks.select(group_of.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.lit(0).alias("asks"), "block", "width", "ids", "index", *[F.lit(None).cast("binary").alias(c) for c in ("query_ids", "query_hashes", "floors")])
+    asks = blocks.where(F.length("query_ids") > 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), chunk_of.alias("c"), F.lit(1).alias("asks"), "block", "width", "ids", "index", "query_ids", "query_hashes", "floors")
     asks = asks.mapInArrow(_only_queries, asks.schema)
 
     def search(batches):
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
                 if not held or not ask:
                     continue
                 q = np.vstack([terms(r) for r in ask])
-                qid = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in ask])
+                qid, qhash = (np.concatenate([np.frombuffer(r[c], np.int64) for r in ask]) for c in ("ids", "query_hashes"))
                 floor = np.concatenate([np.frombuffer(r["floors"], np.int64) for r in ask])
                 bounds = block_bounds(q, np.vstack([x.max(axis=0) for _, x in held]), np.vstack([x.min(axis=0) for _, x in held]))
                 order = np.argsort(-bounds, axis=1, kind="stable")
@@ -157,17 +157,17 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
                             score, ids = score[at], ids[at]
                             if len(score) == k:
                                 kth = max(kth, int(score[-1]))
-                    yield from zip([int(qid[i])] * len(ids), ids.tolist(), score.tolist())
+                    yield from zip([int(qid[i])] * len(ids), [int(qhash[i])] * len(ids), ids.tolist(), score.tolist())
 
         yield from out_batches(hits(), _HIT)
 
     pairs = index.union(asks)
     n = max(partitions(spark), 1)
-    found = pairs.repartition(n, "g", "c").sortWithinPartitions("g", "c").mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "_copy")
-    found = found.groupBy("query_id", "vec_id", "score").agg(F.count("*").alias("_n"))
-    asked_twice = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("_asked"))
-    found = found.join(asked_twice, "query_id").select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.expr("_n div _asked"))).cast("int"))).alias("_copy"))
+    found = pairs.repartition(n, "g", "c").sortWithinPartitions("g", "c").mapInArrow(search, "query_id long, query_hash long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id", "_copy")
+    found = found.groupBy("query_id", "query_hash", "vec_id", "score").agg(F.count("*").alias("_n"))
+    asked_twice = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash")).agg(F.count("*").alias("_asked"))
+    found = found.join(asked_twice, ["query_id", "query_hash"]).select("query_id", "query_hash", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.expr("_n div _asked"))).cast("int"))).alias("_copy"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -164,3 +164,11 @@ def test_one_id_on_two_vectors(spark):
     rows = [(5, a), (5, b), (6, [1.0, 0.1, 0.0, 0.0]), (7, [0.1, 1.0, 0.0, 0.0]), (3, [0.1, 1.0, 0.0, 0.01]), (None, a), (9, [0.0, 0.0, 0.0, 1.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_dedup_embeddings(table(spark, rows)).collect())
     assert got == [(3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (6, 1, 5, False), (7, 2, 3, False), (9, 0, 9, True)]
+
+
+def test_top_k_of_one_id_with_two_vectors(spark):
+    """Each vector of an id has its own list; a repeated row answers once."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(20, a), (20, b), (20, b), (1, [0.9, 0.1]), (2, [0.1, 0.9]), (2, [0.1, 0.9]), (None, a)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(table(spark, rows), k=2).collect())
+    assert got == sorted([(20, 1, 1, 57 * 64), (20, 2, 2, 6 * 64), (20, 1, 2, 57 * 64), (20, 2, 2, 57 * 64)])
