@@ -40,8 +40,8 @@ def min_cost_flow(supply: dict, quota: dict, costs: Sequence[int]) -> dict:
     """Words that each (pattern, source) carries: as much of every quota as fits, at least repetition cost.
 
     supply: pattern (a tuple of its sources) -> words of one reading. Reading a pattern once, twice, ... costs
-    costs[0], costs[1], ... a word; costs must not fall. Successive shortest paths with potentials; each
-    path fills an edge, so the work depends on the number of patterns and sources alone.
+    costs[0], costs[1], ... a word; costs must not fall. Potentials come from shortest paths; as costs are few, so are
+    their distances, and for each of these all paths of that cost are filled together, level by level.
     """
     start, end = ("start",), ("end",)
     edges: list[list] = []  # to, room, cost
@@ -62,7 +62,7 @@ def min_cost_flow(supply: dict, quota: dict, costs: Sequence[int]) -> dict:
         add(("s", s), end, words, 0)
     potential = dict.fromkeys(out, 0)
     while True:
-        far, via, heap, tick = {start: 0}, {}, [(0, 0, start)], 0
+        far, heap, tick = {start: 0}, [(0, 0, start)], 0
         while heap:
             d, _, u = heapq.heappop(heap)
             if d > far[u]:
@@ -70,20 +70,14 @@ def min_cost_flow(supply: dict, quota: dict, costs: Sequence[int]) -> dict:
             for e in out.get(u, ()):
                 v, room, cost = edges[e]
                 if room > 0 and (nd := d + cost + potential[u] - potential[v]) < far.get(v, float("inf")):
-                    far[v], via[v], tick = nd, e, tick + 1
+                    far[v], tick = nd, tick + 1
                     heapq.heappush(heap, (nd, tick, v))
         if end not in far:
             break
-        for u, d in far.items():
-            potential[u] += d
-        path, u = [], end
-        while u != start:
-            path.append(via[u])
-            u = edges[via[u] ^ 1][0]
-        room = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= room
-            edges[e ^ 1][1] += room
+        for u in potential:
+            potential[u] += min(far.get(u, far[end]), far[end])
+        while _blocked(out, edges, potential, start, end):
+            pass
     flow = {}
     for p in supply:
         for e in out[("p", p)]:
@@ -93,6 +87,47 @@ def min_cost_flow(supply: dict, quota: dict, costs: Sequence[int]) -> dict:
     return flow
 
 
+def _blocked(out: dict, edges: list[list], potential: dict, start: tuple, end: tuple) -> bool:
+    """Fill the fewest-edged paths whose edges cost nothing beside the potentials; False if there is none."""
+    level, wave = {start: 0}, [start]
+    while wave and end not in level:
+        after = []
+        for u in wave:
+            for e in out.get(u, ()):
+                v, room, cost = edges[e]
+                if room > 0 and v not in level and cost + potential[u] == potential[v]:
+                    level[v] = level[u] + 1
+                    after.append(v)
+        wave = after
+    if end not in level:
+        return False
+    at, path, u = dict.fromkeys(level, 0), [], start
+    while True:
+        if u == end:
+            room = min(edges[e][1] for e in path)
+            for e in path:
+                edges[e][1] -= room
+                edges[e ^ 1][1] += room
+            full = next(i for i, e in enumerate(path) if not edges[e][1])
+            u = edges[path[full] ^ 1][0]
+            del path[full:]
+            continue
+        own = out[u]
+        while at[u] < len(own):
+            v, room, cost = edges[own[at[u]]]
+            if room > 0 and level.get(v) == level[u] + 1 and cost + potential[u] == potential[v]:
+                break
+            at[u] += 1
+        if at[u] < len(own):
+            path.append(own[at[u]])
+            u = v
+        elif not path:
+            return True
+        else:
+            u = edges[path.pop() ^ 1][0]
+            at[u] += 1
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

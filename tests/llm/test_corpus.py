@@ -303,3 +303,24 @@ def test_pipeline_of_no_documents(spark, sf_dir):
     for _, stage in cp.STAGES:
         at = stage(spark, at, sf_dir)
     assert at.count() == 0
+
+
+def test_flow_of_many_patterns_ends_soon():
+    """5,000 patterns over 40 sources; as much is carried as fits, and no word is carried beyond its readings."""
+    import time
+
+    r = random.Random(1)
+    sources = [f"s{i}" for i in range(40)]
+    supply = {}
+    while len(supply) < 5000:
+        supply[tuple(sorted(r.sample(sources, r.randint(1, 4))))] = r.randint(1, 10**6)
+    quota = {s: r.randint(1, sum(supply.values()) // 15) for s in sources}
+    began = time.perf_counter()
+    flow = mixing.min_cost_flow(supply, quota, (0, 1, 3))
+    assert time.perf_counter() - began < 30
+    by_pattern, by_source = {}, {}
+    for (p, s), words in flow.items():
+        by_pattern[p], by_source[s] = by_pattern.get(p, 0) + words, by_source.get(s, 0) + words
+        assert s in p and words > 0
+    assert all(words <= 3 * supply[p] for p, words in by_pattern.items())
+    assert by_source == quota  # these quotas all fit
