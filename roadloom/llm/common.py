@@ -23,7 +23,8 @@ _SCOPES: list[list[DataFrame]] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; only a local master may do without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or LOCAL_CHECKPOINTS).rstrip("/")
 
@@ -39,6 +40,19 @@ def scratch() -> Iterator[None]:
             forget(table)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the jobs inside, and are as before after them."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -46,12 +60,8 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     if _SCOPES and not keep:
         _SCOPES[-1].append(table)

@@ -12,10 +12,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import forget, id_crc32, mix64, out_batches, partitions, rows_in_groups, written
+from roadloom.llm.common import forget, id_crc32, mix64, out_batches, partitions, rows_in_groups, settings, written
 
 #: The hash of the end of a text; no word is empty.
 END = np.uint64(xxhash.xxh64_intdigest(b""))
+#: Spark's bound of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Keys that a part of an exchange holds, about.
 PART = 1 << 21
 #: Gains are added up in so many parts of a nat.
@@ -278,9 +280,17 @@ def score_texts(
     spark = docs.sparkSession
     held = held_out_of(id_col) if held_out is None else F.coalesce(held_out, F.lit(False))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), held.alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    with settings(spark, {BATCH: "8m"}):  # rows are large: a few of them at a time are enough for a Python worker
+        scored, n = _scored(base, depth, least, weight, gain, block_tokens)
+    whole = scored.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _scored(base: DataFrame, depth: int, least: int, weight: float, gain: float, block_tokens: int) -> tuple[DataFrame, int]:
+    """(scores of the pieces of texts, trained tokens) of texts (row, doc_id, held, text)."""
     tokens = tokenised(base, depth, block_tokens)
     size, n = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
-    bits = max(partitions(spark) - 1, size // PART, 1).bit_length()
+    bits = max(partitions(base.sparkSession) - 1, size // PART, 1).bit_length()
 
     def ask(batches):
         def rows():
@@ -336,5 +346,4 @@ def score_texts(
 
     scored = written(_known(tokens, [*answers, retained]).mapInArrow(score, _SCORES_SQL), "pst-scores")
     forget(tokens, retained, *answers)
-    whole = scored.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return whole.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored, n
