@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -151,6 +152,45 @@ def geodesic_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return b * p * (sigma - d)
 
 
+def geodesic_np(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """geodesic_m() of arrays, a step for all that haven't settled at a time; NaN where a value is missing."""
+    b = _A * (1 - _FLAT)
+    u1, u2 = (np.arctan((1 - _FLAT) * np.tan(np.radians(x))) for x in (np.asarray(lat1, float), np.asarray(lat2, float)))
+    gap = np.radians(np.asarray(lon2, float) - np.asarray(lon1, float))
+    out = np.full(len(gap), np.nan)
+    at, lam = np.nonzero(~np.isnan(u1 + u2 + gap))[0], gap.copy()
+    for step in range(200):
+        s, c, p, q = np.sin(lam[at]), np.cos(lam[at]), u1[at], u2[at]
+        sin_s = np.hypot(np.cos(q) * s, np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * c)
+        out[at[sin_s == 0]] = 0.0
+        at, s, c, p, q, sin_s = (x[sin_s > 0] for x in (at, s, c, p, q, sin_s))
+        if not len(at):
+            break
+        cos_s = np.sin(p) * np.sin(q) + np.cos(p) * np.cos(q) * c
+        sigma = np.arctan2(sin_s, cos_s)
+        sin_a = np.cos(p) * np.cos(q) * s / sin_s
+        cos2 = 1 - sin_a**2
+        mid = cos_s - np.divide(2 * np.sin(p) * np.sin(q), cos2, out=np.zeros_like(cos2), where=cos2 != 0) if len(cos2) else cos_s
+        mid = np.where(cos2 != 0, mid, 0.0)
+        k = _FLAT / 16 * cos2 * (4 + _FLAT * (4 - 3 * cos2))
+        after = gap[at] + (1 - k) * _FLAT * sin_a * (sigma + k * sin_s * (mid + k * cos_s * (2 * mid**2 - 1)))
+        done = (np.abs(after - lam[at]) < 1e-13) | (step == 199)
+        lam[at] = after
+        w = cos2 * (_A**2 - b**2) / b**2
+        big = 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768))
+        small = w / 1024 * (256 + w * (w * (74 - 47 * w) - 128))
+        d = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid**2 - 1) - small / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
+        out[at[done]] = (b * big * (sigma - d))[done]
+        at = at[~done]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    return pd.Series([None if any(map(pd.isna, p)) else geodesic_m(*p) for p in zip(lat1, lon1, lat2, lon2)], dtype=float)
+    made = geodesic_np(*(x.to_numpy(float, na_value=np.nan) for x in (lat1, lon1, lat2, lon2)))
+    return pd.Series(made, dtype=float)
+
+
+def projected_distance(east1: Column, north1: Column, east2: Column, north2: Column) -> Column:
+    """Metres on the ground between two points of EPSG:32635."""
+    return geodesic(*from_utm(east1, north1), *from_utm(east2, north2))

@@ -77,3 +77,20 @@ def adaptive_frames(frames: DataFrame, params: Params = DEFAULT) -> DataFrame:
         return pdf[keep].drop(columns="_step")
 
     return stepped.groupBy("drive_id").applyInPandas(take, frames.schema)
+
+
+def located(detections: DataFrame, gps: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Detections (drive_id, abs_frame, ...) with what the tracker needs of the car: lat, lon, car_e, car_n, course.
+
+    The place is the frame's GPS point, the course the next one's, as the tracker refreshes azimuths. gps: as align()
+    takes it. Columns of these names are replaced.
+    """
+    from roadloom.functions.geo import to_utm
+
+    made = ["lat", "lon", "car_e", "car_n", "course", "gps_index"]
+    frames = detections.select("drive_id", "abs_frame").distinct()
+    place = align(frames, gps, params=params).select("drive_id", "abs_frame", "gps_index", "lat", "lon")
+    course = align(frames, gps, ahead=2, params=params).select("drive_id", "abs_frame", "course")
+    e, n = to_utm(F.col("lat"), F.col("lon"))
+    at = place.join(course, ["drive_id", "abs_frame"]).withColumns({"car_e": e, "car_n": n})
+    return detections.drop(*made).join(at, ["drive_id", "abs_frame"])

@@ -75,7 +75,10 @@ def adaptive_sample_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.moving(align.every_nth(f, 5)).select("det_id", "drive_id", "speed", scalars.adaptive_step(F.col("speed")).alias("step"))
 
 
-@query()
+@query(f"""with recursive {DET_SQL}, f as (select *, case when speed <> 0 then greatest(2, cast(round_even(-0.5e0 * speed + 10.9e0, 0) as int)) else 0 end as wanted from det),
+r as (select drive_id, det_id, frame, speed, 1 as since, 5 as step, false as taken from f where frame = 1
+ union all select f.drive_id, f.det_id, f.frame, f.speed, case when since + 1 >= step then 0 else since + 1 end, case when since + 1 >= step and f.speed >= 2 and wanted > 0 then wanted else step end, since + 1 >= step from r join f on f.drive_id = r.drive_id and f.frame = r.frame + 1)
+select drive_id, frame as frame_number, det_id, speed from r where taken""")
 def adaptive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = detections(spark, sf_dir).select("drive_id", F.col("frame").alias("frame_number"), "det_id", "speed")
     return align.adaptive_frames(f)
@@ -177,7 +180,32 @@ def sphere_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("det_id", F.round("lat2", 6).alias("lat2"), F.round("lon2", 6).alias("lon2"), F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4).alias("metres"), geo.azimuth_change(F.lit(90.0), F.col("course")).alias("change"))
 
 
-@query()
+def _utm_sql(made: str, src: str, lat: str, lon: str, e: str, n: str) -> str:
+    """CTEs that give src with the projection (e, n) of its lat and lon."""
+    east = " + ".join(f"({a}) * cos({2 * j} * t_xi) * sinh({2 * j} * t_eta)" for j, a in enumerate(geo._ALPHA, 1))
+    north = " + ".join(f"({a}) * sin({2 * j} * t_xi) * cosh({2 * j} * t_eta)" for j, a in enumerate(geo._ALPHA, 1))
+    return f"""{made}1 as (select *, radians({lat}) as t_phi, radians({lon}) - radians(27e0) as t_lam from {src}), {made}2 as (select *, sinh(atanh(sin(t_phi)) - {geo._ECC} * atanh({geo._ECC} * sin(t_phi))) as t_t from {made}1),
+{made}3 as (select *, atan2(t_t, cos(t_lam)) as t_xi, atanh(sin(t_lam) / sqrt(1 + t_t * t_t)) as t_eta from {made}2), {made} as (select * exclude (t_phi, t_lam, t_t, t_xi, t_eta), 5e5 + {geo._K0 * geo._RECT!r} * (t_eta + {east}) as {e}, {geo._K0 * geo._RECT!r} * (t_xi + {north}) as {n} from {made}3)"""
+
+
+def _from_utm_sql(made: str, src: str, e: str, n: str, lat: str, lon: str) -> str:
+    """CTEs that give src with lat and lon of its projected point."""
+    scale = repr(geo._K0 * geo._RECT)
+    x = " - ".join(["t_xi", *[f"({b}) * sin({2 * j} * t_xi) * cosh({2 * j} * t_eta)" for j, b in enumerate(geo._BETA, 1)]])
+    y = " - ".join(["t_eta", *[f"({b}) * cos({2 * j} * t_xi) * sinh({2 * j} * t_eta)" for j, b in enumerate(geo._BETA, 1)]])
+    phi = " + ".join(["t_chi", *[f"({d}) * sin({2 * j} * t_chi)" for j, d in enumerate(geo._DELTA, 1)]])
+    return f"""{made}1 as (select *, {n} / {scale} as t_xi, ({e} - 5e5) / {scale} as t_eta from {src}), {made}2 as (select *, {x} as t_x, {y} as t_y from {made}1), {made}3 as (select *, asin(sin(t_x) / cosh(t_y)) as t_chi from {made}2),
+{made} as (select * exclude (t_xi, t_eta, t_x, t_y, t_chi), degrees({phi}) as {lat}, degrees(radians(27e0) + atan2(sinh(t_y), cos(t_x))) as {lon} from {made}3)"""
+
+
+_LINES_SQL = f"""s as (select *, k % 3 = 0 as is_left, row_number() over (partition by x, k % 3 = 0 order by drive_id, frame) + 1 as slot from det), {_utm_sql('ua', 's', 'lat', 'lon', 'ce', 'cn')}, {_from_utm_sql('ub', 'ua', 'ce', 'cn', 'la', 'lo')},
+d as (select *, radians(la) as phi, radians((course + 180) % 360) as az, 5e0 / 6371000e0 as far from ub), d2 as (select *, asin(sin(phi) * cos(far) + cos(phi) * sin(far) * cos(az)) as back from d),
+d3 as (select *, degrees(back) as bla, degrees(radians(lo) + atan2(sin(az) * sin(far) * cos(phi), cos(far) - sin(phi) * sin(back))) as blo from d2), {_utm_sql('uc', 'd3', 'bla', 'blo', 'be', 'bn')},
+v as (select *, ce - be as dx, cn - bn as dy, (case when is_left then slot - 1 else slot end) + 0e0 as m, case when is_left then -1e0 else 1e0 end as turn from uc), v2 as (select *, case when is_left then m - 1 else m + 1 end as m2 from v),
+v3 as (select *, ce + turn * dy * m as e1, cn - turn * dx * m as n1, case when is_side then be + turn * dy * m else ce + turn * dy * m2 end as e2, case when is_side then bn - turn * dx * m else cn - turn * dx * m2 end as n2 from v2), {_from_utm_sql('ud', 'v3', 'e1', 'n1', 'lat1', 'lon1')}, {_from_utm_sql('ue', 'ud', 'e2', 'n2', 'lat2', 'lon2')}"""
+
+
+@query(f"""with {DET_SQL}, {_LINES_SQL} select det_id, cast(slot as int) as slot, round(case when is_side then (((course + case when is_left then -90 else 90 end) % 360) + 360) % 360 else course end, 6) as azimuth, round(lat1, 6) as lat1, round(lon1, 6) as lon1, round(lat2, 6) as lat2, round(lon2, 6) as lon2 from ue""")
 def sign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = placed(spark, sf_dir).withColumnRenamed("course", "azimuth").withColumn("is_left", F.col("k") % 3 == 0)
     made = features.lines(features.slots(t, ["drive_id", "frame"], "x"))
@@ -323,8 +351,7 @@ def parse_int_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt nation names against the list of nations."""
     n = table(spark, sf_dir, "nation")
-    words = [r.n_name for r in n.select("n_name").collect()]
-    return fuzzy.fuzzy_match(n.select(F.col("n_nationkey").alias("id"), F.concat(F.expr("left(n_name, 3)"), F.expr("substr(n_name, 5)"), F.lit("a1")).alias("text")), words)
+    return fuzzy.fuzzy_match(n.select(F.col("n_nationkey").alias("id"), F.concat(F.expr("left(n_name, 3)"), F.expr("substr(n_name, 5)"), F.lit("a1")).alias("text")), n.select(F.col("n_name").alias("name")))
 
 
 @query(f"with {DET_SQL} select det_id, 'straight' as part from det where k < 60 union all select det_id, 'turn' from det where k >= 30 and det_id not in (select det_id from det where k >= 80)")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, so that lost executors cost nothing and plans stay short.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a session without one keeps it in its warehouse,
-    which all executors share too.
+    The folder is the one that the cluster names in spark.checkpoint.dir. A session without one keeps it in its warehouse,
+    which all executors share too, or, where driver and executors are one process, in a temporary folder.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        master = spark.sparkContext.master
+        one = master == "local" or master.startswith("local[")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roadloom-") if one else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
