@@ -1,17 +1,15 @@
-"""Line dedup by an exact set-similarity join: prefix, length and positional filters, native throughout."""
+"""Line dedup by an exact set-similarity join: rare tokens first, prefix, length and positional filters, full sets at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import forget, private, written
+from roadloom.llm.line_words import line_rows, line_sets, word_counts
 
-#: Token frequencies are counted in this many hash ranges; only the order of tokens depends on it.
-RANGES = 1 << 18
 #: Of so many rarest tokens, each pair is a key under which a line meets the earliest line alone, before all others.
 HUB_TOKENS = 5
 #: Added to the length of a line that is gone; longer lines than this have more words than a Java array holds.
@@ -23,49 +21,19 @@ MOST_BITS = 1 << 24
 _LAST = 2**63 - 1  # stands for a null id
 
 
-def line_tokens(line: Column) -> Column:
-    """Hashes of a line's distinct words: runs of letters and digits, in lower case."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-
-
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
 def literal_longs(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text): doc orders null ids last."""
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    """(doc, text, h): doc orders null ids last, h is a hash of the text."""
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), _text_hash(f"`{text_col}`").alias("h"))
 
 
 def _text_hash(text: str) -> Column:
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-def _lines(keyed: DataFrame, tokens: Callable[[Column], Column] = line_tokens) -> DataFrame:
-    """(doc, at, tokens) of (doc, text): one row a line with words. at holds the line's number above the text's hash."""
-    parts = keyed.select("doc", _text_hash("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    parts = parts.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
-    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), tokens(F.col("words")).alias("tokens"))
-
-
-def token_levels(texts: DataFrame) -> Column:
-    """For each of RANGES hash ranges of words, the frequency of its words in texts as four times its binary logarithm.
-
-    The array has the same length whatever the texts, and its strings are made on the executors.
-    """
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
-    seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 46).alias("r")).agg(F.count("*").alias("n"))
-    every = texts.sparkSession.range(RANGES).select(F.col("id").alias("r")).join(seen, "r", "left")
-    level = F.coalesce(F.floor(4 * F.log2(F.col("n"))), F.lit(0)).cast("int")
-    runs = every.groupBy(F.expr("r div 1024").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", level.alias("v")))), lambda x: x["v"].cast("string")), ",").alias("levels"))
-    levels = ",".join(x.levels for x in sorted(runs.collect(), key=lambda x: x.run))
-    return F.expr(f"cast(split('{levels}', ',') as array<tinyint>)")
-
-
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs with n_lines and removed_lines (numbers from 0), and the text without those lines.
 
@@ -84,22 +52,15 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(threshold).limit_denominator(1000)
     num, den = t.numerator, t.denominator
     keyed = _keyed(docs, id_col, text_col)
-    levels = token_levels(keyed)
-    level = lambda h: F.get(levels, F.shiftrightunsigned(h, 46).cast("int")).cast("long")
-    rank = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = lambda line: F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: rank(F.xxhash64(w)))))
-    n, n_prefix = F.size("tokens"), F.size("prefix")
-    lines = _lines(keyed, ranked).select(
-        "doc", "at", n.alias("n"), F.xxhash64("tokens").alias("class"), *[_parity(i).alias(f"map{i}") for i in (0, 1)],
-        F.transform(F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")), lambda x: F.shiftrightunsigned(x, 7).bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
-    )
+    n_prefix = F.size("prefix")
+    lines = line_rows(keyed, *word_counts(keyed.select("text")), num, den)
     lines = written(lines, "lines")
     same, maps = ["class", "n", "map0"], ["map0", "map1"]
     # a class's id begins with a coarse place in the order of documents, so that pairs whose later line is gone needn't meet
     low, high = keyed.where(F.col("doc") < _LAST).agg(F.min("doc").cast("double"), F.max("doc").cast("double")).first()
     place = F.when(F.col("doc") == _LAST, PLACES - 1).otherwise(F.floor((F.col("doc").cast("double") - (low or 0.0)) * ((PLACES - 2) / max(1.0, (high or 0.0) - (low or 0.0)))))
     class_id = F.shiftleft(place.cast("long"), 43).bitwiseOR(F.col("class").bitwiseAND((1 << 43) - 1))
-    classes = lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "map1", "prefix")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times")
+    classes = lines.groupBy(*same).agg(F.min(F.struct("doc", "at", "map1", "prefix", "places")).alias("f"), F.count("*").alias("times")).select(*same, "f.*", "times")
     classes = written(classes.withColumn("id", class_id), "line-classes")
     members = written(lines.select("doc", "at", *same), "line-members")
     forget(lines)
@@ -118,13 +79,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     marked = written(marked, "line-marked")
     forget(classes)
 
-    # what these don't decide meets all others under each of its first tokens; one exchange serves both sides
-    entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", *maps, "gone")
-    entries = entries.select("token", "id", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), *maps)
-    met = _pairs(entries, num, den).groupBy("y_id", "x_id", "y_n", "x_n").agg(F.count("*").alias("shared"))
+    # what these don't decide meets all others under the first tokens; of two lines the shorter one needs fewer of them
+    entries = marked.select(F.posexplode("prefix").alias("i", "token"), "places", "id", "n", *maps, "gone").withColumn("pos", F.get("places", F.col("i")))
+    entries = entries.select("token", "id", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), *maps, (F.col("pos") < F.col("n") - _least(F.col("n"), num, den) + 1).alias("short"))
+    own = ("token", "id", "meta", *maps)
+    alike, longer = entries.where("short").select(*own), entries.where("not short").select(*own)
+    met = _pairs(alike, num, den).unionByName(_pairs_with_shorter(longer, alike, num, den))
+    met = met.groupBy("y_id", "x_id", "y_n", "x_n").agg(F.count("*").alias("shared"))
     # the count of shared first tokens bounds the overlap
     need = F.ceil((F.col("y_n") + F.col("x_n")) * num / (num + den) - 1e-9)
-    behind = F.greatest(F.floor((F.col("y_n") * num + den - 1) / den), F.floor((F.col("x_n") * num + den - 1) / den)) - 1
+    short, long = F.least("y_n", "x_n"), F.greatest("y_n", "x_n")
+    behind = F.greatest(_least(short, num, den), F.when(short == long, 0).otherwise(F.floor((long * num + den - 1) / den))) - 1
     met = written(met.where(F.col("shared") >= need - behind).drop("shared"), "line-met")
     pairs = written(_later_first(_both(met, marked, ["id", "n"])), "line-pairs")
     forget(met)
@@ -140,6 +105,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return _without_lines(docs, per_doc, m, id_col, text_col)
 
 
+def _least(n: Column, num: int, den: int) -> Column:
+    """Tokens that a line of n tokens shares with one that it matches and that isn't shorter, at least."""
+    return F.floor((2 * num * n + num + den - 1) / (num + den))
+
+
 def _both(met: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of classes (y_id, x_id, ...) with what both classes are."""
     side = lambda s: classes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "map0", "map1", "gone")], F.struct("doc", "at").alias(f"{s}_f"))
@@ -163,15 +133,6 @@ def _without_lines(docs: DataFrame, per_doc: DataFrame, m: str, id_col: str, tex
     return out.select(*cols, F.col(f"{m}lines").alias("n_lines"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed_lines"))
 
 
-def _parity(half: int) -> Column:
-    """64 bits, each the parity of the number of tokens that fall on it; half of the tokens, by one bit, belong to each map.
-
-    A token that only one of two sets holds turns one bit, so differing bits bound differing tokens.
-    """
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(64) == 64 * half, m.bitwiseXOR(one(x))).otherwise(m))
-
-
 def length(s: dict[str, Column]) -> Column:
     return F.shiftrightunsigned(s["meta"], 32).bitwiseAND(GONE - 1)
 
@@ -189,6 +150,9 @@ def _may_match(y: dict[str, Column], x: dict[str, Column], num: int, den: int) -
 def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes under a token that pass the filters, unless the later is gone; a row for each shared token.
 
+    A match no shorter than a line shares one of its first n - _least(n) + 1 tokens, so that lines of a template whose own
+    words are rarer than the template's don't meet at all.
+
     Ids are in the order of lines but for lines of one place. Both sides are one table, so that one exchange serves
     both; a filter of one side alone would make it two.
     """
@@ -203,6 +167,21 @@ def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(y["id"], x["id"], length(y).cast("int").alias("y_n"), length(x).cast("int").alias("x_n"))
 
 
+def _pairs_with_shorter(longer: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of _pairs() that a longer line finds by its further tokens among the first ones of shorter lines."""
+    names = ("id", "meta", "map0", "map1")
+    a = longer.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    b = entries.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
+    later = y["id"] >= x["id"]
+    one_place = F.shiftrightunsigned(x["id"], 43) == F.shiftrightunsigned(y["id"], 43)
+    stays = lambda s: s["meta"] < GONE << 32
+    left = F.when(later, stays(y) | (one_place & stays(x))).otherwise(stays(x) | (one_place & stays(y)))
+    met = a.join(b, (F.col("token") == F.col("x_token")) & (length(x) < length(y)) & left & _may_match(y, x, num, den))
+    pick = lambda p, q: F.when(later, p).otherwise(q)
+    return met.select(F.greatest(y["id"], x["id"]).alias("y_id"), F.least(y["id"], x["id"]).alias("x_id"), pick(length(y), length(x)).cast("int").alias("y_n"), pick(length(x), length(y)).cast("int").alias("x_n"))
+
+
 def bloom(keys: DataFrame, key: str, col: Column) -> Column:
     """May col be among the keys? Always true for those that are. Bits are 8 a key, MOST_BITS at most."""
     n = keys.count()
@@ -217,9 +196,9 @@ def bloom(keys: DataFrame, key: str, col: Column) -> Column:
 def _verified(keyed: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines (doc, at) of the written pairs whose full token sets have Jaccard >= num / den; the pairs' files go."""
     ids = pairs.select(F.explode(F.array("doc", "h_doc")).alias("doc")).distinct()
-    some = keyed.where(bloom(ids, "doc", F.col("doc")))
+    some = line_sets(keyed.where(bloom(ids, "doc", F.col("doc"))))
     wanted = pairs.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("h_doc").alias("doc"), F.col("h_at").alias("at")))).alias("k")).select("k.*").distinct()
-    sets = written(_lines(some).join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
+    sets = written(some.join(wanted, ["doc", "at"], "left_semi").dropDuplicates(["doc", "at"]), "line-sets")
     both = pairs.join(sets, ["doc", "at"]).withColumnRenamed("tokens", "y").join(sets.select(F.col("doc").alias("h_doc"), F.col("at").alias("h_at"), F.col("tokens").alias("x")), ["h_doc", "h_at"])
     shared = F.size(F.array_intersect("x", "y"))
     true = written(both.where(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("doc", "at").distinct(), "line-gone")

@@ -1,0 +1,178 @@
+"""Words of lines as sorted arrays of ranks, made in numpy a batch of texts at a time."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadloom.llm.common import mix64, out_batches, partitions, rows_in_groups
+
+#: Word frequencies are counted in this many hash ranges; only the order of tokens depends on it.
+RANGES = 1 << 18
+#: Bits that say whether a word of that hash comes more than once; a fixed 2 MB.
+BITS = 1 << 24
+#: The counts travel in so many slices.
+SLICES = 64
+_EMPTY = xxhash.xxh64_intdigest(b"")
+_ASCII = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+_LINE = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("map0", pa.int64()), ("map1", pa.int64()), ("prefix", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+LINE_SQL = "doc long, at long, n int, class long, map0 long, map1 long, prefix array<int>, places array<int>"
+_SET = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+SET_SQL = "doc long, at long, tokens array<long>"
+_COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("once", pa.binary()), ("twice", pa.binary())])
+
+
+class Words:
+    """The lines of some texts and their words: runs of letters and digits, in lower case.
+
+    text, number: of each line, its text and its number there. line, word: of each word, its line and its place among
+    the distinct hashes.
+    """
+
+    def __init__(self, texts: pa.Array):
+        whole = texts.take(pa.array(np.arange(len(texts))))  # kernels misread slices
+        lines = pc.split_pattern(whole.cast(pa.large_string()), "\n")
+        sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        low = pc.utf8_lower(lines.flatten())
+        if pc.any(pc.match_substring_regex(low, r"[^\x00-\x7F\pL\pN]")).as_py():
+            parts = pc.split_pattern_regex(low, r"[^\pL\pN]+")
+        else:  # no sign beyond ASCII that isn't a letter or a digit: a table of bytes finds the rest
+            data = low.buffers()[2]
+            held = _ASCII[np.frombuffer(data, np.uint8)] if data is not None else np.empty(0, np.uint8)
+            parts = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(low), low.buffers()[1], pa.py_buffer(held)))
+        coded = parts.values.dictionary_encode()
+        hashes = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in coded.dictionary], np.uint64)
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        line = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+        real = hashes != _EMPTY
+        some = real[place] if len(place) else np.empty(0, bool)
+        self.hashes, self.line, self.word = hashes, line[some], place[some]
+
+    def sets(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, rank) of each line's distinct words, sorted. rank: of the distinct hashes, not negative."""
+        known, order = np.unique(rank, return_inverse=True)
+        n = max(1, len(known))
+        keys = np.unique(self.line * n + order[self.word])
+        return keys // n, known[keys % n]
+
+
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of some megabytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, often) of the words of texts.
+
+    levels: of each of RANGES hash ranges the frequency of its words, as four times its binary logarithm. often: BITS
+    bits, set for hashes of words that come more than once. Tasks send both in slices of fixed size, summed by slice.
+    """
+
+    def count(batches):
+        n, once, twice = np.zeros(RANGES, np.int64), np.zeros(BITS, bool), np.zeros(BITS, bool)
+        for b in batches:
+            for part in slices(b):
+                w = Words(part.column("text"))
+                times = np.bincount(w.word, minlength=len(w.hashes))
+                np.add.at(n, (w.hashes >> np.uint64(46)).astype(np.int64), times)
+                bit = (w.hashes >> np.uint64(40)).astype(np.int64)
+                met = bit[times > 0]
+                some, seen = np.unique(met, return_counts=True)
+                twice[some[once[some] | (seen > 1)]] = True
+                twice[bit[times > 1]] = True
+                once[some] = True
+        cut = lambda x, i: x[i * (len(x) // SLICES) : (i + 1) * (len(x) // SLICES)]
+        yield from out_batches(((i, cut(n, i).tobytes(), np.packbits(cut(once, i)).tobytes(), np.packbits(cut(twice, i)).tobytes()) for i in range(SLICES)), _COUNTS)
+
+    def add(batches):
+        def rows():
+            for (i,), group in rows_in_groups(batches, ["slice"]):
+                n, once, twice = (np.frombuffer(group[0][c], k).copy() for c, k in (("counts", np.int64), ("once", np.uint8), ("twice", np.uint8)))
+                for r in group[1:]:
+                    n += np.frombuffer(r["counts"], np.int64)
+                    own = np.frombuffer(r["once"], np.uint8)
+                    twice |= np.frombuffer(r["twice"], np.uint8) | (once & own)
+                    once |= own
+                yield i, n.tobytes(), b"", twice.tobytes()
+
+        yield from out_batches(rows(), _COUNTS)
+
+    sql = "slice int, counts binary, once binary, twice binary"
+    made = texts.mapInArrow(count, sql).repartition(min(SLICES, partitions(texts.sparkSession)), "slice").sortWithinPartitions("slice").mapInArrow(add, sql)
+    got = sorted(made.collect(), key=lambda r: r.slice)  # 4 MB, whatever the texts
+    if not got:
+        return np.zeros(RANGES, np.int64), np.zeros(BITS // 8, np.uint8)
+    n = np.concatenate([np.frombuffer(r.counts, np.int64) for r in got])
+    return np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.int64), np.concatenate([np.frombuffer(r.twice, np.uint8) for r in got])
+
+
+def line_rows(texts: DataFrame, levels: np.ndarray, often: np.ndarray, num: int, den: int) -> DataFrame:
+    """LINE_SQL of texts (doc, text, h): a row a line with words, with the shared ones among its first tokens.
+
+    at: the line's number above the text's hash h. class: a hash of the set; map0, map1: 64 bits, each the parity of the
+    tokens that fall on it, half of the tokens on each map, so that differing bits bound differing tokens. prefix, places:
+    of its n - ceil(n * num / den) + 1 rarest tokens those that come more than once, and their places.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((levels, often))  # of fixed size
+
+    def run(batches):
+        levels, often = held.value
+        for b in batches:
+            for part in slices(b):
+                w = Words(part.column("text"))
+                bit = (w.hashes >> np.uint64(40)).astype(np.int64)
+                shared = (often[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+                # a token is its level, 54 bits of its hash, and whether its word comes more than once
+                line, token = w.sets((levels[(w.hashes >> np.uint64(46)).astype(np.int64)] << 55) | ((w.hashes >> np.uint64(10)).astype(np.int64) << 1) | shared)
+                if not len(line):
+                    continue
+                first = np.nonzero(np.diff(line, prepend=-1))[0]
+                n = np.diff(np.append(first, len(line)))
+                pos = np.arange(len(line)) - np.repeat(first, n)
+                mixed = mix64(token.view(np.uint64))
+                one = np.left_shift(np.uint64(1), (mixed & np.uint64(63)))
+                half = (mixed & np.uint64(64)) == 0
+                maps = [np.bitwise_xor.reduceat(np.where(h, one, np.uint64(0)), first).view(np.int64) for h in (half, ~half)]
+                kind = np.add.reduceat(mix64(mixed + np.uint64(1)), first).view(np.int64)
+                some = (pos < np.repeat(n - -(-n * num // den) + 1, n)) & (token & 1 == 1)
+                ends = np.cumsum(np.add.reduceat(some.astype(np.int64), first))
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[some].astype(np.int32))) for v in ((mixed >> np.uint64(33)).astype(np.int64), pos)]
+                own = line[first]
+                doc, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "h"))
+                at = (w.number[own] << 32) | h[w.text[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[w.text[own]]), pa.array(at), pa.array(n.astype(np.int32)), pa.array(kind), *map(pa.array, maps), *lists], schema=_LINE)
+
+    return texts.mapInArrow(run, LINE_SQL)
+
+
+def line_sets(texts: DataFrame) -> DataFrame:
+    """SET_SQL of texts (doc, text, h): the hashes of each line's distinct words."""
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b):
+                w = Words(part.column("text"))
+                line, token = w.sets((w.hashes >> np.uint64(1)).astype(np.int64))
+                if not len(line):
+                    continue
+                first = np.nonzero(np.diff(line, prepend=-1))[0]
+                own = line[first]
+                doc, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "h"))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)).astype(np.int32)), pa.array(token))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[w.text[own]]), pa.array((w.number[own] << 32) | h[w.text[own]]), lists], schema=_SET)
+
+    return texts.mapInArrow(run, SET_SQL)
