@@ -284,3 +284,16 @@ def test_one_id_on_two_texts(spark, docs, words):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (7, near(b)), (3, near(b) + " more"), (8, "alone here")]
     got = sorted((x.doc_id, x.n_links, x.component_id, x.kept) for x in jaccard_join.jaccard_join(docs(rows)).collect())
     assert got == [(3, 3, 3, True), (5, 1, 5, True), (5, 3, 3, False), (6, 1, 5, False), (7, 3, 3, False), (7, 3, 3, False), (8, 0, 8, True)]
+
+
+def test_template_lines_take_linear_time(spark):
+    """Lines of ten shared and two words of their own are no matches; four times as many take about four times as long at most."""
+    import time
+
+    took = {}
+    for n in (10_000, 20_000, 40_000):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("Dear reader of our page please find below the offer "), F.concat(F.lit("a"), F.col("id")), F.lit(" "), F.concat(F.lit("b"), F.col("id") * 7)).alias("text"))
+        began = time.perf_counter()
+        assert line_dedup.line_dedup(df).agg(F.sum(F.size("removed_lines"))).first()[0] == 0
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 4 * took[20_000] + 5 and took[40_000] < 60
