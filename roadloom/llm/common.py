@@ -60,8 +60,12 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true"}):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
         df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     if _SCOPES and not keep:
         _SCOPES[-1].append(table)

@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for b in batches:
             y, h, t = [], [], []
             for label, text in zip(b.column("_y").to_pylist(), b.column("_text").to_pylist()):
-                own = {x for w in set(_WORD.findall(text.lower())) if len(w) < 64 for x in word_terms(w)}
+                own = {x for w in set(_WORD.findall(text.lower())) for x in word_terms(w)}
                 y += [label] * len(own)
                 t += own
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(t, pa.string())], names=["y", "term"])
