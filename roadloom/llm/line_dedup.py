@@ -122,6 +122,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", *maps, "gone")
     entries = entries.select("token", "id", F.shiftleft((F.col("n") + F.when(F.col("gone"), GONE).otherwise(0)).cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), *maps, (F.col("pos") < F.col("n") - _least(F.col("n"), num, den) + 1).alias("short"))
     own = ("token", "id", "meta", *maps)
+    # said here, so that Spark adds it to no side of the joins and one exchange serves three of the four
+    for c in (*map(F.col, own), length({"meta": F.col("meta")}).cast("int")):
+        entries = entries.where(c.isNotNull())
     alike, longer = entries.where("short").select(*own), entries.where("not short").select(*own)
     met = _pairs(alike, num, den).unionByName(_pairs_with_shorter(longer, alike, num, den))
     met = met.groupBy("y_id", "x_id", "y_n", "x_n").agg(F.count("*").alias("shared"))
@@ -205,27 +208,27 @@ def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     both; a filter of one side alone would make it two.
     """
     names = ("id", "meta", "map0", "map1")
-    a = entries.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    a = entries.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in names])
     b = entries.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
     once = (x["id"] < y["id"]) | ((x["id"] == y["id"]) & (length(x) < length(y)))
     one_place = F.shiftrightunsigned(x["id"], 43) == F.shiftrightunsigned(y["id"], 43)
     stays = lambda s: s["meta"] < GONE << 32
-    met = a.join(b, (F.col("token") == F.col("x_token")) & once & (stays(y) | (one_place & stays(x))) & _may_match(y, x, num, den))
+    met = a.join(b, (F.col("y_token") == F.col("x_token")) & once & (stays(y) | (one_place & stays(x))) & _may_match(y, x, num, den))
     return met.select(y["id"], x["id"], length(y).cast("int").alias("y_n"), length(x).cast("int").alias("x_n"))
 
 
 def _pairs_with_shorter(longer: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs of _pairs() that a longer line finds by its further tokens among the first ones of shorter lines."""
     names = ("id", "meta", "map0", "map1")
-    a = longer.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    a = longer.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in names])
     b = entries.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
     y, x = ({c: F.col(f"{s}_{c}") for c in names} for s in "yx")
     later = y["id"] >= x["id"]
     one_place = F.shiftrightunsigned(x["id"], 43) == F.shiftrightunsigned(y["id"], 43)
     stays = lambda s: s["meta"] < GONE << 32
     left = F.when(later, stays(y) | (one_place & stays(x))).otherwise(stays(x) | (one_place & stays(y)))
-    met = a.join(b, (F.col("token") == F.col("x_token")) & (length(x) < length(y)) & left & _may_match(y, x, num, den))
+    met = a.join(b, (F.col("y_token") == F.col("x_token")) & (length(x) < length(y)) & left & _may_match(y, x, num, den))
     pick = lambda p, q: F.when(later, p).otherwise(q)
     return met.select(F.greatest(y["id"], x["id"]).alias("y_id"), F.least(y["id"], x["id"]).alias("x_id"), pick(length(y), length(x)).cast("int").alias("y_n"), pick(length(x), length(y)).cast("int").alias("x_n"))
 
