@@ -10,6 +10,7 @@ from roadloom.functions import geo
 from roadloom.functions.scalars import bool_text, list_text
 from roadloom.operators import dedup, features, snap, tracker, tracks, turns
 from roadloom.params import DEFAULT, Params
+from roadloom.sources.layers import write_layer
 from roadloom.tables import checkpointed, numbered
 
 #: Stored lists and the columns of tracks that they hold.
@@ -82,3 +83,8 @@ def sign_layer(detections: DataFrame, segs: DataFrame, videos: DataFrame, codes:
     slim = flat.select("seq", F.col("properties.type").alias("type"), "is_left", "e", "n", "azimuth", "length")
     kept = dedup.grid_dedup(slim, params).select("seq")
     return flat.join(kept, "seq", "left_semi").select("type", "geometry", "properties")
+
+
+def save(detections: DataFrame, segs: DataFrame, videos: DataFrame, path: str, codes: DataFrame | None = None, params: Params = DEFAULT) -> str:
+    """Detections to the layer at path, which is swapped whole; the new version's folder."""
+    return write_layer(sign_layer(detections, segs, videos, codes, params), path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Iterable, Iterator, MutableMapping
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -333,10 +333,15 @@ def plain(v):
     return None if v is None or v != v else v
 
 
+def records(frames: Iterable[pd.DataFrame], names: list[str]) -> Iterator[dict]:
+    """Rows of these columns, one after the other."""
+    for pdf in frames:
+        for r in zip(*(pdf[c].tolist() for c in names)):
+            yield dict(zip(names, map(plain, r)))
+
+
 def frames_of(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
-    pdf = pdf.sort_values(["frame", "det_id"], kind="stable")
-    names = [*INPUT, *OPTIONAL]
-    rows = (dict(zip(names, map(plain, r))) for r in zip(*(pdf[c].tolist() for c in names)))
+    rows = records([pdf.sort_values(["frame", "det_id"], kind="stable")], [*INPUT, *OPTIONAL])
     for frame, group in groupby(rows, key=lambda r: r["frame"]):
         yield int(frame), list(group)
 
@@ -360,14 +365,15 @@ def tracks_and_turns(detections: DataFrame, params: Params = DEFAULT, cut_gap: i
     A track that a better one of the same sign replaced isn't given; `replaces` names it on the better one. Tracks that
     left on a turn have its turn_id and their place on it (number); such signs aren't looked up among those known.
 
-    A drive is a fold over its frames; drives run side by side. A drive is also cut where no detection stands for
+    A drive is a fold over its sorted frames, which pass by: a task holds a drive's state, never its rows; drives run side by
+    side. Rows without a frame go, rows without a drive are one drive. A drive is also cut where no detection stands for
     more than cut_gap frames: by then every track has ended or is lost, so pieces are independent but for the
     drive-wide duplicate check, which needs the whole drive; cut_gap is therefore for compat "as_written", without turns.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    rows = tracker_rows(detections)
+    rows = tracker_rows(detections).where("frame is not null")
     keys = ["drive_id"]
     if cut_gap is not None:
         if params.documented or params.turn_change is not None:
@@ -376,11 +382,25 @@ def tracks_and_turns(detections: DataFrame, params: Params = DEFAULT, cut_gap: i
         rows = rows.withColumn("_piece", F.sum(F.when(F.col("frame") - F.lag("frame").over(w) > cut_gap, 1).otherwise(0)).over(w))
         keys = ["drive_id", "_piece"]
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = DriveTracker(params), []
-        for frame, dets in frames_of(pdf):
-            out += [out_row(tracker, int(key[0]), t) for t in tracker.feed(frame, dets)]
-        out += [out_row(tracker, int(key[0]), t) for t in tracker.flush()]
-        return out_frame([r for r in out if r[1] is None or r[1] not in tracker.replaced])
-
-    return rows.groupBy(*keys).applyInPandas(fold, SCHEMA)
+    def kept(tracker: DriveTracker, drive: int, ended: list[Track | Turn]) -> list[tuple]:
+        return [out_row(tracker, drive, t) for t in ended if isinstance(t, Turn) or t.number not in tracker.replaced]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for key, drive in groupby(records(frames, [*INPUT, *OPTIONAL, *keys[1:]]), key=lambda r: tuple(r[k] for k in keys)):
+            tracker = DriveTracker(params)
+            for frame, dets in groupby(drive, key=lambda r: r["frame"]):
+                out += kept(tracker, key[0], tracker.feed(frame, list(dets)))
+                if len(out) >= 500:
+                    yield out_frame(out)
+                    out = []
+            out += kept(tracker, key[0], tracker.flush())
+            if params.documented:
+                out += [tuple({"drive_id": key[0], "track_id": n, "kind": "replaced"}.get(c) for c in COLUMNS) for n in tracker.replaced]
+        yield out_frame(out)
+
+    made = rows.repartition(*keys).sortWithinPartitions(*keys, "frame", "det_id").mapInPandas(fold, SCHEMA)
+    if not params.documented:
+        return made  # signs are known for a frame only, so a replaced one has been left out
+    gone = F.max(F.col("kind") == "replaced").over(Window.partitionBy("drive_id", "track_id"))
+    return made.withColumn("_gone", gone).where(~F.col("_gone")).drop("_gone")

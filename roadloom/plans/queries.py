@@ -13,6 +13,7 @@ from roadloom.functions import geo, scalars
 from roadloom.operators import align, clean, dedup, features, fuzzy, layer, review, snap, tracker, tracks, turns
 from roadloom.params import DEFAULT
 from roadloom.plans.views import DET_SQL, ROADS_SQL, detections, placed, road_ways, table
+from roadloom.tables import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,8 +45,8 @@ def track_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections to features: track, snap, slots, lines, codes by event class, dedup. The flagship."""
-    t = tracker.track(_tracker_input(spark, sf_dir)).persist()  # read by the snap and by the lines
+    """Detections to features: track, snap, slots, lines, dedup. The flagship; sign_layer goes on to stored features."""
+    t = checkpointed(tracker.track(_tracker_input(spark, sf_dir)))  # read by the snap and by the lines
     segs = snap.segments(road_ways(spark, sf_dir))
     at = t.withColumn("point_id", F.concat_ws("/", "drive_id", "track_id"))
     near = snap.snap(at.select("point_id", "lat", "lon"), segs).select("point_id", "snapped", "road_azimuth")
@@ -53,7 +54,7 @@ def track_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = features.lines(features.slots(t, ["drive_id", "track_id"]))
     e, n = geo.to_utm(F.col("lat1"), F.col("lon1"))
     flat = made.select(F.shiftleft("drive_id", 32).bitwiseOR(F.col("track_id")).alias("seq"), F.col("number_sign").alias("type"), "is_left", e.alias("e"), n.alias("n"), "azimuth", F.col("observations").alias("length"), "drive_id", "track_id", "slot", "lat1", "lon1", "lat2", "lon2")
-    return dedup.grid_dedup(flat.persist()).select("drive_id", "track_id", "type", "is_left", "slot", "length", *[F.round(c, 6).alias(c) for c in ("azimuth", "lat1", "lon1", "lat2", "lon2")])
+    return dedup.grid_dedup(checkpointed(flat)).select("drive_id", "track_id", "type", "is_left", "slot", "length", *[F.round(c, 6).alias(c) for c in ("azimuth", "lat1", "lon1", "lat2", "lon2")])
 
 
 @query(f"""with {DET_SQL}, p as (select drive_id, frame - 1 as idx, course, lat, lon from det), l as (select drive_id, max(idx) as last from p group by 1),

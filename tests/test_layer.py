@@ -118,3 +118,35 @@ def test_merged_tracks_hold_both(spark):
     a = spark.createDataFrame([(1, [1, 2], ["x"]), (2, [5], [])], "k int, xs array<int>, texts array<string>")
     b = spark.createDataFrame([(1, [3], ["y", "z"]), (9, [9], [])], "k int, xs array<int>, texts array<string>")
     assert sorted((r.k, r.xs, r.texts) for r in tracks.merge_tracks(a, b, ["k"]).collect()) == [(1, [1, 2, 3], ["x", "y", "z"]), (2, [5], [])]
+
+
+def test_export_writes_one_collection_and_refuses_an_empty_layer(spark, made, tmp_path):
+    from roadloom import api
+
+    with pytest.raises(FileNotFoundError):
+        api.export(geojson.empty_features(spark), str(tmp_path / "none"))
+    path = api.export(made, str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").iterdir() if f.name.startswith("part-")]
+    assert path == str(tmp_path / "out") and len(files) == 1
+    assert len(json.loads(files[0].read_text())["features"]) == made.count()
+    api.export(made.limit(1), path)  # what is there is replaced
+    assert geojson.read_geojson(spark, path).count() == 1
+
+
+def test_layers_are_saved_whole(spark, made, tmp_path):
+    from roadloom.sources import layers
+
+    segs = snap.segments(spark.createDataFrame([(7, "road", [(53.8, 26.99), (53.8, 27.0)])], "way_id long, name string, nodes array<struct<lat:double,lon:double>>"))
+    videos = spark.createDataFrame([(0, "a.mp4"), (1, "b.mp4")], "video long, name_video string")
+    layer.save(drive(spark), segs, videos, str(tmp_path / "l"), params=TURNING)
+    assert sorted(map(str, layers.read_layer(spark, str(tmp_path / "l")).collect())) == sorted(map(str, made.collect()))
+
+
+def test_unknown_types_and_signs_without_a_road_or_video(spark):
+    """Types that no code names go; without roads the car's azimuth stays; frames beyond the videos are of an unknown one."""
+    segs = snap.segments(spark.createDataFrame([], "way_id long, name string, nodes array<struct<lat:double,lon:double>>"))
+    videos = spark.createDataFrame([], "video long, name_video string")
+    codes = spark.createDataFrame([("3.1", "5")], "type string, code string")
+    rows = layer.sign_layer(drive(spark), segs, videos, codes, TURNING).collect()
+    assert [(r.properties.type, r.properties.code, r.properties.azimuth, r.properties.name_video) for r in rows] == [("3.1", 5, "90.0", "unknown")]
+    assert layer.sign_layer(drive(spark).limit(0), segs, videos, codes, TURNING).count() == 0
