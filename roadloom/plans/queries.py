@@ -554,8 +554,8 @@ def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event classes as known types: all but those that end in .2."""
-    return detections(spark, sf_dir).select(F.col("number_sign").alias("type")).distinct().where(~F.col("type").endswith(".2")).withColumn("code", F.length("type").cast("string"))
+    """Event classes as known types: all but those that end in .0."""
+    return detections(spark, sf_dir).select(F.col("number_sign").alias("type")).distinct().where(~F.col("type").endswith(".0")).withColumn("code", F.length("type").cast("string"))
 
 
 @query(f"""with {DET_SQL}, c as (select drive_id, name_sign, number_sign, count(*) as n, min(frame) as f from det group by 1, 2, 3), r as (select *, row_number() over (partition by drive_id, name_sign order by n desc, f) as k from c),
