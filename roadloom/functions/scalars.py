@@ -41,8 +41,8 @@ def letters(text: Column) -> Column:
 
 
 def ints_in(text: Column) -> Column:
-    """Integers in a text, in order; 1.5 gives two."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?\d+"), F.lit(0)), lambda x: x.cast("long"))
+    """Integers in a text, in order; 1.5 gives two. One beyond 64 bits keeps its place as null."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("long"))
 
 
 def floats_in(text: Column) -> Column:

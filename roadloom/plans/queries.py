@@ -345,7 +345,7 @@ def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"select doc_id, len(regexp_extract_all(text, '-?[0-9]+')) as n, coalesce(list_sum(list_transform(regexp_extract_all(text, '-?[0-9]+'), lambda x: length(x))), 0) as digits from documents")
 def parse_int_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(r"-?\d+"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(scalars.ints_in(F.col("text"))).cast("long").alias("n"), F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("digits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(scalars.ints_in(F.col("text")))).cast("long").alias("n"), F.coalesce(F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + F.length(x)), F.lit(0).cast("long")).alias("digits"))
 
 
 @query()
@@ -437,7 +437,7 @@ def text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"select doc_id, len(regexp_extract_all(text, '-?[0-9]+\.?[0-9]*')) as n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '-?[0-9]+\.?[0-9]*'), lambda x: length(x))), 0), 6) as digits from documents")
 def parse_float_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(r"-?[0-9]+\.?[0-9]*"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(scalars.floats_in(F.col("text"))).cast("long").alias("n"), F.round(F.aggregate(found, F.lit(0.0), lambda s, x: s + F.length(x)), 6).alias("digits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(scalars.floats_in(F.col("text")))).cast("long").alias("n"), F.round(F.coalesce(F.aggregate(found, F.lit(0.0), lambda s, x: s + F.length(x)), F.lit(0.0)), 6).alias("digits"))
 
 
 @query(f"""with {DET_SQL} select det_id, least(1e0, case when k = 0 then 0e0 else k / greatest(k % 7, 1) end) * (case when k % 7 = 0 then 0 else 1 end) as confidence, k % 7 as n from det""")
