@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import islice, repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +22,13 @@ def near_pairs(points: DataFrame, others: DataFrame, radius_m: float = 20.0) ->
     return a.join(b, ["ce", "cn"]).withColumn("distance", distance).where(F.col("distance") <= radius_m).select("a_id", "b_id", "distance")
 
 
-#: Rows of a round: a feature that isn't settled yet, or one that its cell holds.
-_ROUND = "type string, is_left boolean, tx long, ty long, what int, ce long, cn long, seq long, e double, n double, azimuth double, length long"
 _SETTLED = "what int, type string, is_left boolean, ce long, cn long, seq long, e double, n double, azimuth double, length long, other long"
+_ARROW = pa.schema([("what", pa.int32()), ("type", pa.string()), ("is_left", pa.bool_()), ("ce", pa.int64()), ("cn", pa.int64()), ("seq", pa.int64()), ("e", pa.float64()), ("n", pa.float64()), ("azimuth", pa.float64()), ("length", pa.int64()), ("other", pa.int64())])
+#: Cells a side of the largest tile; a task keeps what the cells of one tile hold, one feature each.
+MOST_TILE = 1024
 
 
-def grid_dedup(features: DataFrame, params: Params = DEFAULT, tile: int = 64, most_rounds: int = 1000) -> DataFrame:
+def grid_dedup(features: DataFrame, params: Params = DEFAULT, tile: int = 256, most_rounds: int = 1000) -> DataFrame:
     """Features (seq, type, is_left, e, n, azimuth, length) without duplicates; the first in the order of seq wins.
 
     A feature duplicates one that is held for its own cell or one beside it, in the order of these cells, if it is of its
@@ -37,7 +38,8 @@ def grid_dedup(features: DataFrame, params: Params = DEFAULT, tile: int = 64, mo
     What a feature meets depends only on earlier ones at most two cells away. So the plane is cut into tiles, and in each
     round a tile settles, in order, all features that have no unsettled earlier one within two cells, those of other
     tiles' edges included: no two that could meet settle side by side. Tiles lie half a tile further in every other
-    round, so what waits at an edge is inside next. A task holds the features of a tile and the edges beside it.
+    round, so what waits at an edge is inside next, and grow twofold up to MOST_TILE, so that crowds take few rounds. A
+    task reads the features of a tile in order and keeps what its cells hold, one feature each, however many it reads.
 
     Defined cases: seq is unique; features without a place (null or NaN e or n) are kept as they are; null azimuths and
     lengths never match and never replace; null types and sides are types and sides of their own; an empty table gives no
@@ -48,13 +50,15 @@ def grid_dedup(features: DataFrame, params: Params = DEFAULT, tile: int = 64, mo
     columns = slim.columns
     waiting, held, kept = slim, None, []
     by = ["type", "is_left", "tx", "ty"]
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as small rows take long here
     for i in range(most_rounds):
-        rows = _in_tiles(waiting, 0, 2, tile, i)
+        size = max(tile, min(tile << min(i, 20), MOST_TILE))
+        rows = _in_tiles(waiting, 0, 2, size, i)
         if held is not None:
             busy = rows.where("what = 0").select(*by).distinct()
-            near = _in_tiles(held, 2, 1, tile, i).alias("r")
+            near = _in_tiles(held, 2, 1, size, i).alias("r")
             rows = rows.unionByName(near.join(busy.alias("b"), _alike(by, "r", "b"), "left_semi"))
-        done = checkpointed(rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(_settle(params), _SETTLED))
+        done = checkpointed(rows.repartition(tasks, *by).sortWithinPartitions(*by, F.col("what") != 2, "seq").mapInArrow(_settle(params), _SETTLED))
         kept.append(done.where("what = 0").select("seq", "other"))
         waiting = done.where("what = 3").select(*columns)
         if waiting.isEmpty():
@@ -94,66 +98,76 @@ def _in_tiles(rows: DataFrame, what: int, reach: int, tile: int, turn: int) -> D
 
 
 def _settle(params: Params):
-    """Rows of tiles, sorted, to what becomes of them: 0 kept (other: the seq that it replaced), 1 a duplicate, 2 held by
-    a cell from now on, 3 still waiting."""
-    documented, radius, most, beside = params.documented, params.dedup_radius_m**2, params.dedup_azimuth, [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-
-    def meets(r, o) -> bool:
-        gap = abs(r.azimuth - o.azimuth)
-        gap = min(gap % 360, 360 - gap % 360) if documented else gap
-        return (r.e - o.e) ** 2 + (r.n - o.n) ** 2 <= radius and gap <= most
-
-    def one(rows: list) -> Iterator[tuple]:
-        held = {(r.ce, r.cn): r for r in rows if r.what == 2}
-        changed, blocked = set(), set()
-        for r in rows:
-            if r.what == 2:
-                continue
-            at = r.ce, r.cn
-            if r.what == 1:
-                blocked.add(at)
-                continue
-            if any((r.ce + x, r.cn + y) in blocked for x in range(-2, 3) for y in range(-2, 3)):
-                blocked.add(at)
-                yield (3, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, None)
-                continue
-            twin = next((c for c in ((r.ce + x, r.cn + y) for x, y in beside) if c in held and meets(r, held[c])), None)
-            longer = twin is not None and r.length > held[twin].length
-            if twin is None or longer and documented:
-                yield (0, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, held[twin].seq if longer else None)
-            else:
-                yield (1, r.type, r.is_left, *at, r.seq, r.e, r.n, r.azimuth, r.length, None)
-            if twin is None or longer:
-                held[twin or at] = r
-                changed.add(twin or at)
-        for c in changed:
-            r = held[c]
-            yield (2, r.type, r.is_left, *c, r.seq, r.e, r.n, r.azimuth, r.length, None)
-
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _SETTLED.split(", ")]
-        rows = (r for f in frames for r in f.itertuples(index=False))
-        out = []
-        for _, group in groupby(rows, key=lambda r: (r.type, _known(r.is_left), r.tx, r.ty)):
-            group = list(group)
-            if any(r.what == 0 for r in group):
-                out += one(group)
-            if len(out) > 10_000:
-                yield _frame(out, names)
-                out = []
-        yield _frame(out, names)
+    """Rows of tiles, sorted, to what becomes of them: 0 kept (other: the seq that it replaced; the rest is null), 2 held
+    by a cell from now on, 3 still waiting; duplicates go. In a tile the rows that cells hold come first; a cell is one
+    number."""
+    documented, radius, most = params.documented, params.dedup_radius_m**2, params.dedup_azimuth
+    beside = [(x << 64) + y for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    around = [(x << 64) + y for x in range(-2, 3) for y in range(-2, 3)]
+
+    def twin_of(held: dict, at: int, e: float, n: float, azimuth: float) -> int | None:
+        for d in beside:
+            o = held.get(at + d)
+            if o is not None and (e - o[1]) ** 2 + (n - o[2]) ** 2 <= radius:
+                gap = abs(azimuth - o[3])
+                if documented:
+                    gap = min(gap % 360, 360 - gap % 360)
+                if gap <= most:
+                    return at + d
+        return None
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        group, held, changed, blocked = None, {}, set(), set()
+
+        def close() -> Iterator[tuple]:
+            for c in changed:
+                seq, e, n, azimuth, length = held[c]
+                cn = ((c + (1 << 63)) & (1 << 64) - 1) - (1 << 63)
+                yield 2, group[0], group[1], (c - cn) >> 64, cn, seq, e, n, azimuth, length, None
+
+        for b in batches:
+            for kind, left, tx, ty, what, ce, cn, seq, e, n, azimuth, length in zip(*[_values(b.column(c)) for c in ("type", "is_left", "tx", "ty", "what", "ce", "cn", "seq", "e", "n", "azimuth", "length")]):
+                if group != (kind, left, tx, ty):
+                    yield from close()
+                    group, held, changed, blocked = (kind, left, tx, ty), {}, set(), set()
+                at = (ce << 64) + cn
+                if azimuth is None:
+                    azimuth = float("nan")  # compares with nothing
+                if what == 2:
+                    held[at] = seq, e, n, azimuth, length
+                    continue
+                wait = at in blocked
+                if what == 1 or wait:
+                    blocked.update([at + d for d in around])  # what lies within two cells waits
+                    if what == 0:
+                        yield 3, kind, left, ce, cn, seq, e, n, azimuth, length, None
+                    continue
+                twin = twin_of(held, at, e, n, azimuth)
+                if twin is None:
+                    yield 0, None, None, None, None, seq, None, None, None, None, None
+                    twin = at
+                elif length is not None and held[twin][4] is not None and length > held[twin][4]:
+                    if documented:
+                        yield 0, None, None, None, None, seq, None, None, None, None, held[twin][0]
+                else:
+                    continue
+                held[twin] = seq, e, n, azimuth, length
+                changed.add(twin)
+        yield from close()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = settled(batches)
+        while out := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
     return settle
 
 
-def _known(v):
-    """A value for comparison: missing ones are alike."""
-    return None if v is None or v != v else bool(v)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=names, dtype=object)
-    return pdf.astype({"what": "int32", "ce": "int64", "cn": "int64", "seq": "int64", "e": "float64", "n": "float64", "azimuth": "float64", "length": "Int64", "other": "Int64"})
+def _values(column: pa.Array) -> Iterator:
+    """A column's values as plain ones, None where it has none."""
+    if column.null_count == len(column):
+        return repeat(None, len(column))
+    return column.to_pylist() if column.null_count or not pa.types.is_primitive(column.type) or pa.types.is_boolean(column.type) else column.to_numpy().tolist()
 
 
 def azimuth_filter(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -72,3 +72,11 @@ def test_a_task_holds_no_more_than_a_tile(spark):
     placed = dedup._in_tiles(spark.createDataFrame(rows, SCHEMA).selectExpr("type", "is_left", "cast(floor(e / 20) as long) ce", "0L cn", "seq", "e", "n", "azimuth", "cast(length as long) length"), 0, 2, 16, 0)
     assert placed.groupBy("tx", "ty").count().agg({"count": "max"}).first()[0] <= 28  # 20 cells of 20 m
     assert sorted(r.seq for r in dedup.grid_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == one_by_one(rows, Params())
+
+
+def test_a_crowd_settles_in_few_rounds(spark):
+    """4,000 features along 2 km, across the edges of tiles: as one by one, in two rounds."""
+    r = random.Random(6)
+    rows = [(i, "a", True, r.uniform(-1000, 1000), r.uniform(-20, 20), None if i % 50 == 0 else float(r.randrange(0, 360, 5)), r.randrange(1, 9), "x") for i in range(4000)]
+    got = dedup.grid_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), most_rounds=2)
+    assert sorted(x.seq for x in got.collect()) == one_by_one(rows, Params())
