@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import window_hashes, word_hashes, written
+from roadloom.llm.common import forget, window_hashes, word_hashes, written
 from roadloom.llm.line_dedup import bloom
 
 #: Hashed n-gram features; the models are two vectors of this length, whatever the corpus.
@@ -59,19 +59,28 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
                 own += np.bincount(np.concatenate(grams), minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(own)], names=["bucket", "n"])
 
-    def shares(df: DataFrame) -> np.ndarray:
+    def counts(df: DataFrame) -> np.ndarray:
         got = df.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-        out = np.ones(buckets)
+        out = np.zeros(buckets, np.int64)
         for r in got:
             out[r.bucket] += r.n
-        return out / out.sum()
+        return out
 
-    raw = shares(base)
+    def shares(n: np.ndarray) -> np.ndarray:
+        return (n + 1.0) / (n + 1.0).sum()
+
+    raw = counts(base)
     target = known.where("_y = 1")
     totals = known.agg(F.count("*").alias("n"), F.sum("_y").alias("y")).first()
-    # labels may be too many to broadcast: a filter of fixed size passes what may be target, so only that is shuffled
-    may_be = base.where(bloom(target, "_id", F.col("doc_id"))) if totals.y else base
-    ratio = np.log(shares(may_be.join(target, may_be.doc_id == target._id, "left_semi")) / raw) if totals.y else np.zeros(buckets)
+    ratio = np.zeros(buckets)
+    if totals.y:
+        # labels may be too many to broadcast, and texts too many to shuffle: all that a filter of fixed size passes is
+        # counted where it is read, and what it passes wrongly is counted again and taken off
+        passed = base.where(bloom(target, "_id", F.col("doc_id")))
+        wrong = written(passed.select("doc_id").distinct().join(target, F.col("doc_id") == target._id, "left_anti").select(F.col("doc_id").alias("_id")), "importance-wrong")
+        off = passed.where(bloom(wrong, "_id", F.col("doc_id"))).join(wrong, F.col("doc_id") == wrong._id, "left_semi")
+        ratio = np.log(shares(counts(passed) - counts(off)) / shares(raw))
+        forget(wrong)
     table = spark.sparkContext.broadcast(ratio)
 
     def weigh(batches):
