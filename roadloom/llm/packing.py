@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -22,23 +23,29 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary lower-cases, drops white space and never merges across it, nor from letters and digits to marks,
-    so the ids of a text are those of its parts, one after the other; parts met before are looked up. Lower case and
-    full stops and commas apart make fewer parts. The table is bounded.
+    so the ids of a text are those of its parts, one after the other. Arrow splits many texts at once and numbers
+    their distinct parts; parts met before are looked up, new ones are encoded as one text, with a mark between them.
+    Lower case and full stops and commas apart make fewer parts. The table is bounded.
     """
 
     LIMIT = 900_000
     CHUNK = 1 << 20
-    #: Characters up to here have a lower case that doesn't depend on their place and join no mark; U+0130 apart.
-    PLAIN, DOTTED = 0x24F, 0x130
-    #: By code point: is it neither letter, digit nor white space?
-    MARKS = np.array([not (chr(i).isalnum() or chr(i).isspace()) for i in range(PLAIN + 1)])
-    STOPS = np.array([chr(i) in ".," for i in range(PLAIN + 1)])
+    #: Bytes of text that are split at once.
+    AT_ONCE = 1 << 22
+    #: Characters up to U+024F have a lower case that doesn't depend on their place and join no mark; U+0130 apart. Special
+    #: tokens are told from other marks by their case.
+    SPECIAL = r"[^\x{00}-\x{24F}]|\x{130}|<\|"
+    #: A full stop or comma behind another mark is one part with it.
+    JOINED = r"[^\p{L}\p{N} ][.,]"
+    #: Stands between new parts; has one id of its own.
+    BETWEEN = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.between = self._ids([self.BETWEEN])[0]
 
     def _chunks(self, text: str) -> Iterator[str]:
         """The text in pieces that end before white space."""
@@ -50,30 +57,74 @@ class Encoder:
             at = cut
         yield text[at:]
 
-    def _parts(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(points) and points.max() <= self.PLAIN and not (points == self.DOTTED).any():
-            text = text.lower()
-            # a full stop or comma behind another mark is one part with it
-            if not (self.MARKS[points[:-1]] & self.STOPS[points[1:]]).any():
-                text = (text + " ").replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
+    def _parts(self, texts: pa.Array) -> pa.ListArray:
+        texts = pc.replace_substring(texts, "\n", " ")
+        plain = pc.invert(pc.match_substring_regex(texts, self.SPECIAL))
+        texts = pc.if_else(plain, pc.utf8_lower(texts), texts)
+        apart = pc.and_(plain, pc.invert(pc.match_substring_regex(texts, self.JOINED)))
+        stops = pc.binary_join_element_wise(texts, *[pa.scalar(x, texts.type) for x in ("", " ")])
+        for x in ".,":
+            stops = pc.replace_substring(stops, f"{x} ", f" {x} ")
+        return pc.split_pattern(pc.if_else(apart, stops, texts), " ")
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_new(self, parts: list[str]) -> list[bytes]:
+        text = f" {self.BETWEEN} ".join(parts)
+        if len(self.between) != 4 or text.count(self.BETWEEN) >= len(parts):
+            return self._ids(parts)
+        ids = np.frombuffer(self._ids([text])[0], "<u4")
+        ends = [*np.flatnonzero(ids == np.frombuffer(self.between, "<u4")[0]).tolist(), len(ids)]
+        held, at, out = ids.tobytes(), 0, []
+        for end in ends:
+            out.append(held[4 * at : 4 * end])
+            at = end + 1
+        return out
+
+    def _lookup(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
+        got = list(map(self.known.get, parts))
+        new = [k for k, x in enumerate(got) if x is None]
+        if new:
+            for k, ids in zip(new, self._encode_new([parts[k] for k in new]), strict=True):
+                got[k] = ids
+                if len(self.known) < self.LIMIT and len(parts[k]) <= 64:
+                    self.known[parts[k]] = ids
+        return got
+
+    def _encode_at_once(self, texts: pa.Array) -> list[bytes]:
+        lists = self._parts(texts)
+        bounds = lists.offsets.to_numpy()
+        parts = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        got = self._lookup(parts.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        which = parts.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[bounds - bounds[0]]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, before = 0, 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, before + self.AT_ONCE, "right")))
+            if ends[at] - before > self.CHUNK:
+                yield b"".join(self._encode_at_once(pa.array([x], pa.large_string()))[0] for x in self._chunks(texts[at].as_py()))
+                end = at + 1
+            else:
+                # a longer text is taken on its own
+                longer = np.flatnonzero(np.diff(ends[at:end]) > self.CHUNK)
+                end = at + 1 + int(longer[0]) if len(longer) else end
+                yield from self._encode_at_once(texts.slice(at, end - at))
+            at, before = end, int(ends[end - 1])
 
     def encode(self, text: str) -> bytes:
-        out, known = [], self.known
-        for chunk in self._chunks(text):
-            parts = self._parts(chunk)
-            new = [p for p in set(parts) if p not in known]
-            if new:
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = np.asarray(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, parts)))
-            full = len(known) > self.LIMIT
-            for p in new:
-                if full or len(p) > 64:
-                    del known[p]
-        return b"".join(out)
+        return next(self.encode_many(pa.array([text], pa.string())))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -216,7 +267,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, base = encoder(path).encode, TaskContext.get().partitionId() << 33
+        encode, base = encoder(path).encode_many, TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, bytes]] = []
         left: list[Piece] = []
         tokens = sequence = step = 0
@@ -250,14 +301,11 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         carried: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
-                    held.append((doc_id, ids))
-                    tokens += len(ids) // 4
-                    if tokens >= block_tokens:
-                        yield from flush(False)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                held.append((doc_id, ids + end))
+                tokens += len(ids) // 4 + 1
+                if tokens >= block_tokens:
+                    yield from flush(False)
         yield from flush(True)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,3 +103,36 @@ def test_encoder_is_the_tokenizer(tokenizer):
     encode.CHUNK = 64
     for t in texts:
         assert np.frombuffer(encode.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_many_texts_are_encoded_at_once(tokenizer):
+    """Lengths around the limits of a slice, texts of any script, nulls and parts that hold the mark between parts."""
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode.CHUNK, encode.AT_ONCE, encode.LIMIT = 64, 200, 40
+    r = random.Random(4)
+    marks = "aB.,;:!?-'\"éİΣ́ \n\t\r  ()0123456789中\U0001f642\x01\x1c\x85"
+    texts = [None, "", "\x01", "a \x01 b", *(None if r.random() < 0.05 else "".join(r.choices(marks, k=r.randint(0, 150))) for _ in range(600)), *("".join(r.choices("abAB ., ", k=r.randint(0, 150))) for _ in range(300))]
+    texts += [f"x{chr(i)}. {chr(i)}, {chr(i)}X" for i in range(0x250)]
+    got = list(encode.encode_many(pa.array(["away", *texts], pa.string()).slice(1)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_keep_their_case(tokenizer):
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ("<|ENDOFTEXT|> a", "A <|endoftext|>. B", "<|EndOfText|>, <|startoftext|>x"):
+        assert np.frombuffer(encode.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_new_parts_take_one_call(words):
+    """A call of the tokenizer for each text's few new parts cost more than their encoding."""
+    encode, calls = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    inner = encode.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return inner.encode_batch_fast(texts, **kw)
+
+    encode.tokenizer = Counted()
+    assert len(list(encode.encode_many(pa.array([f"{w} {w}x {i}" for i, w in enumerate(words)])))) == len(words)
+    assert calls == [1]
