@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -45,21 +44,20 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-def _lines(keyed: DataFrame, tokens: Callable[[Column], Column] = line_tokens) -> DataFrame:
+def _lines(keyed: DataFrame) -> DataFrame:
     """(doc, at, tokens) of (doc, text): one row a line with words. at holds the line's number above the text's hash."""
     parts = keyed.select("doc", _text_hash("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     parts = parts.where(F.col("words").rlike(r"[\p{L}\p{N}]"))  # a filter on tokens would make them twice
-    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), tokens(F.col("words")).alias("tokens"))
+    return parts.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h")).alias("at"), line_tokens(F.col("words")).alias("tokens"))
 
 
-def token_levels(texts: DataFrame) -> Column:
-    """For each of RANGES hash ranges of words, the frequency of its words in texts as four times its binary logarithm.
+def token_levels(lines: DataFrame) -> Column:
+    """For each of RANGES hash ranges of words, the number of lines with its words as four times its binary logarithm.
 
-    The array has the same length whatever the texts, and its strings are made on the executors.
+    lines holds tokens. The array has the same length whatever they are, and its strings are made on the executors.
     """
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
-    seen = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 46).alias("r")).agg(F.count("*").alias("n"))
-    every = texts.sparkSession.range(RANGES).select(F.col("id").alias("r")).join(seen, "r", "left")
+    seen = lines.select(F.explode("tokens").alias("h")).groupBy(F.shiftrightunsigned("h", 46).alias("r")).agg(F.count("*").alias("n"))
+    every = lines.sparkSession.range(RANGES).select(F.col("id").alias("r")).join(seen, "r", "left")
     level = F.coalesce(F.floor(4 * F.log2(F.col("n"))), F.lit(0)).cast("int")
     runs = every.groupBy(F.expr("r div 1024").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", level.alias("v")))), lambda x: x["v"].cast("string")), ",").alias("levels"))
     levels = ",".join(x.levels for x in sorted(runs.collect(), key=lambda x: x.run))
@@ -84,16 +82,19 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     t = Fraction(threshold).limit_denominator(1000)
     num, den = t.numerator, t.denominator
     keyed = _keyed(docs, id_col, text_col)
-    levels = token_levels(keyed)
+    # words are split and hashed once; both passes over all tokens read whole numbers
+    hashed = written(_lines(keyed), "line-hashes")
+    levels = token_levels(hashed)
     level = lambda h: F.get(levels, F.shiftrightunsigned(h, 46).cast("int")).cast("long")
-    rank = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = lambda line: F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: rank(F.xxhash64(w)))))
+    # never null, so that Spark sorts plain longs
+    rank = lambda h: F.coalesce(F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
     n, n_prefix = F.size("tokens"), F.size("prefix")
-    lines = _lines(keyed, ranked).select(
+    lines = hashed.select("doc", "at", F.sort_array(F.transform("tokens", rank)).alias("tokens")).select(
         "doc", "at", n.alias("n"), F.xxhash64("tokens").alias("class"), *[_parity(i).alias(f"map{i}") for i in (0, 1)],
         F.transform(F.slice("tokens", 1, (n - F.expr(f"(size(tokens) * {num} + {den} - 1) div {den}") + 1).cast("int")), lambda x: F.shiftrightunsigned(x, 7).bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     )
     lines = written(lines, "lines")
+    forget(hashed)
     same, maps = ["class", "n", "map0"], ["map0", "map1"]
     # a class's id begins with a coarse place in the order of documents, so that pairs whose later line is gone needn't meet
     low, high = keyed.where(F.col("doc") < _LAST).agg(F.min("doc").cast("double"), F.max("doc").cast("double")).first()
@@ -180,8 +181,8 @@ def _parity(half: int) -> Column:
 
     A token that only one of two sets holds turns one bit, so differing bits bound differing tokens.
     """
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(64) == 64 * half, m.bitwiseXOR(one(x))).otherwise(m))
+    bits = literal_longs([(1 << i % 64) - (1 << 64) * (i % 64 == 63) if i // 64 == half else 0 for i in range(128)])
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.get(bits, x.bitwiseAND(127).cast("int"))))
 
 
 def length(s: dict[str, Column]) -> Column:

@@ -297,3 +297,10 @@ def test_template_lines_take_linear_time(spark):
         assert line_dedup.line_dedup(df).agg(F.sum(F.size("removed_lines"))).first()[0] == 0
         took[n] = time.perf_counter() - began
     assert took[40_000] < 4 * took[20_000] + 5 and took[40_000] < 60
+
+
+def test_levels_come_from_tokens(spark):
+    """Words are split and hashed once: levels are counted from the hashes, for every range, also one without words."""
+    rows = [([5 << 46, 7 << 46],), ([5 << 46, (5 << 46) + 1],), ([-1],), ([],)]
+    levels = spark.range(1).select(line_dedup.token_levels(spark.createDataFrame(rows, "tokens array<long>")).alias("v")).first().v
+    assert len(levels) == line_dedup.RANGES and {i: v for i, v in enumerate(levels) if v} == {5: 6}
