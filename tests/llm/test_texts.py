@@ -304,3 +304,16 @@ def test_levels_come_from_tokens(spark):
     rows = [([5 << 46, 7 << 46],), ([5 << 46, (5 << 46) + 1],), ([-1],), ([],)]
     levels = spark.range(1).select(line_dedup.token_levels(spark.createDataFrame(rows, "tokens array<long>")).alias("v")).first().v
     assert len(levels) == line_dedup.RANGES and {i: v for i, v in enumerate(levels) if v} == {5: 6}
+
+
+def test_only_wanted_lines_are_split_and_gone_lines_meet_none(spark):
+    """Verification splits the lines that it asks for; a pair is left out by its later line alone, even within one document."""
+    keyed = spark.createDataFrame([(1, "one two\nthree\n--\nfour")], "doc long, text string")
+    every = {r["at"] >> 32: len(r.tokens) for r in line_dedup._lines(keyed).collect()}
+    some = line_dedup._lines(keyed, F.shiftright("at", 32).isin(0, 2, 3)).collect()
+    assert every == {0: 2, 1: 1, 3: 1} and {r["at"] >> 32: len(r.tokens) for r in some} == {0: 2, 3: 1}
+    n, gone = 5 << 32, (5 + line_dedup.GONE) << 32
+    rows = [(7, 1, 1, gone, 0, 0), (7, 1, 2, n, 0, 0), (7, 1, 3, gone, 0, 0), (7, 2, 0, n, 0, 0)]
+    entries = spark.createDataFrame(rows, "token int, doc long, at long, meta long, map0 long, map1 long")
+    got = {(r.doc, r["at"], r.h_doc, r.h_at) for r in line_dedup._pairs(entries, 4, 5).collect()}
+    assert got == {(1, 2, 1, 1), (2, 0, 1, 1), (2, 0, 1, 2), (2, 0, 1, 3)}
