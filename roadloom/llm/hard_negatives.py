@@ -79,17 +79,30 @@ def _side(df: DataFrame, mark: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns])
 
 
+def block_count(n_rows: int, n_anchors: int, tasks: int, block_rows: int) -> int:
+    """How many blocks of the index there are.
+
+    As many as hold block_rows each; more, for every task, while the anchors, which go to all blocks, then travel as
+    no more rows than the index has, or 16 times.
+    """
+    return max(-(-n_rows // block_rows), min(2 * tasks, -(-n_rows // 256), max(16, n_rows // max(1, n_anchors))), 1)
+
+
 def _met(index: DataFrame, anchors: DataFrame, blocks: int, extra: list[str]) -> DataFrame:
-    """Each block of the index beside each block of anchors: the anchors, the smaller side, go to all blocks."""
+    """Each block of the index beside each block of anchors: the anchors, the smaller side, go to all blocks.
+
+    They are dealt to them and never broadcast: Spark would judge by their size before they are repeated, and the
+    driver would hold them `blocks` times.
+    """
     sent = anchors.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     a = _side(sent.select("to", "n", "width", "dtype", "keys", "ids", "labels", "terms", *extra), "a")
-    return _side(index, "x").join(a, F.col("x_block") == F.col("a_to")).drop("a_to", "x_block")
+    return _side(index, "x").join(a.hint("merge"), F.col("x_block") == F.col("a_to")).drop("a_to", "x_block")
 
 
-def _scores(batches, slab: int):
-    """For each row of _met, its anchors in slabs: (row, first anchor, scores, other, same label).
+def _opened(batches):
+    """For each row of _met: (index block, block of anchors, their matrices, exact).
 
-    other: rows that aren't of the anchor's own id; labels are equal where the last matrix is true.
+    exact: matrices of floats that give scores without rounding; else they are of 64-bit integers.
     """
     for b in batches:
         for k in range(b.num_rows):
@@ -100,11 +113,38 @@ def _scores(batches, slab: int):
             xm, am = _matrix(x), _matrix(a)
             width = max(xm.shape[1], am.shape[1])
             xm, am = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (xm, am))
-            for at in range(0, len(am), slab):
-                part = slice(at, at + slab)
-                s = scores_of(am[part], xm) if width else np.zeros((len(am[part]), len(xm)), np.int64)
-                other = _longs(a, "ids")[part, None] != _longs(x, "ids")[None, :]
-                yield x, a, at, s, other, _longs(a, "labels")[part, None] == _longs(x, "labels")[None, :]
+            most = float(np.abs(xm.astype(np.float64)).max(initial=0.0) * np.abs(am.astype(np.float64)).max(initial=0.0)) * width
+            kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+            yield x, a, xm.astype(kind), am.astype(kind), kind is not np.int64
+
+
+def _times(a: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer scores of anchors and rows."""
+    if not a.shape[1]:
+        return np.zeros((len(a), len(x)), np.int64)
+    return (a @ x.T).astype(np.int32 if a.dtype == np.float32 else np.int64) if exact else scores_of(a, x)
+
+
+def _scores(batches, slab: int):
+    """For each row of _met, its anchors in slabs: (row, first anchor, scores, fit).
+
+    fit: rows that aren't of the anchor's own id or label.
+    """
+    for x, a, xm, am, exact in _opened(batches):
+        for at in range(0, len(am), slab):
+            part = slice(at, at + slab)
+            fit = (_longs(a, "ids")[part, None] != _longs(x, "ids")[None, :]) & (_longs(a, "labels")[part, None] != _longs(x, "labels")[None, :])
+            yield x, a, at, _times(am[part], xm, exact), fit
+
+
+def _inside(scores: np.ndarray, fit: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where rows fit and lie between the least low and the largest high of their anchor's windows."""
+    ends = np.iinfo(scores.dtype)
+    least, most = np.full(len(scores), ends.max, np.int64), np.full(len(scores), ends.min, np.int64)
+    np.minimum.at(least, places, low)
+    np.maximum.at(most, places, high)
+    least, most = (np.clip(x, ends.min, ends.max).astype(scores.dtype)[:, None] for x in (least, most))
+    return fit & (scores >= least) & (scores <= most)
 
 
 def _first(scores: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -120,11 +160,19 @@ def _positives(index: DataFrame, anchors: DataFrame, blocks: int, k: int, slab:
 
     def best(batches):
         def rows():
-            for x, a, at, s, other, same in _scores(batches, slab):
-                ids, keys = _longs(x, "ids"), _longs(x, "keys")
-                for i, ok in enumerate(other & same):
-                    for j in _first(s[i], ids, np.nonzero(ok)[0], k):
-                        yield int(_longs(a, "keys")[at + i]), 0, int(keys[j]), int(ids[j]), int(s[i, j])
+            for x, a, xm, am, exact in _opened(batches):
+                ids, keys, labels, own = _longs(x, "ids"), _longs(x, "keys"), _longs(x, "labels"), _longs(a, "labels")
+                for label in np.unique(own):
+                    # where scores may not fit, all are made, so that one that doesn't is an error
+                    cols = np.nonzero(labels == label)[0] if exact else np.arange(len(ids))
+                    of = np.nonzero(own == label)[0]
+                    for at in range(0, len(of), slab):
+                        part = of[at : at + slab]
+                        s = _times(am[part], xm[cols], exact)
+                        fit = (_longs(a, "ids")[part, None] != ids[None, cols]) & (labels[cols] == label)[None, :]
+                        for i, ok in enumerate(fit):
+                            for j in _first(s[i], ids[cols], np.nonzero(ok)[0], k):
+                                yield int(_longs(a, "keys")[part[i]]), 0, int(keys[cols[j]]), int(ids[cols[j]]), int(s[i, j])
 
         yield from out_batches(rows(), _SCORED)
 
@@ -154,12 +202,17 @@ def _histogram(index: DataFrame, asked: DataFrame, blocks: int, k: int, slab: in
 
     def count(batches):
         def rows():
-            for x, a, at, s, other, same in _scores(batches, slab):
-                ok = other & ~same
-                for place, window, low, _, top, size in _windows(a, at, len(s)).tolist():
-                    own = s[place - at][ok[place - at]]
-                    # the digits open are from `top` down to DIGIT * size below it, and never under the window
-                    own = own[(own <= top) & (own >= max(low, top - DIGIT * size + 1))]
+            for x, a, at, s, fit in _scores(batches, slab):
+                w = _windows(a, at, len(s))
+                # the digits open are from `top` down to DIGIT * size below it, and never under the window
+                lows = [max(low, top - DIGIT * size + 1) for _, _, low, _, top, size in w.tolist()]
+                inside = _inside(s, fit, w[:, 0] - at, np.array(lows, np.int64), w[:, 4])
+                held = {}
+                for (place, window, _, _, top, size), low in zip(w.tolist(), lows):
+                    if place not in held:
+                        held[place] = s[place - at][inside[place - at]].astype(np.int64)
+                    own = held[place]
+                    own = own[(own <= top) & (own >= low)]
                     if not len(own):
                         continue
                     n = np.bincount((top - own) // size, minlength=1)
@@ -198,12 +251,18 @@ def _gathered(index: DataFrame, asked: DataFrame, blocks: int, k: int, slab: int
 
     def gather(batches):
         def rows():
-            for x, a, at, s, other, same in _scores(batches, slab):
-                ok = other & ~same
+            for x, a, at, s, fit in _scores(batches, slab):
                 ids, keys = _longs(x, "ids"), _longs(x, "keys")
-                for place, window, low, high, least, _ in _windows(a, at, len(s)).tolist():
+                w = _windows(a, at, len(s))
+                low = np.maximum(w[:, 2], w[:, 4])
+                inside = _inside(s, fit, w[:, 0] - at, low, w[:, 3])
+                held = {}
+                for (place, window, _, high, *_), low in zip(w.tolist(), low.tolist()):
                     i = place - at
-                    for j in _first(s[i], ids, np.nonzero(ok[i] & (s[i] >= max(low, least)) & (s[i] <= high))[0], k):
+                    if place not in held:
+                        held[place] = np.nonzero(inside[i])[0]
+                    own = held[place]
+                    for j in _first(s[i], ids, own[(s[i, own] >= low) & (s[i, own] <= high)], k):
                         yield int(_longs(a, "keys")[place]), window, int(keys[j]), int(ids[j]), int(s[i, j])
 
         yield from out_batches(rows(), _SCORED)
@@ -237,8 +296,7 @@ def hard_negatives(
     rows = rows.where("vec_id is not null and label is not null").where(takes_part("v")).select("vec_id", "label", integer_terms("v", scale).alias("terms")).distinct()
     rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "negatives-rows")
     n_rows, n_anchors = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    # blocks for every task while the table is small, larger ones after, so that anchors travel less
-    blocks = max(-(-n_rows // block_rows), min(2 * partitions(spark), -(-n_rows // 256)), 1)
+    blocks = block_count(n_rows, n_anchors, partitions(spark), block_rows)
     chunks = max(1, -(-n_anchors // anchor_rows))
     spread = lambda n: F.pmod(F.xxhash64("key"), F.lit(n))
     index = packed(rows, spread(blocks), block_rows, "negatives-index")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadloom.llm import hard_negatives as hn
 from roadloom.llm.queries import ORACLE, QUERIES
@@ -59,6 +60,19 @@ def test_ties_copies_and_odd_rows(spark):
     assert result(hn.hard_negatives(table(spark, rows), every=10)) == plain(rows, every=10)
 
 
+def test_anchors_are_not_broadcast_once_for_each_block(spark):
+    """What goes to all blocks is dealt out, however small it is before it is repeated, and isn't more than the index."""
+    rows = spark.createDataFrame([(i, i, i % 3, [i, 1]) for i in range(300)], "key long, vec_id long, label long, terms array<long>")
+    blocks = rows.select((F.col("key") % 4).alias("block"), "key", "vec_id", "label", "terms")
+    index = hn.packed(rows, F.col("key") % 4, 100, "test-index")
+    anchors = hn.packed(blocks.where("key % 50 = 0"), F.lit(0).cast("long"), 100, "test-anchors")
+    met = hn._met(index, anchors, 4, [])
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 4 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert hn.block_count(717_948, 14_359, 600, 16_384) * 14_359 <= 717_948
+    assert hn.block_count(15_000_000, 300_000, 600, 16_384) == 916 and hn.block_count(0, 0, 8, 16_384) == 1
+
+
 def test_small_tables(spark):
     assert hn.hard_negatives(table(spark, [])).collect() == []
     assert hn.hard_negatives(table(spark, [(50, [1.0, 2.0], 1)])).collect() == []
