@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ def valid_vector(col: str) -> Column:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column as float64; shorter rows end in zeros."""
+    if isinstance(column, pa.ListArray) and len(column) and not column.null_count:
+        flat, ends = column.flatten(), column.value_lengths().to_numpy()
+        if not flat.null_count and (ends == ends[0]).all():
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(ends[0]))
     lists = column.to_pylist()
     width = max(map(len, lists), default=0)
     out = np.zeros((len(lists), width))
@@ -26,6 +31,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+def keyed_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a list column of doubles: (rows as float64, usable, 128 bits of a hash in two columns).
+
+    Not usable are rows that are null, empty, all zero or hold a null or non-finite component. Equal rows have equal
+    hashes; a zero's sign doesn't count.
+    """
+    flat = column.flatten()
+    plain = not column.null_count and not flat.null_count
+    lists = None if plain else [None if v is None or None in v else v for v in column.to_pylist()]
+    x = matrix(column if plain else pa.array([v or [] for v in lists], pa.list_(pa.float64()))) + 0.0
+    ends = (column.value_lengths() if plain else pa.array([len(v or []) for v in lists], pa.int32())).to_numpy()
+    usable = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    digests = b"".join(xxhash.xxh3_128_digest(v[:n]) for v, n in zip(x, ends.tolist()))
+    return x, usable, np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, without overflow of large components."""
     top = np.abs(x).max(axis=1, keepdims=True)

@@ -1,9 +1,10 @@
 """Embedding near-dedup and top-k search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from roadloom.llm import embedding_dedup, topk_search
+from roadloom.llm import embedding_dedup, topk_search, vectors
 from roadloom.llm.graph import components
 from roadloom.llm.queries import ORACLE, QUERIES
 
@@ -99,6 +100,40 @@ def test_crowded_buckets_are_split_and_lose_no_pair(spark):
     assert 1 < len(set(want.tolist())) < n
 
 
+@pytest.mark.parametrize("bucket", [20, 10_000])
+def test_codes_that_are_near_by_chance_join_no_cluster(spark, bucket):
+    """Codes all within radius whose sketches form two groups: two clusters, in crowded groups too."""
+    r = np.random.default_rng(9)
+    base, wide = (int(x) for x in r.integers(0, 2**63, 2))
+    codes = {base} | {base ^ sum(1 << (16 * t + int(b)) for t, b in enumerate(r.integers(0, 16, 4))) for _ in range(300)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    far = (1 << 64) - 1
+    rows = [(i, signed(c), signed(wide ^ (far * (i % 2)) ^ (1 << i % 64)), i % 7) for i, c in enumerate(sorted(codes))]
+    table_ = spark.createDataFrame(rows, "rep long, code long, wide1 long, wide2 long")
+    got = {x.node: x.component for x in components(embedding_dedup.candidate_edges(table_, 4, 14, bucket)).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == [i % 2 for i in range(len(rows))]
+
+
+def test_codes_travel_twelve_times(spark):
+    """Once for each third of each substring, without a row for every neighbour."""
+    r = np.random.default_rng(10)
+    n = 5000
+    table_ = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(r.integers(-(2**63), 2**63, (n, 3)))], "rep long, code long, wide1 long, wide2 long")
+    sent = embedding_dedup.packed_regions(table_.coalesce(2), 4).collect()
+    assert sum(len(x.codes) for x in sent) == 12 * 24 * n and len(sent) <= 2 * 512
+    assert sum(len(embedding_dedup.region_masks(16, p)) for p in range(3)) == 1 + 16 + 120
+
+
+def test_keys_of_rows():
+    """Equal rows have one key whatever a zero's sign; null, empty, zero and non-finite rows aren't usable."""
+    rows = [[1.0, 2.0], None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [-0.0, 1.0], [0.0, 1.0], [1.0], [float("-inf"), 1.0]]
+    _, usable, h = vectors.keyed_rows(pa.array(rows, pa.list_(pa.float64())))
+    assert usable.tolist() == [True, False, False, False, False, False, True, True, True, False]
+    assert (h[6] == h[7]).all() and len({tuple(x) for x in h[usable].tolist()}) == 3
+    x, usable, _ = vectors.keyed_rows(pa.array([[9.0, 9.0], [3.0, 4.0]], pa.list_(pa.float64())).slice(1))
+    assert x.tolist() == [[3.0, 4.0]] and usable.tolist() == [True]
+
+
 def test_near_dedup_empty(spark):
     assert embedding_dedup.near_dedup_embeddings(table(spark, [])).count() == 0
 
